@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontam import OP6_SQL, op6_decontam
+from .packing import op3_packing
 from .quality import op7_quality
 from .rules import op2_rules
 from .toxicity import op1_toxicity
@@ -9,7 +11,11 @@ from .toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_rules": op2_rules,
+    "op3_packing": op3_packing,
+    "op6_decontam": op6_decontam,
     "op7_quality": op7_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontam": OP6_SQL,
+}
