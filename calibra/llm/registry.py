@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP6_SQL, op6_decontam
+from .linededup import OP4_SQL, op4_linededup
 from .packing import op3_packing
 from .quality import op7_quality
 from .rules import op2_rules
@@ -12,10 +13,12 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_rules": op2_rules,
     "op3_packing": op3_packing,
+    "op4_linededup": op4_linededup,
     "op6_decontam": op6_decontam,
     "op7_quality": op7_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_linededup": OP4_SQL,
     "op6_decontam": OP6_SQL,
 }
