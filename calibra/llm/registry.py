@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP6_SQL, op6_decontam
+from .licenses import OP10_SQL, op10_licenses
 from .linededup import OP4_SQL, op4_linededup
 from .packing import op3_packing
 from .quality import op7_quality
@@ -16,9 +17,11 @@ QUERIES = {
     "op4_linededup": op4_linededup,
     "op6_decontam": op6_decontam,
     "op7_quality": op7_quality,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
     "op4_linededup": OP4_SQL,
     "op6_decontam": OP6_SQL,
+    "op10_licenses": OP10_SQL,
 }
