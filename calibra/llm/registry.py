@@ -9,6 +9,7 @@ from .packing import op3_packing
 from .quality import op7_quality
 from .rules import op2_rules
 from .toxicity import op1_toxicity
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -17,11 +18,13 @@ QUERIES = {
     "op4_linededup": op4_linededup,
     "op6_decontam": op6_decontam,
     "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
     "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
     "op4_linededup": OP4_SQL,
     "op6_decontam": OP6_SQL,
+    "op8_warc": OP8_SQL,
     "op10_licenses": OP10_SQL,
 }
