@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP6_SQL, op6_decontam
+from .html import op5_html
 from .licenses import OP10_SQL, op10_licenses
 from .linededup import OP4_SQL, op4_linededup
 from .packing import op3_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_rules": op2_rules,
     "op3_packing": op3_packing,
     "op4_linededup": op4_linededup,
+    "op5_html": op5_html,
     "op6_decontam": op6_decontam,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
