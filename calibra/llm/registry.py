@@ -6,6 +6,7 @@ from .decontam import OP6_SQL, op6_decontam
 from .html import op5_html
 from .licenses import OP10_SQL, op10_licenses
 from .linededup import OP4_SQL, op4_linededup
+from .ngramjoin import OP9_SQL, op9_ngramjoin
 from .packing import op3_packing
 from .quality import op7_quality
 from .rules import op2_rules
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_decontam": op6_decontam,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
+    "op9_ngramjoin": op9_ngramjoin,
     "op10_licenses": op10_licenses,
 }
 
@@ -28,5 +30,6 @@ ORACLES: dict[str, str] = {
     "op4_linededup": OP4_SQL,
     "op6_decontam": OP6_SQL,
     "op8_warc": OP8_SQL,
+    "op9_ngramjoin": OP9_SQL,
     "op10_licenses": OP10_SQL,
 }
