@@ -16,6 +16,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -30,47 +31,67 @@ from .tables import table
 LONGEST = 4096
 END = 2
 _CHUNK = re.compile(r"[^ \t-\r]+")
-_TAIL = re.compile(r"(.*[A-Za-z])([.,!?*$%&#;:]+)", re.S)
+_UNSPACED = re.compile(r"[\x1c-\x1f]")  # str.split() parts words there, the tokenizer does not
+_MARKS = ".,!?*$%&#;:"
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")  # Latin-1 letters, all composed
+_plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
+_ALPHABET = {b: chr(b) for b in _plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_plain)))}
 
 
 class _Known(dict):
     """Ids, as little-endian unsigned 32-bit bytes, of chunks without white space.
 
-    The tokenizer never joins characters across white space, nor a letter with punctuation after
-    it, and lowers every character by itself. So a text's ids are those of its chunks in order, a
-    chunk's those of its letters and then its trailing marks, and an ASCII chunk's those of its
-    lower-case form ("|" is left alone: it occurs in special tokens, which are case-sensitive).
+    The tokenizer never joins characters across white space, nor a letter with a mark after it,
+    and lowers every character by itself. So a text's ids are those of its chunks in order, a
+    chunk's those of its letters and then its trailing marks, and a chunk of letters is one word
+    for the merges, in lower case; composed Latin-1 letters need no normal form.
     """
 
     def __init__(self, path: str, limit: int) -> None:
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
 
     def __missing__(self, chunk: str) -> bytes:
-        if tail := _TAIL.fullmatch(chunk):
-            out = self[tail[1]] + self[tail[2]]
-        elif chunk.isascii() and "|" not in chunk and (lower := chunk.lower()) != chunk:
-            out = self[lower]
+        head = chunk.rstrip(_MARKS)
+        if head and len(head) < len(chunk) and head[-1].isascii() and head[-1].isalpha():
+            out = self[head] + self[chunk[len(head) :]]
+        elif _LETTERS.fullmatch(chunk):
+            lower = chunk.lower()
+            out = self[lower] if lower != chunk else self._bytes([t.id for t in self.model.tokenize("".join(map(_ALPHABET.__getitem__, chunk.encode())))])
         else:
-            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            out = ids.tobytes()
+            out = self._bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         if len(chunk) <= 64:
             if len(self) >= self.limit:
                 self.clear()
             self[chunk] = out
         return out
 
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
 
 class Encoder:
     """Texts to bytes of ids; remembers at most `limit` chunks."""
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         self.known = _Known(path, limit)
 
     def __call__(self, text: str | None) -> bytes:
-        return b"".join(map(self.known.__getitem__, _CHUNK.findall(text or "")))
+        text = text or ""
+        chunks = _CHUNK.findall(text) if _UNSPACED.search(text) else text.split()
+        return b"".join(map(self.known.__getitem__, chunks))
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 def lengths(total: int, longest: int = LONGEST) -> list[int]:
@@ -89,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST,
     last = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sequence = Encoder(path), TaskContext.get().partitionId() << 33
+        encode, sequence = encoder(path), TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
