@@ -4,10 +4,13 @@ r"""N-gram Jaccard join: a distributed prefix-tree join over sets of word shingl
    shingles last, by levels of their counted frequency, then by hash. Any order gives the same
    links; this one keeps passages that many documents share out of the prefixes.
 2. Documents with equal sets form a class; the smallest doc_id represents it.
-3. Linked sets share a token among the first n - ceil(percent n / 100) + 1 of each. For every such
-   token the smallest document that has it is the pivot, and all its documents go to the
-   pivot's shard, so each pair that may be linked meets in a shard. A shard with many documents
-   or tokens is dealt over blocks, the pivot going to each.
+3. Linked sets share several tokens among the first n - ceil(percent n / 100) + 1 + n / SLACK of
+   each (`sure` tells how many at least). For every such token the smallest document that has it
+   is the pivot, and its documents may meet in the pivot's shard. A document that shares fewer
+   prefix tokens than any partner would need is done, and a document leaves the shards where it
+   shares least, as long as what both documents of a pair give up is less than what they share;
+   so each pair that may be linked still meets. A shard with many documents or tokens is dealt
+   over blocks, the pivot going to each.
 4. In each block a trie over the sets finds all links (trie.join). Pairs in different blocks of
    a shard need a second look only if one of them is not linked with the pivot and, by the
    triangle inequality, the other is near enough; those few are joined in pairs of blocks.
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -35,6 +38,7 @@ from .tables import saved, table
 
 SHINGLE = 4
 PERCENT = 85
+SLACK = 40
 BLOCK_DOCS = 800
 BLOCK_TOKENS = 2_000_000
 _HASH_BITS = 58
@@ -138,7 +142,7 @@ def outlines(docs: DataFrame, shared, width: int, percent: int) -> DataFrame:
                 for out, salt in ((s1, 0x5851F42D4C957F2D), (s2, 0x14057B7EF767814F)):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(k ^ np.uint64(salt)), dtype=np.uint64)])
                     out.append((total[cut[1:]] - total[cut[:-1]]).astype(np.int64))
-                head = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+                head = np.minimum(size, size - -(-percent * size // 100) + 1 + size // SLACK)
                 flat = np.arange(head.sum()) + np.repeat(cut[:-1] - (np.cumsum(head) - head), head)
                 n.append(size)
                 heads.append(token[flat])
@@ -152,17 +156,41 @@ def outlines(docs: DataFrame, shared, width: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, prefix array<long>")
 
 
-def shards(reps: DataFrame) -> DataFrame:
-    """doc, pivot, block, blocks, n: the blocks each representative goes to."""
-    tokens = reps.select("doc", "n", F.explode("prefix").alias("token"))
-    pivots = tokens.groupBy("token").agg(F.min("doc").alias("pivot"), F.count("*").alias("held")).where("held > 1").select("token", "pivot")
-    edges = saved(tokens.join(pivots, "token").where("doc != pivot").select("doc", "n", "pivot").distinct(), "shard-edges")
+def sure(n: Column, percent: int) -> Column:
+    """Prefix tokens that a document of n tokens shares with any document linked with it, at least.
+
+    A pair's common tokens come after at most n - overlap others in each set, so the first of
+    them up to the shorter prefix's surplus lie in both prefixes; the least partner has
+    ceil(percent n / 100) tokens.
+    """
+    return 1 + F.floor(F.ceil(percent * n / 100) / SLACK)
+
+
+def shards(reps: DataFrame, percent: int) -> DataFrame:
+    """doc, pivot, block, blocks: the blocks each representative goes to.
+
+    Shingles that are not frequent are counted in one window each; the frequent ones, few and
+    known, are counted ahead of the shuffle and joined back, which may split a large one.
+    """
+    tokens = reps.select("doc", F.explode("prefix").alias("token"))
+    frequent = F.lit(1 << _HASH_BITS)
+    same = Window.partitionBy("token")
+    rare = tokens.where(F.col("token") < frequent).select("doc", F.min("doc").over(same).alias("pivot"), F.count("*").over(same).alias("held")).where("held > 1")
+    often = tokens.where(F.col("token") >= frequent)
+    pivots = often.groupBy("token").agg(F.min("doc").alias("pivot"), F.count("*").alias("held")).where("held > 1").select("token", "pivot")
+    both = rare.select("doc", "pivot").unionByName(often.join(pivots, "token").select("doc", "pivot"))
+    shared = both.groupBy("doc", "pivot").agg(F.count("*").alias("shared")).join(reps.select("doc", "n"), "doc")
+    own = Window.partitionBy("doc")
+    upto = own.orderBy(F.col("pivot") == F.col("doc"), "shared", "pivot").rowsBetween(Window.unboundedPreceding, 0)
+    shared = shared.withColumn("total", F.sum("shared").over(own)).withColumn("upto", F.sum("shared").over(upto))
+    needs = sure(F.col("n"), percent)
+    edges = saved(shared.where((F.col("total") >= needs) & (F.col("pivot") != F.col("doc")) & (2 * F.col("upto") > needs - 1)).select("doc", "n", "pivot"), "shard-edges")
     load = edges.groupBy("pivot").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
     load = saved(load.select("pivot", blocks.alias("blocks")), "shard-loads")
     members = edges.join(load, "pivot").select("doc", "pivot", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
-    own = load.select(F.col("pivot").alias("doc"), "pivot", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return members.unionByName(own)
+    pivot = load.select(F.col("pivot").alias("doc"), "pivot", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return members.unionByName(pivot)
 
 
 def placed_sets(docs: DataFrame, places: DataFrame, shared, width: int) -> DataFrame:
@@ -249,7 +277,7 @@ def similar(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     shared = spark.sparkContext.broadcast(global_order(docs, width))
     rows = saved(outlines(docs, shared, width, percent), "shingle-outlines")
     classes = saved(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix")), "shingle-classes")
-    dealt = saved(shards(classes.select("doc", "n", "prefix")), "shards")
+    dealt = saved(shards(classes.select("doc", "n", "prefix"), percent), "shards")
     place = dealt.select("doc", F.struct("pivot", "block", "blocks").alias("place"))
     found = saved(block_links(placed_sets(docs, place, shared, width), ["pivot", "block"], percent), "links-in-blocks")
     links = found.where("kind = 0").select("a", "b")
