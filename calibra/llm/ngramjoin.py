@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import trie
-from .tables import saved, table
+from .tables import discard, saved, table
 
 SHINGLE = 4
 PERCENT = 85
 SLACK = 40
-BLOCK_DOCS = 800
+BLOCK_DOCS = 256
 BLOCK_TOKENS = 2_000_000
+BROADCAST_PLACES = 500_000
 _HASH_BITS = 58
 
 
@@ -194,8 +195,13 @@ def shards(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def placed_sets(docs: DataFrame, places: DataFrame, shared, width: int) -> DataFrame:
-    """doc, tokens (int64 bytes in order) and the fields of `place`, a row for each of a document's places."""
+    """doc, tokens (int64 bytes in order) and the fields of `place`, a row for each of a document's places.
+
+    Up to BROADCAST_PLACES places (some 30 MB) are broadcast, so that only texts with a place
+    leave the scan; beyond that the texts are dealt out by document.
+    """
     listed = places.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    listed = F.broadcast(listed) if places.count() <= BROADCAST_PLACES else listed
     fields = places.schema["place"].dataType.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +281,10 @@ def similar(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(global_order(docs, width))
-    rows = saved(outlines(docs, shared, width, percent), "shingle-outlines")
-    classes = saved(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix")), "shingle-classes")
+    full = saved(outlines(docs, shared, width, percent), "shingle-outlines")
+    classes = saved(full.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix")), "shingle-classes")
+    rows = saved(full.drop("prefix"), "shingle-rows")
+    discard(full)
     dealt = saved(shards(classes.select("doc", "n", "prefix"), percent), "shards")
     place = dealt.select("doc", F.struct("pivot", "block", "blocks").alias("place"))
     found = saved(block_links(placed_sets(docs, place, shared, width), ["pivot", "block"], percent), "links-in-blocks")
