@@ -18,7 +18,6 @@ repeated items count once. Columns other than those named are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -148,6 +147,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, max_w
                 names += [sorted(items.get(i, ())) for i in range(len(offs) - 1)]
             words, hits = np.concatenate(n_words), np.concatenate(n_hit)
             yield finish(batch, words, hits, names, (hits > 0) & (20 * hits >= words))
+        K.trim()
 
     return docs.mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ Blocks hold whole documents of about BLOCK bytes; a longer document is a block o
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,3 +144,12 @@ def unique_pairs(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.nda
 def passthrough(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
     """The chosen rows of a batch."""
     return batch.filter(pa.array(rows, pa.bool_()))
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its tasks, and its heap would stay at its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; nothing is lost but the memory

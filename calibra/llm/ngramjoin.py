@@ -40,7 +40,7 @@ SHINGLE = 4
 PERCENT = 85
 SLACK = 40
 BLOCK_DOCS = 256
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 BROADCAST_PLACES = 500_000
 _HASH_BITS = 58
 
@@ -92,7 +92,7 @@ def _merged(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def global_order(docs: DataFrame, width: int, held: int = 4_000_000, least: int = 4) -> Order:
+def global_order(docs: DataFrame, width: int, held: int = 1_000_000, least: int = 4) -> Order:
     """Counts the documents of every shingle and orders the frequent ones last.
 
     A task keeps at most about 2 * held counters and forgets those of 1 when there are more; it
@@ -123,6 +123,7 @@ def global_order(docs: DataFrame, width: int, held: int = 4_000_000, least: int
         fold()
         kept = counts >= least
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes[kept], -1)), pa.array(np.append(counts[kept], total))], ["token", "n"])
+        K.trim()
 
     counted = saved(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "shingle-counts")
     total = counted.where("token = -1").agg(F.sum("n")).first()[0] or 0
@@ -152,6 +153,7 @@ def outlines(docs: DataFrame, shared, width: int, percent: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(flat(lengths))]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat(heads)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(flat(n)), pa.array(flat(s1)), pa.array(flat(s2)), prefix], ["doc_id", "n", "s1", "s2", "prefix"])
+        K.trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, prefix array<long>")
@@ -220,6 +222,7 @@ def placed_sets(docs: DataFrame, places: DataFrame, shared, width: int) -> DataF
                     columns = [batch.column("doc").take(part), pa.array([held[k] for k in part.to_pylist()], pa.binary())]
                     columns += [pc.struct_field(flat.slice(i, 1000), f) for f in fields]
                     yield pa.RecordBatch.from_arrays(columns, ["doc", "tokens", *fields])
+        K.trim()
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in places.schema["place"].dataType.fields)
     text = docs.select(F.col("doc_id").alias("doc"), "text").join(listed, "doc")

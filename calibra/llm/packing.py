@@ -79,7 +79,7 @@ class _Known(dict):
 class Encoder:
     """Texts to bytes of ids; remembers at most `limit` chunks."""
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         self.known = _Known(path, limit)
 
     def __call__(self, text: str | None) -> bytes:

@@ -208,6 +208,7 @@ def _with_scores(docs: DataFrame, model: QualityModel, schema, finish) -> DataFr
         for batch in batches:
             parts = [model.block_scores(data, offs, dense) for _, _, data, offs in K.blocks(*K.flatten(batch.column("text")))]
             yield finish(batch, np.concatenate([np.zeros(0), *parts]))
+        K.trim()
 
     return docs.mapInArrow(run, schema)
 
