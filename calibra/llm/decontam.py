@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import table
+from .tables import numbered, table
 
 WINDOW = 13
 GRAM = 6
@@ -167,7 +167,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_words: int = MAX_WORDS) -> DataFrame:
     """The rows, with all their columns, that are not contaminated."""
     finish = lambda batch, words, hits, names, bad: K.passthrough(batch, ~bad)
-    return _judged(docs, benchmark, window, gram, max_words, docs.schema, finish)
+    rows = numbered(docs)
+    return _judged(rows, benchmark, window, gram, max_words, rows.schema, finish).toDF(*docs.columns)
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,8 @@ def flatten(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     """The bytes of a string or binary column and its document offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if column.null_count:
         column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

@@ -51,8 +51,8 @@ class LineRuns:
     def _run(self, df: DataFrame) -> DataFrame:
         """Writes a run; one file for each bucket."""
         name = f"line_run_{uuid.uuid4().hex}"
-        dealt = df.select("h1", "h2", "n_docs").repartition(self.buckets, "h1")
-        dealt.write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").format("parquet").saveAsTable(name)
+        dealt = df.select("h1", "h2", "n_docs").repartition(self.buckets, "h1", "h2")
+        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
         self.names.append(name)
         return self.spark.table(name)
 

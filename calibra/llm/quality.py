@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import held_out, table, training_rows
+from .tables import held_out, numbered, table, training_rows
 
 BITS = 20
 _byte = np.arange(256)
@@ -227,7 +227,8 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataF
 
 def accepted(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """The rows, with all their columns, that the classifier does not reject."""
-    return _with_scores(docs, model, docs.schema, lambda batch, scores: K.passthrough(batch, scores >= threshold))
+    rows = numbered(docs)
+    return _with_scores(rows, model, rows.schema, lambda batch, scores: K.passthrough(batch, scores >= threshold)).toDF(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns renamed to c0, c1, ... but for the first `text`: names with dots or of any other kind pass through Arrow."""
+    first = docs.columns.index("text")
+    return docs.toDF(*("text" if i == first else f"c{i}" for i in range(len(docs.columns))))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what saved() wrote, once nothing reads it any more."""
     spark = df.sparkSession
