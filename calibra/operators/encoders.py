@@ -129,7 +129,7 @@ def temporal_target_encode(df: DataFrame, group: str, y: str = TARGET, windows:
     earlier = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1)  # one row for each window
     overall = every.select(F.col("window").alias("_w"), (F.sum("s").over(earlier) / F.nullif(F.sum("n").over(earlier), F.lit(0))).alias("overall"))
     table = means.join(F.broadcast(overall), F.col("window") == F.col("_w")).select(F.col("window").alias("_w"), "_g", F.coalesce("own", "overall").alias("encoded"))
-    return rows.join(F.broadcast(table), (F.col("window") == F.col("_w")) & F.col(group).eqNullSafe(F.col("_g"))).withColumn("encoded", F.when(F.col("window") > 0, F.col("encoded"))).drop("_w", "_g")
+    return rows.join(table, (F.col("window") == F.col("_w")) & F.col(group).eqNullSafe(F.col("_g"))).withColumn("encoded", F.when(F.col("window") > 0, F.col("encoded"))).drop("_w", "_g")
 
 
 def cross_fitted_target(df: DataFrame, column: str, y: str = TARGET, folds: int = 5, smooth: float = 10.0, order: Sequence[str] = (DATE, ID)) -> DataFrame:
@@ -146,7 +146,7 @@ def cross_fitted_target(df: DataFrame, column: str, y: str = TARGET, folds: int
     small = sums.withColumns({"ts": F.sum("s").over(own), "tn": F.sum("n").over(own), "as": F.sum("s").over(every), "an": F.sum("n").over(every), "fs": F.sum("s").over(every_fold), "fn": F.sum("n").over(every_fold)})
     prior = (F.col("as") - F.col("fs")) / F.nullif(F.col("an") - F.col("fn"), F.lit(0))
     small = small.select("fold", column, ((F.col("ts") - F.col("s") + smooth * prior) / (F.col("tn") - F.col("n") + smooth)).alias("encoded"))
-    return rows.join(F.broadcast(small), ["fold", column])
+    return rows.join(small, ["fold", column])
 
 
 def fit_ordinal(train: DataFrame, column: str) -> DataFrame:

@@ -29,7 +29,7 @@ def evaluate(scores: DataFrame, keys: Sequence[str] = ("model",), buckets: int =
     y, p = F.col("y"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
     rows = scores.where(finite() & y.isNotNull())
     brier = rows.groupBy(*keys).agg(F.when(is_probability(), F.avg((p - y) * (p - y))).alias("brier"))
-    out = rank.join(F.broadcast(brier), list(keys))
+    out = rank.join(brier, list(keys))
     return out.select(*keys, r6("roc_auc").alias("roc_auc"), r6(2 * F.col("roc_auc") - 1).alias("gini"), r6("ks").alias("ks"), r6("pr_auc").alias("pr_auc"), F.col("n_rows").alias("n"), r6("brier").alias("brier"))
 
 
