@@ -92,7 +92,7 @@ def _merged(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def global_order(docs: DataFrame, width: int, held: int = 1_000_000, least: int = 4) -> Order:
+def global_order(docs: DataFrame, width: int, held: int = 500_000, least: int = 4) -> Order:
     """Counts the documents of every shingle and orders the frequent ones last.
 
     A task keeps at most about 2 * held counters and forgets those of 1 when there are more; it
