@@ -238,7 +238,8 @@ def reliability(scores: DataFrame, bins: int = 10) -> DataFrame:
     even = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / bins)
     edges = edges.join(span, "model").select("model", F.when(F.size("edges") < 3, F.array_distinct(even)).otherwise(F.col("edges")).alias("edges"))
     binned = rows.join(F.broadcast(edges), "model").withColumn("bin", bin_of("score", "edges", "left"))
-    return binned.groupBy("model", "bin").agg(r6(F.avg("score")).alias("mean_score"), r6(F.avg("y")).alias("observed_rate"), F.count("*").alias("n"))
+    mean = r6(F.avg("score") + 1e-11)  # means of few six-digit scores are exact halves; all go up, whatever the sum's last bit
+    return binned.groupBy("model", "bin").agg(mean.alias("mean_score"), r6(F.avg("y")).alias("observed_rate"), F.count("*").alias("n"))
 
 
 def histogram(scores: DataFrame, bins: int = 50) -> DataFrame:

@@ -350,7 +350,7 @@ def _(spark, sf):
     return curves.curve_points(window_scores(spark, sf)).select("model", "score", *(r6(c).alias(c) for c in ("fpr", "tpr", "precision")))
 
 
-@query("E24_reliability", select(f"SELECT model, CAST({left_bin('score', 'e')} AS INTEGER) AS bin, round(avg(score), 6) AS mean_score, round(avg(y), 6) AS observed_rate, count(*) AS n FROM sel JOIN (SELECT model, {distinct(f'quantile_cont(score, {quantiles(10)})')} AS e FROM sel GROUP BY 1) USING (model) GROUP BY ALL", APPS, SCORES))
+@query("E24_reliability", select(f"SELECT model, CAST({left_bin('score', 'e')} AS INTEGER) AS bin, round(avg(score) + 1e-11, 6) AS mean_score, round(avg(y), 6) AS observed_rate, count(*) AS n FROM sel JOIN (SELECT model, {distinct(f'quantile_cont(score, {quantiles(10)})')} AS e FROM sel GROUP BY 1) USING (model) GROUP BY ALL", APPS, SCORES))
 def _(spark, sf):
     return metrics.reliability(window_scores(spark, sf))
 

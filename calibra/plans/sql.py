@@ -22,8 +22,9 @@ _Z = ["-1.6 + 0.000002 * total_amt - 0.00005 * coalesce(income_t1, 0) + 0.01 * (
 MODELS = ["Logistic Regression", "LightGBM", "XGBoost"]
 _names = MODELS + [f"{n} (calibrated)" for n in MODELS] + ["risk_score_rf (benchmark)", "score_RF (benchmark)"]
 _values = [f"round(1 / (1 + exp(-z{i})), 6)" for i in range(3)] + [f"round(1 / (1 + exp(-(0.5 * z{i} - 0.7))), 6)" for i in range(3)] + ["-risk_score_rf", "-score_rf"]
-SCORES = f"""z AS (SELECT *, {", ".join(f"{e} AS z{i}" for i, e in enumerate(_Z))} FROM apps),
-s AS (SELECT authorization_id, mis_date, status_name, target AS y, unnest([{", ".join(f"'{n}'" for n in _names)}]) AS model, unnest([{", ".join(_values)}]) AS score FROM z),
+_rows = " UNION ALL ".join(f"SELECT authorization_id, mis_date, status_name, target AS y, '{n}' AS model, {v} AS score FROM z" for n, v in zip(_names, _values, strict=True))
+SCORES = f"""z AS MATERIALIZED (SELECT *, {", ".join(f"{e} AS z{i}" for i, e in enumerate(_Z))} FROM apps),
+s AS ({_rows}),
 sel AS (SELECT * FROM s WHERE y IS NOT NULL AND mis_date >= DATE '1999-07-01' AND mis_date < DATE '2000-04-01'),
 dev AS (SELECT * FROM s WHERE y IS NOT NULL AND mis_date < DATE '1999-07-01')"""
 
