@@ -73,7 +73,9 @@ def _marks(name: str, attrs: str) -> tuple[bool, bool]:
         elif key == "style":
             boiler |= "display:none" in value.replace(" ", "")
         elif not main and name not in ("html", "body"):
-            boiler |= not _BOILER_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value))
+            for one in value.split():  # "has-sidebar" and the like mark what stands beside one
+                if not one.startswith(("has-", "with-", "no-")):
+                    boiler |= not _BOILER_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", one))
     return boiler, main
 
 
@@ -148,6 +150,8 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
         own_boiler, own_main = _marks(name, m["attrs"] or "")
         if name == "header":
             own_boiler |= not main  # an article's own header holds its title
+        elif name == "main":
+            boiler = False  # whatever its wrappers are called
         stack.append((name, boiler or own_boiler, main or own_main and not boiler, link or name == "a"))
     text(page[at:])
     flush()

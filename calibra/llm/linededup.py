@@ -43,7 +43,8 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, min_docs: int, buckets: int | None = None) -> None:
         self.spark, self.min_docs = spark, min_docs
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # a run has some 24 bytes for a line of a hundred or more, so an eighth of the partitions that suit the texts
+        self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
         self.levels: list[list[DataFrame]] = []
         self.settled: DataFrame | None = None
         self.names: list[str] = []

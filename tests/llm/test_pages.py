@@ -28,6 +28,11 @@ def test_any_page_can_be_read(page):
     assert all(t == t.strip() and t for _, t in html.lines_of(page))
 
 
+def test_wrappers_beside_a_sidebar_are_kept():
+    assert lines("<div class='page has-sidebar'><p>one</p></div><div class='site-menu'>two</div><div class='banner-top'><main><p>three</p></main></div>") == [(html.MAIN, "three")]
+    assert lines("<div class='page has-sidebar'><p>one</p></div><div class='site-menu'>two</div>") == [(html.DOUBTFUL, "one")]
+
+
 def test_references_are_decoded():
     assert html.lines_of("a &lt;b&gt; &#x41; &eacute;")[0][1] == "a <b> A é"
 
