@@ -44,6 +44,19 @@ def psi(base: DataFrame, other: DataFrame, keys: Sequence[str] = ("model",), bin
     return out.select(*keys, r6("psi").alias("psi"), psi_band(F.col("psi")).alias("band"))
 
 
+def psi_timeline(base: DataFrame, other: DataFrame, period: str, bins: int = DEFAULT.score_bins) -> DataFrame:
+    """model, period, n, psi of (model, value, period) rows against the base's quantile bins; the base is binned once for all periods."""
+    edges = quantile_edges(base, ["model"], bins, dedupe=False)
+    counted = lambda df, keys: df.where("value IS NOT NULL").join(F.broadcast(edges), "model").select(*keys, bin_of("value", "edges", "left").alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("c"))
+    share = lambda df, keys, name: df.select(*keys, "bin", (F.col("c") / F.sum("c").over(Window.partitionBy(*keys))).alias(name), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
+    expected = share(counted(base, ["model"]), ["model"], "expected").drop("n")
+    actual = share(counted(other, ["model", period]), ["model", period], "actual")
+    spine = edges.select("model", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
+    grid = actual.select("model", period, "n").distinct().join(spine, "model").join(expected, ["model", "bin"], "left").join(actual.drop("n"), ["model", period, "bin"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return grid.groupBy("model", period, "n").agg(r6(F.sum(psi_term(zero("expected"), zero("actual")))).alias("psi"))
+
+
 def csi(base: DataFrame, other: DataFrame, numeric: Sequence[str], categorical: Sequence[str], bins: int = DEFAULT.score_bins, min_rows: int = 50) -> DataFrame:
     """feature, kind, csi, band, largest first. Numeric features with too few rows or edges are left out."""
     parts = []

@@ -10,7 +10,7 @@ from ..operators import curves, encoders, metrics, resample, search, timesplit
 from ..operators.binning import bin_of, quantile_edges, unpivot
 from ..operators.metrics import r6
 from ..params import CATEGORICAL, DATE, ID, NUMERIC, TARGET
-from .catalog import query
+from .catalog import ORACLES, QUERIES, query
 from .data import FEATURES_SQL, apps, matured_parts, window_scores
 from .sql import APPS, MATURED, MODELS, SCORES, cells, curve, distinct, evaluation, left_bin, quantiles, ranking, right_bin, select, windows
 
@@ -391,3 +391,6 @@ def _(spark, sf):
     return card(spark, sf)
 
 
+# ---- charts whose data is an evaluation table ---------------------------------------------
+for _chart, _table in (("R08_roc_pr_curves", "E23_curve_points"), ("R10_thresholds", "E11_threshold_analysis"), ("R11_reliability", "E24_reliability")):
+    query(_chart, ORACLES[_table])(QUERIES[_table])

@@ -267,6 +267,18 @@ def _(spark, sf):
     return present.executive_summary(metrics.evaluate(s), metrics.capture_at(s))
 
 
+@query(
+    "R13_psi_timeline",
+    select(
+        f"SELECT model, mis_date, n, round({PSI}, 6) AS psi FROM (SELECT g.model, g.mis_date, g.n, coalesce(x.e, 0) AS e, coalesce(q.c, 0) / g.n AS a FROM (SELECT model, mis_date, count(*) AS n FROM sel GROUP BY ALL) g JOIN sp USING (model) LEFT JOIN (SELECT model, bin, c / sum(c) OVER (PARTITION BY model) AS e FROM pb) x ON x.model = g.model AND x.bin = sp.bin LEFT JOIN (SELECT model, mis_date, {left_bin('score', 'e')} AS bin, count(*) AS c FROM sel JOIN ed USING (model) GROUP BY ALL) q ON q.model = g.model AND q.mis_date = g.mis_date AND q.bin = sp.bin) GROUP BY model, mis_date, n",
+        APPS, SCORES, _PSI_CTES,
+    ),
+)
+def _(spark, sf):
+    value = lambda part: window_scores(spark, sf, part).withColumnRenamed("score", "value")
+    return stability.psi_timeline(value("development"), value("selection"), "mis_date")
+
+
 @query("R14_top_drivers", select("SELECT 'iv' AS model, feature, iv AS importance, CAST(row_number() OVER (ORDER BY iv DESC, feature) AS INTEGER) AS rank FROM iv QUALIFY rank <= 3", APPS, MATURED, _WOE))
 def _(spark, sf):
     rows = stability.information_value(woe(spark, sf)).select(F.lit("iv").alias("model"), "feature", F.col("iv").alias("importance"))
