@@ -190,7 +190,7 @@ def shards(reps: DataFrame, percent: int) -> DataFrame:
     edges = saved(shared.where((F.col("total") >= needs) & (F.col("pivot") != F.col("doc")) & (2 * F.col("upto") > needs - 1)).select("doc", "n", "pivot"), "shard-edges")
     load = edges.groupBy("pivot").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
-    load = saved(load.select("pivot", blocks.alias("blocks")), "shard-loads")
+    load = load.select("pivot", blocks.alias("blocks"))
     members = edges.join(load, "pivot").select("doc", "pivot", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
     pivot = load.select(F.col("pivot").alias("doc"), "pivot", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     return members.unionByName(pivot)
@@ -288,11 +288,10 @@ def similar(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     classes = saved(full.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix")), "shingle-classes")
     rows = saved(full.drop("prefix"), "shingle-rows")
     discard(full)
-    dealt = saved(shards(classes.select("doc", "n", "prefix"), percent), "shards")
-    place = dealt.select("doc", F.struct("pivot", "block", "blocks").alias("place"))
+    place = shards(classes.select("doc", "n", "prefix"), percent).select("doc", F.struct("pivot", "block", "blocks").alias("place"))
     found = saved(block_links(placed_sets(docs, place, shared, width), ["pivot", "block"], percent), "links-in-blocks")
     links = found.where("kind = 0").select("a", "b")
-    again = saved(second_look(found, percent), "second-look")
+    again = second_look(found, percent)
     if not again.isEmpty():
         more = block_links(placed_sets(docs, again, shared, width), ["pivot", "i", "j"], percent)
         links = links.unionByName(saved(more, "links-across-blocks").select("a", "b"))
