@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import collections
-import hashlib
 import re
 
 import pytest
