@@ -13,7 +13,7 @@ from ..params import DATE, DEFAULT, ID, MISS_CANDIDATES, STATUS, TARGET
 from ..sources import applications as src
 from ..sources import files
 from .catalog import query
-from .sql import APPS, MATURED, MODELS, SCORES, select, windows
+from .sql import APPS, MATURED, SCORES, select, windows
 
 apps = src.applications
 
@@ -116,7 +116,6 @@ FEATURE_SQL = {
     "F12": {f"miss_{c}": f"CAST({c} IS NULL AS INTEGER)" for c in MISS_CANDIDATES},
 }
 _INT = {"has_codebtor", "has_cards", "has_loans", *(f"miss_{c}" for c in MISS_CANDIDATES)}
-FEATURES_SQL = "f AS (SELECT *, " + ", ".join(f"{e} AS {c}" for part in FEATURE_SQL.values() for c, e in part.items()) + " FROM apps)"
 
 
 def _shown(c: str):
@@ -264,5 +263,3 @@ def _(spark, sf):
     rows = timesplit.fold_members(train, timesplit.rolling_windows(train, 4))
     return rows.groupBy(F.col("window").alias("window_no"), "role").agg(F.count("*").alias("n"), F.sum(TARGET).cast("long").alias("bad"))
 
-
-__all__ = ["MODELS", "apps", "matured_parts", "scores", "window_scores"]

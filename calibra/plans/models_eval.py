@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import features as fx
 from ..operators import curves, encoders, metrics, resample, search, timesplit
-from ..operators.binning import bin_of, quantile_edges, unpivot
+from ..operators.binning import bin_of, quantile_edges
 from ..operators.metrics import r6
-from ..params import CATEGORICAL, DATE, ID, NUMERIC, TARGET
+from ..params import CATEGORICAL, DATE, ID
 from .catalog import ORACLES, QUERIES, query
-from .data import FEATURES_SQL, apps, matured_parts, window_scores
+from .data import apps, matured_parts, window_scores
 from .sql import APPS, MATURED, MODELS, SCORES, cells, curve, distinct, evaluation, left_bin, quantiles, ranking, right_bin, select, windows
 
 parts = matured_parts
@@ -73,7 +72,7 @@ def _(spark, sf):
     return encoders.temporal_target_encode(parts(spark, sf)[0], "csp").select(ID, F.col("window").alias("window_no"), r6("encoded").alias("encoded"))
 
 
-@query("X08_X09_quantile_bins", select(f"SELECT coalesce(CAST({right_bin('max_credit_tj_av', 'e')} AS VARCHAR), 'missing') AS bin, count(*) AS n, min(max_credit_tj_av) AS lo, max(max_credit_tj_av) AS hi FROM test, (SELECT {distinct(f'quantile_cont(max_credit_tj_av, {quantiles(5)})')} AS e FROM train) GROUP BY 1".replace("coalesce(CAST(len", "coalesce(CAST(CASE WHEN max_credit_tj_av IS NOT NULL THEN len").replace(" AS VARCHAR), 'missing')", " END AS VARCHAR), 'missing')"), APPS, MATURED))
+@query("X08_X09_quantile_bins", select(f"SELECT CASE WHEN max_credit_tj_av IS NULL THEN 'missing' ELSE CAST({right_bin('max_credit_tj_av', 'e')} AS VARCHAR) END AS bin, count(*) AS n, min(max_credit_tj_av) AS lo, max(max_credit_tj_av) AS hi FROM test, (SELECT {distinct(f'quantile_cont(max_credit_tj_av, {quantiles(5)})')} AS e FROM train) GROUP BY 1", APPS, MATURED))
 def _(spark, sf):
     train, test = parts(spark, sf)
     edges = quantile_edges(train.select(F.col("max_credit_tj_av").alias("value")), [], 5).select("edges")
@@ -149,7 +148,6 @@ def _(spark, sf):
 
 
 _NUM2, _CAT2 = ["tenor", "age_t1"], ["house_type", "customer_type"]
-_BIN = lambda a: f"CASE WHEN {a} IS NULL THEN 'missing' ELSE 'bin' || CAST((SELECT {right_bin(a, 'e')} FROM (SELECT {distinct(f'quantile_cont({a}, {quantiles(5)})')} AS e FROM train)) AS VARCHAR) END"
 _E5 = ", " + ", ".join(f"e_{a} AS (SELECT {distinct(f'quantile_cont({a}, {quantiles(5)})')} AS e FROM train)" for a in _NUM2)
 _LABEL = lambda a: f"CASE WHEN {a} IS NULL THEN 'missing' ELSE 'bin' || CAST({right_bin(a, f'(SELECT e FROM e_{a})')} AS VARCHAR) END"
 _RATIOS = {"tenor_DIV_age_t1": "tenor / nullif(age_t1, 0)", "tenor_X_age_t1": "tenor * age_t1"}
