@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from calibra.llm import decontam, linededup, ngramjoin, packing, quality
 from calibra.llm.tables import saved, table
 
+#: Near copies share 80 % of their five-word shingles; op9's four words and 85 % are that query's own.
+SHINGLE, PERCENT = 5, 80
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier, learned from the labels of docs, rejects."""
@@ -28,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group of near copies."""
-    return ngramjoin.one_of_each(docs)
+    return ngramjoin.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from calibra.llm import decontam, ngramjoin, trie
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -64,6 +65,16 @@ def test_a_chain_of_copies_is_one_component(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_the_stage_links_five_word_copies(spark, sf):
+    base = [f"w{i}" for i in range(1000)]
+    copy = [f"x{i}" if i % 47 == 23 else w for i, w in enumerate(base)]  # 21 words: J5 0.81, J4 0.845
+    pairs = [(0, " ".join(base)), (1, " ".join(copy))]
+    assert {c for _, _, c in brute_components(pairs)} == {0, 1} and {c for _, _, c in brute_components(pairs, 5, 80)} == {0}
+    rows = pairs + list(enumerate(near_copies(random.Random(4), 150), 2))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows, 5, 80)})
+
+
 def test_odd_documents(spark, odd, nothing):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = ngramjoin.similar(odd).collect()
