@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import curves, encoders, metrics, resample, search, timesplit
 from ..operators.binning import bin_of, quantile_edges
 from ..operators.metrics import r6
-from ..params import CATEGORICAL, DATE, ID
+from ..params import CATEGORICAL, DATE, ID, NUMERIC
 from .catalog import ORACLES, QUERIES, query
 from .data import apps, matured_parts, window_scores
 from .sql import APPS, MATURED, MODELS, SCORES, cells, curve, distinct, evaluation, left_bin, quantiles, ranking, right_bin, select, windows
@@ -169,6 +169,27 @@ def _(spark, sf):
     return search.search_summary(search.search_interactions(parts(spark, sf)[0], _NUM2, _CAT2))
 
 
+# the SQL above fixes a few columns; these search all raw ones
+@query("D01_D04_base_power_all")
+def _(spark, sf):
+    return search.base_power(encoders.windowed(parts(spark, sf)[0], 5), NUMERIC, CATEGORICAL)
+
+
+@query("D05_gate_all")
+def _(spark, sf):
+    return search.gate(search.base_power(encoders.windowed(parts(spark, sf)[0], 5), NUMERIC, CATEGORICAL))
+
+
+@query("D06_D07_interaction_leaderboard_all")
+def _(spark, sf):
+    return search.search_interactions(parts(spark, sf)[0], NUMERIC, CATEGORICAL)
+
+
+@query("D07_search_summary_all")
+def _(spark, sf):
+    return search.search_summary(search.search_interactions(parts(spark, sf)[0], NUMERIC, CATEGORICAL))
+
+
 @query("D10_provenance", "SELECT * FROM (VALUES ('tenor', 'raw', true, true), ('amt_per_month', 'engineered', true, false), ('freq_csp', 'frequency', true, true), ('tenor_X_age_t1', 'interaction', false, false), ('other', 'unknown', false, false)) AS t(feature, provenance, in_candidates, kept)")
 def _(spark, sf):
     return search.provenance(spark, ["tenor", "tenor_X_age_t1"], ["amt_per_month"], ["tenor_X_age_t1"], ["freq_csp"], [], ["tenor", "amt_per_month", "freq_csp", "tenor_X_age_t1", "other"], ["tenor", "amt_per_month", "freq_csp"], ["tenor", "freq_csp"])

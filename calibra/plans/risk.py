@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..operators import bias, governance, metrics, models, present, search, stability, timesplit
+from ..operators import bias, encoders, governance, metrics, models, present, search, stability, timesplit
+from ..operators.binning import quantile_edges, unpivot
 from ..params import CATEGORICAL, DEFAULT, ID, NUMERIC, STATUS, TARGET
 from ..sources import applications as src
 from ..sources import files
@@ -386,10 +387,19 @@ def _(spark, sf):
     """Interactions searched and features chosen on the discovery window only; the frozen list is what comes out."""
     train = fx.engineer(matured_parts(spark, sf)[0], [])
     found = timesplit.discovery_split(train).where("window = 'discovery'").drop("window").persist()
-    board = search.search_interactions(found, ["tenor", "age_t1"], ["house_type", "customer_type"])
-    pairs = [(r["type"], r["a"], r["b"], ()) for r in board.where("selected AND type IN ('ratio', 'product')").collect()]
+    board = search.search_interactions(found, NUMERIC, CATEGORICAL)
+    chosen = board.where("selected").collect()
+    observed = encoders.windowed(found.where(F.col(TARGET).isNotNull()), DEFAULT.search_windows)
+    binned = sorted({r["a"] for r in chosen if r["type"] == "binned_num_cat"})
+    edges = {r["feature"]: r["edges"] for r in quantile_edges(unpivot(observed, [], binned), ["feature"], 5).collect()} if binned else {}
+    pairs = [(r["type"], r["a"], r["b"], edges.get(r["a"], ()) if r["type"] == "binned_num_cat" else ()) for r in chosen]
     rich = fx.add_interactions(found, pairs)
+    # category crosses enter by their outcomes in earlier windows
+    for r in chosen:
+        if r["type"] in ("cat_concat", "binned_num_cat"):
+            rich = encoders.temporal_target_encode(rich, r["feature"]).drop(r["feature"], "window").withColumnRenamed("encoded", r["feature"])
     numeric = [*models.NUMERIC_FEATURES, *(c for c in rich.columns if c not in found.columns)]
+    rich = rich.persist()
     return models.stability_selection(rich, numeric, 2, (0.1,))
 
 
