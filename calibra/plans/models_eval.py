@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import curves, encoders, metrics, resample, search, timesplit
 from ..operators.binning import bin_of, quantile_edges
 from ..operators.metrics import r6
-from ..params import CATEGORICAL, DATE, ID, NUMERIC
+from ..params import BENCHMARKS, CATEGORICAL, DATE, ID, NUMERIC
 from .catalog import ORACLES, QUERIES, query
 from .data import apps, matured_parts, window_scores
 from .sql import APPS, MATURED, MODELS, SCORES, cells, curve, distinct, evaluation, left_bin, quantiles, ranking, right_bin, select, windows
@@ -291,12 +291,12 @@ def _(spark, sf):
 
 @query("E13_paired_bootstrap")
 def _(spark, sf):
-    return resample.paired_bootstrap(window_scores(spark, sf), "Logistic Regression", "score_RF (benchmark)", 200)
+    return resample.paired_bootstrap(window_scores(spark, sf), "Logistic Regression", "score_RF (benchmark)")
 
 
 @query("E14_comparison_table")
 def _(spark, sf):
-    return resample.comparison_table(window_scores(spark, sf), ["Logistic Regression", "LightGBM"], ["score_RF (benchmark)"], 100)
+    return resample.comparison_table(window_scores(spark, sf), MODELS, list(BENCHMARKS))
 
 
 _P = "(VALUES ('a', 0.01), ('b', 0.04), ('c', 0.03), ('d', NULL), ('e', 0.005), ('f', 0.9)) AS t(name, p)"
@@ -310,7 +310,7 @@ def _(spark, sf):
 
 @query("E16_bootstrap_intervals")
 def _(spark, sf):
-    return resample.bootstrap_intervals(window_scores(spark, sf).where(F.col("model").isin(*MODELS)), 100)
+    return resample.bootstrap_intervals(window_scores(spark, sf).where(F.col("model").isin(*MODELS)))
 
 
 OVERFIT = """ov AS (SELECT a.model, a.roc_auc AS train_roc_auc, a.pr_auc AS train_pr_auc, a.brier AS train_brier, b.roc_auc AS test_roc_auc, b.pr_auc AS test_pr_auc, b.brier AS test_brier, round(a.roc_auc - b.roc_auc, 6) AS auc_delta, round(a.pr_auc - b.pr_auc, 6) AS pr_delta, round(b.brier - a.brier, 6) AS brier_delta, round(a.roc_auc - b.roc_auc, 6) > 0.03 OR round(a.pr_auc - b.pr_auc, 6) > 0.03 AS overfit FROM ed a JOIN e b USING (model))"""
@@ -364,6 +364,12 @@ def _(spark, sf):
     return metrics.ensemble_search(window_scores(spark, sf), "Logistic Regression", ["LightGBM", "XGBoost"], 0.25)
 
 
+# in steps of 0.05; the SQL above fixes 0.25
+@query("E21_ensemble_search_all")
+def _(spark, sf):
+    return metrics.ensemble_search(window_scores(spark, sf), "Logistic Regression", ["LightGBM", "XGBoost"])
+
+
 @query("E23_curve_points", select("SELECT model, score, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr, round(tp / (tp + fp), 6) AS precision FROM c", APPS, SCORES, curve("sel")))
 def _(spark, sf):
     return curves.curve_points(window_scores(spark, sf)).select("model", "score", *(r6(c).alias(c) for c in ("fpr", "tpr", "precision")))
