@@ -327,12 +327,12 @@ for _name, _key in (("M01_logistic", "Logistic Regression"), ("M02_additive", "E
 
 @query("M06_out_of_fold")
 def _(spark, sf):
-    return models.out_of_fold(models.SPECS["Logistic Regression"], features(spark, sf)[0], 2)
+    return models.out_of_fold(models.SPECS["Logistic Regression"], features(spark, sf)[0], DEFAULT.cv_folds)
 
 
 @query("M07_stacking")
 def _(spark, sf):
-    return metrics.evaluate(models.stack([models.SPECS["Logistic Regression"], models.SPECS["EBM"]], *features(spark, sf), folds=2))
+    return metrics.evaluate(models.stack(list(models.SPECS.values()), *features(spark, sf), folds=DEFAULT.cv_folds))
 
 
 @query("M08_calibration")
@@ -374,12 +374,15 @@ def _(spark, sf):
 
 @query("M13_S08_tuning_trials")
 def _(spark, sf):
-    return models.tune_logistic(features(spark, sf)[0], 2, 2)
+    return models.tune_logistic(features(spark, sf)[0], 50, DEFAULT.cv_folds)
+
+
+_CS, _L1S = (0.03, 0.1, 0.3, 1.0, 3.0), (0.2, 0.5, 0.8)
 
 
 @query("D08_stability_selection")
 def _(spark, sf):
-    return models.stability_selection(features(spark, sf)[0], models.NUMERIC_FEATURES, 2, (0.03, 1.0))
+    return models.stability_selection(features(spark, sf)[0], models.NUMERIC_FEATURES, DEFAULT.cv_folds, _CS, _L1S)
 
 
 @query("D09_discovery_workflow")
@@ -400,12 +403,12 @@ def _(spark, sf):
             rich = encoders.temporal_target_encode(rich, r["feature"]).drop(r["feature"], "window").withColumnRenamed("encoded", r["feature"])
     numeric = [*models.NUMERIC_FEATURES, *(c for c in rich.columns if c not in found.columns)]
     rich = rich.persist()
-    return models.stability_selection(rich, numeric, 2, (0.1,))
+    return models.stability_selection(rich, numeric, DEFAULT.cv_folds, _CS, _L1S)
 
 
 @query("E18_rolling_refit")
 def _(spark, sf):
-    return models.rolling_validation([models.SPECS["Logistic Regression"]], features(spark, sf)[0], 2)
+    return models.rolling_validation(list(models.SPECS.values()), features(spark, sf)[0])
 
 
 @query("E26_ablations")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from calibra.operators import metrics, resample
+from calibra.operators import metrics, models, resample
 from calibra.params import DEFAULT
 from calibra.plans import data, models_eval, risk  # noqa: F401  these register the queries
 from calibra.plans.catalog import QUERIES
@@ -32,3 +32,18 @@ def test_replicates_and_steps(monkeypatch, spark, sf):
         if name == "comparison_table":
             assert len(seen["candidates"]) == 3 and len(seen["references"]) == 2
     assert arguments(monkeypatch, metrics, "ensemble_search", "E21_ensemble_search_all", spark, sf)["step"] == 0.05
+
+
+def test_folds_grids_and_models(monkeypatch, spark, sf):
+    monkeypatch.setattr(risk, "features", lambda *_: (None, None))
+    monkeypatch.setattr(metrics, "evaluate", lambda rows, *_: rows)
+    seen = lambda name, query: arguments(monkeypatch, models, name, query, spark, sf)
+    assert seen("out_of_fold", "M06_out_of_fold")["folds"] == 5
+    stack = seen("stack", "M07_stacking")
+    assert stack["folds"] == 5 and len(stack["specs"]) == 5
+    tuned = seen("tune_logistic", "M13_S08_tuning_trials")
+    assert (tuned["trials"], tuned["folds"]) == (50, 5)
+    rolled = seen("rolling_validation", "E18_rolling_refit")
+    assert rolled["windows"] == 4 and len(rolled["specs"]) == 5
+    nets = seen("stability_selection", "D08_stability_selection")
+    assert nets["folds"] == 5 and len(nets["cs"]) * len(nets["l1s"]) == 15
