@@ -369,7 +369,7 @@ def _(spark, sf):
 @query("M12_permutation_importance")
 def _(spark, sf):
     train, test = features(spark, sf)
-    return models.permutation_importance(models.SPECS["CatBoost"].fit(train), test, "CatBoost", ["tenor", "age_t1"])
+    return models.permutation_importance(models.SPECS["CatBoost"].fit(train), test, "CatBoost")
 
 
 @query("M13_S08_tuning_trials")

@@ -47,3 +47,9 @@ def test_folds_grids_and_models(monkeypatch, spark, sf):
     assert rolled["windows"] == 4 and len(rolled["specs"]) == 5
     nets = seen("stability_selection", "D08_stability_selection")
     assert nets["folds"] == 5 and len(nets["cs"]) * len(nets["l1s"]) == 15
+
+
+def test_all_features_are_permuted(monkeypatch, spark, sf):
+    monkeypatch.setattr(risk, "features", lambda *_: (None, None))
+    monkeypatch.setattr(models.Spec, "fit", lambda *_: None)
+    assert arguments(monkeypatch, models, "permutation_importance", "M12_permutation_importance", spark, sf)["features"] is None
