@@ -1,20 +1,25 @@
 r"""HTML extraction by nearest-URL page differencing.
 
-A page is cut into text lines (one for each block element) and every line is classed by where
-it stands: *boiler* (menus, headers, footers, sidebars, notices, adverts, forms, comments:
-never text), *main* (running text inside an article or main element), or *doubtful* (lines
-outside such an element where a page has none, and lines made of links alone). Doubtful lines
-are settled by differencing: pages are ordered by URL path within their host, each is aligned
-with the page before and after it by longest common subsequence, and the lines they share are
-deleted as template. A neighbour that shares most of the page's doubtful words is a copy of the
-page, not its template, and is not used.
-
-The ordering is a range partitioning by (host, path), so a host of any size spreads over many
-tasks; only line hashes travel, and the pages at the edges of partitions meet in a table of two
-rows for each partition.
+A page is cut into text lines (one for each block element). Pages are ordered by URL path within
+their host; each is aligned with the nearest page before and after it by longest common
+subsequence of lines, and the lines they share are deleted as template. A neighbour that shares
+more than half of the page's characters is a copy, not a template: the next one is tried, up to
+NEAR pages on each side. Lines inside an article or main element are the text itself and stay,
+shared or not (passages recur across articles); only links standing alone there can be deleted.
+
+What differencing cannot see (a menu or advert no neighbour repeats) is told by markup: on a page
+that marks its article, lines outside it go; on a page that does not, elements, roles, classes
+and ids that name menus, headers, footers, sidebars, notices, adverts, forms or comments go.
+`lists=False` leaves that step out: what is left then rests on differencing and article marks alone.
+
+Equal pages of one host are aligned once, at their least path, so equal html gives equal text.
+The order is a range partitioning by (host, path), cut into blocks of BLOCK pages that overlap by
+NEAR, so a host of any size spreads over many tasks and the result does not depend on
+partitions. Only line hashes travel.
 
 A null html or one without text gives the empty text. A null or unparsable URL is the host ""
-and its own path. Repeated rows give equal results. Columns other than page_id, url and html are ignored.
+and its own path. Repeated rows give equal results. Very long pages are aligned in memory that
+grows with their lines, not with the square. Columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -56,6 +61,10 @@ _MAIN_ROLES = frozenset(("main", "article"))
 _SPACE = re.compile(r"[\s\x1c-\x1f]+")
 
 BOILER, DOUBTFUL, MAIN = 0, 1, 2
+#: Pages looked at on each side, and pages of a block.
+NEAR, BLOCK = 4, 128
+#: Cells of an alignment table that is held whole; larger ones are halved first.
+CELLS = 1 << 21
 
 
 def _marks(name: str, attrs: str) -> tuple[bool, bool]:
@@ -79,8 +88,8 @@ def _marks(name: str, attrs: str) -> tuple[bool, bool]:
     return boiler, main
 
 
-def lines_of(page: str | None) -> list[tuple[int, str]]:
-    """(class, text) of every text line of a page, in page order."""
+def lines_of(page: str | None, lists: bool = True) -> list[tuple[int, str]]:
+    """(class, text) of every text line of a page, in page order; without `lists` no line is boiler."""
     page = page or ""
     out: list[list] = []  # [boiler, in main, text, all of it in links]
     stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # name, boiler, main, link
@@ -152,13 +161,14 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
             own_boiler |= not main  # an article's own header holds its title
         elif name == "main":
             boiler = False  # whatever its wrappers are called
+        own_boiler &= lists
         stack.append((name, boiler or own_boiler, main or own_main and not boiler, link or name == "a"))
     text(page[at:])
     flush()
     marked = any(main and not boiler for boiler, main, *_ in out)
     kinds = []
     for boiler, main, line, links in out:
-        kind = BOILER if boiler or marked and not main else MAIN if main and not links else DOUBTFUL
+        kind = BOILER if boiler or lists and marked and not main else MAIN if main and not links else DOUBTFUL
         kinds.append((kind, line))
     return kinds
 
@@ -172,21 +182,25 @@ def place_of(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def common_subsequence(a: list[int], b: list[int]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b."""
-    both = set(a) & set(b)
-    x, y = [i for i, v in enumerate(a) if v in both], [v for v in b if v in both]
-    if not x:
-        return set()
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of x and every prefix of y."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for v in x:
+        np.maximum.accumulate(np.maximum(row[1:], np.where(y == v, row[:-1] + 1, 0)), out=row[1:])
+    return row
+
+
+def _aligned(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places in x of a longest common subsequence, from a whole table."""
     best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    equal = np.array([a[i] for i in x])[:, None] == np.array(y)[None, :]
+    equal = x[:, None] == y[None, :]
     for i in range(len(x) - 1, -1, -1):
         row = np.maximum(best[i + 1, :-1], np.where(equal[i], best[i + 1, 1:] + 1, 0))
         best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    out, i, j = set(), 0, 0
+    out, i, j = [], 0, 0
     while i < len(x) and j < len(y):
         if equal[i, j] and best[i, j] == best[i + 1, j + 1] + 1:
-            out.add(x[i])
+            out.append(i)
             i, j = i + 1, j + 1
         elif best[i + 1, j] >= best[i, j + 1]:
             i += 1
@@ -195,131 +209,126 @@ def common_subsequence(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def template_lines(own: list[int], sizes: list[int], other: list[int] | None) -> set[int]:
-    """Places among a page's doubtful lines that its neighbour has too; none if the neighbour is a copy of the page."""
-    if not own or not other:
-        return set()
-    shared = common_subsequence(own, other)
-    return set() if 2 * sum(sizes[i] for i in shared) > sum(sizes) else shared
+def common_subsequence(a: list[int], b: list[int], cells: int = CELLS) -> set[int]:
+    """Places in a of a longest common subsequence of a and b; a large table is halved (Hirschberg 1975), so memory is linear."""
+    place, values, others = np.arange(len(a)), np.asarray(a, np.int64), np.asarray(b, np.int64)
+    out: set[int] = set()
+    todo = [(place, values, others)]
+    while todo:
+        place, x, y = todo.pop()
+        keep = np.isin(x, y)
+        place, x, y = place[keep], x[keep], y[np.isin(y, x[keep])]
+        if not len(x):
+            continue
+        if len(x) == 1 or (len(x) + 1) * (len(y) + 1) <= cells:
+            out.update(place[_aligned(x, y)].tolist())
+            continue
+        mid = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:mid], y) + _lengths(x[mid:][::-1], y[::-1])[::-1]))
+        todo += [(place[:mid], x[:mid], y[:cut]), (place[mid:], x[mid:], y[cut:])]
+    return out
+
+
+def shared_lines(lines: list[int], sizes: list[int], other: list[int]) -> set[int] | None:
+    """Places of a page's lines that its neighbour has too, in order; None if the neighbour is a copy of the page."""
+    if lines == other:
+        return None
+    shared = common_subsequence(lines, other)
+    return None if 2 * sum(abs(sizes[i]) for i in shared) > sum(map(abs, sizes)) else shared
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-_ROW = "host string, path string, page string, doubtful array<long>, sizes array<int>, every array<long>"
+def page_key(host: str, page: str | None) -> str:
+    """A 128-bit hash of what a page's alignment depends on, its URL's path apart."""
+    return xxhash.xxh3_128_hexdigest(f"{len(host)}:{host}{page or ''}")
 
 
-def outlines(pages: DataFrame) -> DataFrame:
-    """host, path, page (a hash of the row), and the hashes of its doubtful and of all its lines."""
+def outlines(pages: DataFrame, lists: bool = True) -> DataFrame:
+    """host, path, page (its key), the hashes of its lines and their sizes, negative for lines that stay."""
+    types = [pa.string()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["host", "path", "page", "lines", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html"), strict=True):
                 page = page.as_py()
-                lines = lines_of(page)
-                doubtful = [t for kind, t in lines if kind == DOUBTFUL]
-                rows.append((*place_of(url), page_key(url, page), [_hash(t) for t in doubtful], [len(t) for t in doubtful], [_hash(t) for _, t in lines]))
-            types = [pa.string()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "path", "page", "doubtful", "sizes", "every"])
-
-    return pages.select("url", "html").mapInArrow(run, _ROW)
-
-
-def page_key(url: str | None, page: str | None) -> str:
-    """A 128-bit hash of what a page's result depends on."""
-    return xxhash.xxh3_128_hexdigest(f"{len(url or '')}:{url or ''}{page or ''}")
-
-
-def deletions(pages: DataFrame) -> DataFrame:
-    """page and the places of its doubtful lines to delete, for the pages that have any."""
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = saved(outlines(pages).distinct().repartitionByRange(parts, "host", "path", "page").sortWithinPartitions("host", "path", "page").withColumn("part", F.spark_partition_id()), "page-outlines")
-    found = neighbours(ordered)
-    edges = found.where("edge").select("part", "last", *(c.split()[0] for c in _ROW.split(", ")))
-    return found.where("NOT edge").select("page", "gone").unionByName(edge_neighbours(edges)).groupBy("page").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")).where("size(gone) > 0")
-
-
-def _row_schema() -> list[str]:
-    return ["host", "path", "page", "doubtful", "sizes", "every"]
-
-
-def _gone(row: dict, other: dict) -> list[int]:
-    return sorted(template_lines(row["doubtful"], row["sizes"], other["every"])) if row["host"] == other["host"] else []
-
-
-def neighbours(ordered: DataFrame) -> DataFrame:
-    """Deletions of pages from the pages next to them in one partition; the first and last page of each come out as edges too."""
-    names = _row_schema()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send(rows: list[tuple[dict, list[int], bool, bool]]) -> pa.RecordBatch:
-            held = {n: [r[0][n] for r in rows] for n in ["part", *names]}
-            types = {"part": pa.int32(), "host": pa.string(), "path": pa.string(), "page": pa.string(), "doubtful": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "every": pa.list_(pa.int64())}
-            columns = {n: pa.array(v, types[n]) for n, v in held.items()}
-            columns |= {"gone": pa.array([r[1] for r in rows], pa.list_(pa.int32())), "edge": pa.array([r[2] for r in rows], pa.bool_()), "last": pa.array([r[3] for r in rows], pa.bool_())}
-            return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-        before, bare = None, {"doubtful": [], "sizes": [], "every": []}
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if before is None or before["part"] != row["part"]:
-                    if before is not None:
-                        out.append((before, [], True, True))
-                    out.append((row, [], True, False))
-                else:
-                    out += [(x | bare, gone, False, False) for x, y in ((row, before), (before, row)) if (gone := _gone(x, y))]
-                before = row
-            yield send(out)
-        if before is not None:
-            yield send([(before, [], True, True)])
-
-    return ordered.mapInArrow(run, f"part int, {_ROW}, gone array<int>, edge boolean, last boolean")
-
-
-def edge_neighbours(edges: DataFrame) -> DataFrame:
-    """Deletions across edges: the last page of one run of neighbours and the first of the next."""
-    names = _row_schema()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-        for batch in batches:
-            out: list[tuple[str, list[int]]] = []
-            for row in batch.to_pylist():
-                if before is not None and before["last"] and not row["last"]:
-                    out += [(x["page"], gone) for x, y in ((row, before), (before, row)) if (gone := _gone(x, y))]
-                before = row
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([g for _, g in out], pa.list_(pa.int32()))], ["page", "gone"])
-
-    ordered = edges.select("last", *names).repartition(1).sortWithinPartitions("host", "path", "page", "last")
-    return ordered.mapInArrow(run, "page string, gone array<int>")
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url and text of every row."""
-    keyed = pages.select("page_id", "url", "html", F.lit(None).cast("array<int>").alias("gone"))
-    gone = saved(deletions(pages), "page-deletions")
-    if not gone.isEmpty():
-        hashed = with_keys(pages)
-        keyed = hashed.join(gone, "page", "left").select("page_id", "url", "html", "gone")
+                host, path = place_of(url)
+                lines = lines_of(page, lists)
+                rows.append((host, path, page_key(host, page), [_hash(t) for _, t in lines], [-len(t) if kind == MAIN else len(t) for kind, t in lines]))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return pages.select("url", "html").mapInArrow(run, "host string, path string, page string, lines array<long>, sizes array<int>")
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """The rows with their place in the order of (host, path, page), from 0, over all partitions."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["host", "path", "page"]
+    held = saved(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "page-outlines")
+    part = F.shiftright("at", 33)
+    sizes = sorted(tuple(r) for r in held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each partition
+    before, total = [], 0
+    for k, n in sizes:
+        before.append((k, total - (k << 33)))
+        total += n
+    offsets = rows.sparkSession.createDataFrame(before, "part long, shift long")
+    return held.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("place", F.col("at") + F.col("shift")).drop("at", "shift", "part")
+
+
+def deletions(pages: DataFrame, lists: bool = True) -> DataFrame:
+    """page (its key) and the places of its lines to delete, for the pages that have any."""
+    rows = outlines(pages, lists).groupBy("host", "page").agg(F.min("path").alias("path"), F.first("lines").alias("lines"), F.first("sizes").alias("sizes"))
+    block = lambda shift: F.floor((F.col("place") + shift) / BLOCK)
+    dealt = ranked(rows).withColumn("block", F.explode(F.array_distinct(F.array(block(-NEAR), block(0), block(NEAR)))))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["place"])
+        keys, gone = [], []
+        for i, row in enumerate(rows):
+            if row["place"] // BLOCK != key[0].as_py():
+                continue
+            found: set[int] = set()
+            for side in (-1, 1):
+                for k in range(1, NEAR + 1):
+                    j = i + side * k
+                    if not 0 <= j < len(rows) or rows[j]["host"] != row["host"]:
+                        break
+                    shared = shared_lines(row["lines"], row["sizes"], rows[j]["lines"])
+                    if shared is not None:
+                        found |= shared
+                        break
+            found = {i for i in found if row["sizes"][i] > 0}
+            if found:
+                keys.append(row["page"])
+                gone.append(sorted(found))
+        return pa.table({"page": pa.array(keys, pa.string()), "gone": pa.array(gone, pa.list_(pa.int32()))})
+
+    return dealt.groupBy("block").applyInArrow(run, "page string, gone array<int>")
+
+
+def extract(pages: DataFrame, lists: bool = True) -> DataFrame:
+    """page_id, url, text and n_template (long, lines that differencing deleted) of every row."""
+    gone = saved(deletions(pages, lists), "page-deletions")
+    # the written table's size is known, so a small one is broadcast and a large one is merge-joined
+    keyed = with_keys(pages).join(gone, "page", "left").select("page_id", "url", "html", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            texts, counts = [], []
             for page, places in zip(batch.column("html"), batch.column("gone").to_pylist(), strict=True):
-                drop, nth, kept = set(places or ()), 0, []
-                for kind, line in lines_of(page.as_py()):
-                    if kind == MAIN or kind == DOUBTFUL and nth not in drop:
-                        kept.append(line)
-                    nth += kind == DOUBTFUL
-                texts.append("\n\n".join(kept))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+                drop = set(places or ())
+                texts.append("\n\n".join(line for i, (kind, line) in enumerate(lines_of(page.as_py(), lists)) if kind != BOILER and i not in drop))
+                counts.append(len(drop))
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_template"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"page_id {kind}, url string, text string")
+    return keyed.mapInArrow(run, f"page_id {kind}, url string, text string, n_template long")
 
 
 def with_keys(pages: DataFrame) -> DataFrame:
@@ -327,7 +336,7 @@ def with_keys(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [page_key(u, h.as_py()) for u, h in zip(batch.column("url").to_pylist(), batch.column("html"), strict=True)]
+            keys = [page_key(place_of(u)[0], h.as_py()) for u, h in zip(batch.column("url").to_pylist(), batch.column("html"), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], [*batch.schema.names, "page"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

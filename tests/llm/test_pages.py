@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
+import random
+import tracemalloc
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from calibra.llm import html, warc
 from calibra.llm.tables import scratch, table
@@ -68,6 +73,98 @@ def test_common_subsequence():
     assert len(html.common_subsequence([1, 2, 1, 2], [2, 1, 2, 1])) == 3
 
 
+def length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize("cells", [1, 20, 1 << 20])
+def test_alignment_against_brute_force(cells):
+    rng = random.Random(cells)
+    for _ in range(200):
+        a, b = ([rng.randrange(rng.choice((2, 6, 30))) for _ in range(rng.randrange(25))] for _ in range(2))
+        places = sorted(html.common_subsequence(a, b, cells))
+        assert len(places) == length(a, b)
+        rest = iter(b)
+        assert all(a[i] in rest for i in places)  # in order
+
+
+def test_long_alignments_need_linear_memory():
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 50, 6000).tolist() for _ in range(2))
+    tracemalloc.start()
+    html.common_subsequence(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # the whole table has 144 MB
+
+
+def brute_texts(rows, lists):
+    """Texts by looking through each host's pages one by one."""
+    parsed = {}
+    for _, url, page in rows:
+        (host, path), lines = html.place_of(url), html.lines_of(page, lists)
+        key = host, page or ""
+        parsed[key] = min(parsed.get(key, (path, lines)), (path, lines), key=lambda v: v[0])
+    order = sorted(parsed, key=lambda k: (k[0], parsed[k][0], html.page_key(*k)))
+    texts = {}
+    for n, key in enumerate(order):
+        lines, gone = parsed[key][1], set()
+        for side in (order[max(n - html.NEAR, 0) : n][::-1], order[n + 1 : n + 1 + html.NEAR]):
+            for other in side:
+                if other[0] != key[0]:
+                    break
+                shared = html.common_subsequence([hash(t) for _, t in lines], [hash(t) for _, t in parsed[other][1]])
+                if 2 * sum(len(lines[i][1]) for i in shared) <= sum(len(t) for _, t in lines) and [t for _, t in lines] != [t for _, t in parsed[other][1]]:
+                    gone |= {i for i in shared if lines[i][0] != html.MAIN}
+                    break
+        texts[key] = "\n\n".join(t for i, (kind, t) in enumerate(lines) if kind != html.BOILER and i not in gone)
+    return [(page_id, texts[html.place_of(url)[0], page or ""]) for page_id, url, page in rows]
+
+
+@pytest.mark.parametrize("lists", [True, False])
+def test_texts_against_brute_force(spark, sf, lists):
+    rng = random.Random(4)
+    rows = [tuple(r) for r in table(spark, sf, "pages").select("page_id", "url", "html").collect()]
+    for i in range(400):  # one host of many pages that mark no article; menus, copies and near copies
+        body = "".join(f"<p>{rng.choice(['Home', 'About us', 'News', f'text {rng.randrange(60)} of some length here'])}</p>" for _ in range(rng.randrange(6)))
+        rows.append((10_000 + i, f"http://big.example/{rng.randrange(300)}", rng.choice([body, f"<body><nav>x</nav>{body}</body>", rows[-1][2]])))
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), lists)
+    assert sorted((r["page_id"], r["text"]) for r in got.collect()) == sorted(brute_texts(rows, lists))
+
+
+def test_a_run_of_copies_is_looked_past(spark):
+    page = "<body><div>Welcome</div><p>the same long text again, {}</p></body>"
+    rows = [(i, f"http://h.example/{i}", page.format("" if 0 < i < 4 else f"or rather another one, number {i}")) for i in range(5)]
+    rows += [(10 + i, f"http://g.example/{i}", f"<body><p>first line of the copies {i}</p><p>a second line which is much longer than the others</p></body>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Welcome" not in got[i] for i in range(5))
+    assert all("second line" in got[10 + i] for i in range(3))
+
+
+def test_differencing_works_without_markup_lists(spark):
+    """On the tables' own pages lines are deleted, and the article survives with no element, role or class list at all."""
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    held = html.extract(pages).withColumnRenamed("text", "full").select("page_id", "full")
+    got = html.extract(pages, lists=False)
+    assert got.agg(F.sum("n_template")).first()[0] > 300
+    both = got.join(held, "page_id").select(F.split("text", "\n\n").alias("a"), F.split("full", "\n\n").alias("b"))
+    assert both.where(F.size(F.array_except("b", "a")) > 0).isEmpty()
+
+
+def test_columns_of_clashing_names(spark):
+    rows = [(1, "http://h.example/a", "<p>one", "x", 7, [1]), (2, "http://h.example/b", "<p>two", "y", 8, [2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, host int, gone array<int>").withColumn("page", F.lit(1)).withColumn("lines", F.lit(2))
+    assert {(r["page_id"], r["text"]) for r in html.extract(df).collect()} == {(1, "one"), (2, "two")}
+    path = scratch(spark, "warc-clash")
+    warc.write_archives(df.withColumn("same", F.lit(1)).withColumn("refers_to", F.lit(5)), path)
+    assert warc.reassemble(warc.read_records(spark, path)).where("intact AND payload_bytes = 6").count() == 2
+
+
 def test_pages_of_the_tables(spark, sf):
     got = html.op5_html(spark, sf)
     pages = table(spark, sf, "pages")
