@@ -1,12 +1,15 @@
 r"""Line deduplication over levelled sorted runs of line hashes. DataFrame operations only.
 
 A line's key is the line stripped of ASCII white space at both ends, with A-Z lowered; it is
-held as two 64-bit hashes. A run is a table (h1, h2, n_docs) bucketed and sorted by hash. A new
-batch of documents is counted, merge-anti-joined with the settled run (keys known to be in
-min_docs documents, which need no more counting), and added as a run of level 0. Whenever a
-level holds two runs they are merged by a full outer merge join into one run of the next level,
-and keys that reached min_docs move to the settled run. Runs share their buckets, so joins
-between them need no shuffle.
+held as two 64-bit hashes. A run is a table (h1, h2, n_docs) bucketed and sorted by hash. There
+are open runs (keys that may still reach min_docs documents) and settled runs (keys that did, and
+need no more counting). A new batch of documents is counted, merge-anti-joined with every
+settled run, and what is left is added: keys that reach min_docs in the batch alone as a settled
+run of level 0, the others as an open run of level 0. Whenever a level holds two runs of a kind,
+a full outer merge join compacts them into one run of the next level; open keys that reach
+min_docs by it move to the settled runs. So a key is rewritten once for each level, not for each
+batch, and there are never more runs than levels. Runs share their buckets, so no join between
+them shuffles. Runs lie in the shared folder and are dropped when done, after a failure too.
 
 A null or empty text is one empty line; empty keys are never dropped. Every row counts as a
 document, repeated rows too. A text whose lines all go becomes the empty text. Other columns
@@ -21,9 +24,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import saved, table
+from .tables import remove, saved, scratch, table
 
 _SPACE = " \t\n\x0b\x0c\r"
+#: Parts a table is counted in.
+BATCHES = 4
 
 
 def lines(text: str = "text") -> Column:
@@ -39,66 +44,88 @@ def _hashes(key: Column) -> list[Column]:
 
 
 class LineRuns:
-    """Counts of documents by line key, kept as levelled sorted runs in the warehouse."""
+    """Counts of documents by line key, kept as levelled sorted runs in the shared folder."""
 
     def __init__(self, spark: SparkSession, min_docs: int, buckets: int | None = None) -> None:
         self.spark, self.min_docs = spark, min_docs
         # a run has some 24 bytes for a line of a hundred or more, so an eighth of the partitions that suit the texts
         self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-        self.levels: list[list[DataFrame]] = []
-        self.settled: DataFrame | None = None
-        self.names: list[str] = []
+        self.open: list[DataFrame | None] = []
+        self.settled: list[DataFrame | None] = []
+        self.anti_joins = 0
+        self.paths: dict[str, str] = {}
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def _run(self, df: DataFrame) -> DataFrame:
-        """Writes a run; one file for each bucket."""
+        """Writes a run of rows that are dealt to buckets already; one file for each bucket."""
         name = f"line_run_{uuid.uuid4().hex}"
-        dealt = df.select("h1", "h2", "n_docs").repartition(self.buckets, "h1", "h2")
-        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
-        self.names.append(name)
+        self.paths[name] = scratch(self.spark, name)
+        df.select("h1", "h2", "n_docs").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", self.paths[name]).saveAsTable(name)
         return self.spark.table(name)
 
     def close(self) -> None:
         """Drops the runs; what frequent() returned stays."""
-        for name in self.names:
+        for name, path in self.paths.items():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.names, self.levels, self.settled = [], [], None
+            remove(self.spark, path)
+        self.paths, self.open, self.settled = {}, [], []
 
     def add(self, docs: DataFrame) -> None:
-        """Counts a batch of documents."""
+        """Counts a batch of documents and adds its runs."""
         keys = F.array_distinct(F.transform(lines(), line_key))
         counts = docs.select(F.explode(keys).alias("key")).where("key != ''").select(*_hashes(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
-        if self.settled is not None:
-            counts = counts.join(self.settled, ["h1", "h2"], "left_anti")
-        self._push(self._run(counts), 0)
-
-    def _push(self, run: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) > 1:
-            first, second = self.levels[level]
-            self.levels[level] = []
-            self._push(self._merge(first, second), level + 1)
+        dealt = counts.repartition(self.buckets, "h1", "h2")
+        for run in self.settled:
+            if run is not None:
+                dealt = dealt.join(run.hint("merge"), ["h1", "h2"], "left_anti")
+                self.anti_joins += 1
+        self._split(self._run(dealt), 0)
+
+    def _split(self, run: DataFrame, level: int) -> None:
+        """Adds a run of counts: what reached min_docs to the settled runs, the rest to the open ones."""
+        if not run.where(F.col("n_docs") >= self.min_docs).isEmpty():
+            self._push(self.settled, self._run(run.where(F.col("n_docs") >= self.min_docs)), 0)
+        self._push(self.open, run.where(F.col("n_docs") < self.min_docs), level)
+
+    def _push(self, runs: list[DataFrame | None], run: DataFrame, level: int) -> None:
+        while len(runs) <= level:
+            runs.append(None)
+        if runs[level] is None:
+            runs[level] = run
+            return
+        both = self._merge(runs[level], run)
+        runs[level] = None
+        if runs is self.settled:
+            self._push(runs, both, level + 1)
+        else:
+            self._split(both, level + 1)
 
     def _merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
         n = F.coalesce(a["n_docs"], F.lit(0)) + F.coalesce(b["n_docs"], F.lit(0))
         keys = (a["h1"] == b["h1"]) & (a["h2"] == b["h2"])
-        both = self._run(a.join(b, keys, "full").select(F.coalesce(a["h1"], b["h1"]).alias("h1"), F.coalesce(a["h2"], b["h2"]).alias("h2"), n.alias("n_docs")))
-        done = both.where(F.col("n_docs") >= self.min_docs)
-        self.settled = self._run(done if self.settled is None else self.settled.unionByName(done))
-        return both.where(F.col("n_docs") < self.min_docs)
+        return self._run(a.join(b.hint("merge"), keys, "full").select(F.coalesce(a["h1"], b["h1"]).alias("h1"), F.coalesce(a["h2"], b["h2"]).alias("h2"), n.alias("n_docs")))
 
     def frequent(self) -> DataFrame:
-        """(h1, h2) of all keys in at least min_docs documents, after merging all runs."""
-        rest = [run for level in self.levels for run in level]
+        """(h1, h2) of all keys in at least min_docs documents, after compacting all open runs into one."""
+        rest = [run for run in self.open if run is not None]
+        self.open = []
         while len(rest) > 1:
-            rest = [self._merge(rest[0], rest[1]), *rest[2:]]
-        self.levels = [rest]
-        parts = [df for df in (self.settled, *(r.where(F.col("n_docs") >= self.min_docs) for r in rest)) if df is not None]
+            both = self._merge(rest[0], rest[1])
+            rest = [both, *rest[2:]]
+        # keys in the last run that reached min_docs by these merges; a settled key is in no open run that was added after
+        parts = [*(run for run in self.settled if run is not None), *(r.where(F.col("n_docs") >= self.min_docs) for r in rest)]
+        self.open = rest
+        if not parts:
+            return self.spark.createDataFrame([], "h1 long, h2 long")
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
-        return saved(out.select("h1", "h2"), "frequent-lines")
+        return saved(out.select("h1", "h2").distinct(), "frequent-lines")
 
 
 def batches(docs: DataFrame, n: int) -> list[DataFrame]:
@@ -106,16 +133,14 @@ def batches(docs: DataFrame, n: int) -> list[DataFrame]:
     return [docs.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [docs]
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, n_batches: int = 2) -> DataFrame:
-    runs = LineRuns(docs.sparkSession, min_docs)
-    for batch in batches(docs.select("text"), n_batches):
-        runs.add(batch)
-    out = runs.frequent()
-    runs.close()
-    return out
+def frequent_lines(docs: DataFrame, min_docs: int, n_batches: int = BATCHES) -> DataFrame:
+    with LineRuns(docs.sparkSession, min_docs) as runs:
+        for batch in batches(docs.select("text"), n_batches):
+            runs.add(batch)
+        return runs.frequent()
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, n_batches: int = 2, key: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, n_batches: int = BATCHES, key: str = "doc_id") -> DataFrame:
     """The rows with text replaced by its kept lines, plus n_lines and n_dropped (long).
 
     Columns of docs named n_lines or n_dropped are replaced.

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,25 +29,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. A local one is set where that is unset, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="calibra-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
 
 
+#: Folders made by scratch() inside cleaned(), one list for each level of nesting.
+_made: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Deletes, on leaving, what scratch() and saved() made inside, failed jobs' folders too.
+
+    For work whose result has been written (outside, or by saved() before this began)."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            remove(spark, path)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The rows written to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
+    path = path or scratch(df.sparkSession, name)
     small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -59,10 +89,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes what saved() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, folder)
 
 
 def held_out(doc_id: str = "doc_id"):

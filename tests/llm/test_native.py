@@ -25,7 +25,7 @@ def brute_lines(texts, least):
     return out
 
 
-@pytest.mark.parametrize("least, batches", [(2, 1), (2, 2), (3, 5), (1, 3), (100, 2)])
+@pytest.mark.parametrize("least, batches", [(2, 1), (2, 2), (3, 5), (1, 3), (100, 2), (2, 4)])
 def test_lines_against_brute_force(odd, least, batches):
     rows = odd.select("doc_id", "text").collect()
     want = sorted(map(repr, ((r["doc_id"], *w) for r, w in zip(rows, brute_lines([r["text"] for r in rows], least), strict=True))))
@@ -50,12 +50,52 @@ def test_no_rows(nothing):
     assert licenses.scan(nothing).count() == 0
 
 
-def test_joins_between_runs_need_no_shuffle(spark):
-    runs = linededup.LineRuns(spark, 10, buckets=4)
-    a, b = (runs._run(spark.range(50).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.lit(1).cast("long").alias("n_docs"))) for _ in range(2))
-    plan = a.hint("merge").join(b, ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
-    runs.close()
-    assert "Exchange" not in plan
+@pytest.fixture
+def written(monkeypatch):
+    """The executed plans of all line runs written, and the LineRuns used."""
+    plans, made = [], []
+    run, init = linededup.LineRuns._run, linededup.LineRuns.__init__
+
+    def keep(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return run(self, df)
+
+    def note(self, *args, **kw):
+        made.append(self)
+        init(self, *args, **kw)
+
+    monkeypatch.setattr(linededup.LineRuns, "_run", keep)
+    monkeypatch.setattr(linededup.LineRuns, "__init__", note)
+    return plans, made
+
+
+def test_the_query_anti_joins_settled_runs_and_compacts(spark, sf, written):
+    linededup.op4_linededup(spark, "/root/testdata/sf0.01")
+    plans, made = written
+    anti, full = ([p for p in plans if kind in p] for kind in ("LeftAnti", "FullOuter"))
+    assert len(anti) >= linededup.BATCHES - 1 and made[0].anti_joins >= linededup.BATCHES - 1
+    assert full and all("SortMergeJoin" in p for p in anti + full)
+    assert all("Exchange" not in p for p in full)  # runs are merged bucket by bucket
+    assert all(p.count("Exchange") <= 2 for p in anti)  # the counting and the dealing to buckets; none for the settled run
+    assert not made[0].paths  # all dropped
+
+
+def test_runs_are_levelled(spark):
+    docs = spark.createDataFrame([(i, f"own {i}\nhot\npair {i // 2}") for i in range(64)], "doc_id long, text string")
+    with linededup.LineRuns(spark, 2, buckets=2) as runs:
+        for k, batch in enumerate(linededup.batches(docs, 8), 1):
+            runs.add(batch)
+            for kind in (runs.open, runs.settled):
+                assert sum(r is not None for r in kind) <= k.bit_length()  # not a run for each batch
+        assert runs.frequent().count() == 1 + 32
+
+
+def test_failed_counting_leaves_no_runs(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(linededup.LineRuns, "frequent", lambda self: seen.append(dict(self.paths)) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        linededup.frequent_lines(spark.createDataFrame([("a\nb",)] * 3, "text string"), 2)
+    assert seen[0] and not any(spark.catalog.tableExists(name) for name in seen[0])
 
 
 def brute_license(text):
