@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -182,7 +184,7 @@ def test_chunk_framing():
 
 
 def test_parse_reads_what_record_writes():
-    data = b"".join(r + b"\r\n" for r in warc.page_records("7", 0, "http://a/ü\r\nb", b"WARC/1.1\r\n\r\n" * 50, None, 300))
+    data = b"".join(warc.page_records("7", "http://a/ü\r\nb", b"WARC/1.1\r\n\r\n" * 50, "2024-01-01T00:00:00Z", segment=300))
     got = list(warc.parse(data))
     assert [h["warc-type"] for h, _ in got] == ["response"] + ["continuation"] * (len(got) - 1)
     assert warc.payload_of(b"".join(bytes(b) for _, b in got)) == b"WARC/1.1\r\n\r\n" * 50
@@ -190,6 +192,70 @@ def test_parse_reads_what_record_writes():
         list(warc.parse(data[:-5]))
 
 
+def by_hand(kind, name, block, *more):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{name}>", "WARC-Date: 2020-02-02T00:00:00Z", f"WARC-Target-URI: http://h/{name}", *more, f"content-length:{len(block)}"]
+    return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_reads_archives_it_did_not_write(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    digest = "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    page = lambda name, *more: by_hand("response", name, http + b"body", "Content-Type: application/http; msgtype=response", digest, *more)
+    records = [by_hand("warcinfo", "i", b"x: y\r\n"), by_hand("request", "q", b"GET /"), *(page(f"p{i}") for i in range(5))]
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(records[2] + records[3]) + gzip.compress(b"") + gzip.compress(records[4]))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    whole = b"".join(gzip.compress(r) for r in records[2:])
+    (tmp_path / "cut.warc.gz").write_bytes(whole[:-9])
+    (tmp_path / "torn.warc.gz").write_bytes(gzip.compress(records[2]) + b"\x1f\x8bgarbage that is no member")
+    (tmp_path / "wrong.warc").write_bytes(page("w").replace(b"body", b"bodx"))
+    got = {}
+    for file in tmp_path.iterdir():
+        rows = warc.reassemble(warc.read_records(spark, f"file://{tmp_path}", file.name)).collect()
+        got[file.name] = sorted((r["record_type"], r["url"], r["intact"], r["payload_digest"]) for r in rows if r["record_type"] != "damaged"), sum(r["record_type"] == "damaged" for r in rows)
+    ok = [("response", f"http://h/p{i}", True, hashlib.sha1(b"body").hexdigest()) for i in range(5)]
+    assert got["each.warc.gz"] == got["plain.warc"] == (ok, 0)
+    assert got["two.warc.gz"] == (ok[:3], 0)
+    assert got["cut.warc.gz"] == (ok[:4], 1) and got["torn.warc.gz"] == (ok[:1], 1)
+    assert [r[2] for r in got["wrong.warc"][0]] == [False]
+
+
+def test_archives_are_valid(spark):
+    path = scratch(spark, "warc-valid")
+    warc.write_archives(spark.createDataFrame(ODD_PAGES, "page_id long, url string, html string"), path, segment=500, per_file=7)
+    names, kinds, responses, revisits = [], [], {}, []
+    for row in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect():
+        data = bytes(row["content"])
+        parts = [list(warc.parse(m)) for m in warc.members(data)]
+        assert gzip.decompress(data) == b"".join(warc.members(data)) and all(len(p) == 1 for p in parts) and len(parts) <= 7
+        heads = [h for [(h, _)] in parts]
+        assert [h["warc-type"] for h in heads].index("warcinfo") == 0 and [h["warc-type"] for h in heads].count("warcinfo") == 1
+        for h, block in (p[0] for p in parts):
+            names.append(h["warc-record-id"])
+            kinds.append(h["warc-type"])
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["warc-date"]) and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", names[-1])
+            assert kinds[-1] == "warcinfo" or h["warc-target-uri"]
+            if kinds[-1] == "response":
+                responses[names[-1]] = h
+            if kinds[-1] == "revisit":
+                revisits.append(h)
+            if kinds[-1] == "continuation":
+                assert h["warc-segment-origin-id"] and int(h["warc-segment-number"]) > 1 and "content-type" not in h
+    assert len(set(names)) == len(names) and set(kinds) == {"warcinfo", "response", "revisit", "continuation"}
+    for h in revisits:  # every reference is to a response of the same payload
+        other = responses[h["warc-refers-to"]]
+        assert (other["warc-payload-digest"], other["warc-target-uri"], other["warc-date"]) == (h["warc-payload-digest"], h["warc-refers-to-target-uri"], h["warc-refers-to-date"])
+        assert other["calibra-page-id"] == h["calibra-refers-to-page-id"]
+
+
+def test_page_ids_of_text_with_slashes(spark):
+    path = scratch(spark, "warc-names")
+    pages = [(k, "http://h/", "x" * 2000) for k in ("a/b", "a/c", "None", "a b>\r\nü")]
+    warc.write_archives(spark.createDataFrame(pages, "page_id string, url string, html string"), path)
+    got = warc.reassemble(warc.read_records(spark, path), "string").collect()
+    assert sorted((r["page_id"], r["refers_to"], r["intact"]) for r in got) == sorted((p[0], None if p[0] == "a/c" else "a/c", True) for p in pages)
+
+
 ODD_PAGES = [(1, "u", None), (2, None, ""), (3, "u", "é" * 600), (4, "v", "é" * 600), (5, "v", "x" * 999), (6, "w", "x" * 999), (7, "w", "long " * 60_000), (8, "w", "long " * 60_000), (None, "z", "long " * 60_000), (9, "a b\n", "WARC/1.1\r\n" * 200), (4, "v", "é" * 600)]
 
 
