@@ -104,21 +104,34 @@ def brute_license(text):
     w = pattern.findall(lower)
     places = [(i, label) for label, p in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     best, more = 0.0, set()
-    for line in lower.split("\n"):
-        held = set(pattern.findall(line))
-        for label, t in licenses.TEMPLATES:
-            want = set(t.split())
-            if 100 * len(want & held) >= licenses.THRESHOLD * len(want):
-                more.add(label)
-                best = max(best, len(want & held) / len(want))
+    for t in licenses.TEMPLATES:
+        for i in range(0, len(w), t.span):
+            held = set(w[i : i + 2 * t.span])
+            if 100 * len(held & set(t.words)) >= licenses.THRESHOLD * len(t.words) and held.isdisjoint(t.without) and held.issuperset(t.must):
+                more.add(t.label)
+                best = max(best, len(held & set(t.words)) / len(t.words))
     base = {label for _, label in places}
     first = min((i for i, _ in places), default=None), max((i for i, _ in places), default=None)
     return len(w), len(places), *first, ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if places else best
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+APACHE = """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0"""
+FAR = " ".join(["all", *["word"] * 1000, "rights", *["word"] * 1000, "reserved"])
 LICENSES = [
     "Released under the MIT License.", "under the mit\nlicense under-the-MIT-license", "Licensed under the Apache License, Version 2.0 here", "apache license version 2", "xcc by nc", "CC BY-NC 4.0", "All rights reserved", "rights all\nreserved",
     "permission is granted free of charge to any person obtaining a copy of this software and associated documentation files", "this work is licensed under the gnu general public license version", None, "", "under the mit licenseé",
+    MIT, "some words before " * 40 + MIT.replace("sell", "vend") + " and after" * 300, APACHE, "x " * 777 + APACHE, FAR, "released under the gpl license",
+    *(t[1] for t in licenses.TEXTS), " \n".join(t[1] for t in licenses.TEXTS),
 ]
 
 
@@ -129,3 +142,14 @@ def test_licenses_against_brute_force(spark, odd):
     assert len(got) == docs.count()
     for r in got:
         assert tuple(r)[1:] == brute_license(texts[r["doc_id"]]), texts[r["doc_id"]]
+
+
+def test_wrapped_texts_are_found_and_scattered_words_are_not(spark):
+    want = {MIT: "mit", "filler " * 123 + MIT + " tail" * 50: "mit", APACHE: "apache-2", FAR: "", "released under the gpl license": "", licenses.TEXTS[6][1]: "cc-by", licenses.TEXTS[8][1]: "cc-by-nc"}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()} == dict(enumerate(want.values()))
+
+
+def test_templates_are_their_own_labels():
+    for t, (label, text, _) in zip(licenses.TEMPLATES, licenses.TEXTS, strict=True):
+        assert t.label == label in brute_license(text)[5].split(",")
