@@ -3,7 +3,9 @@
 A column is seen as one array of UTF-8 bytes plus document offsets, so that word splitting,
 hashing and counting run over whole blocks of documents. ASCII separators never occur inside
 a multi-byte UTF-8 character, which makes the byte view exact for the word rules used here.
-Blocks hold whole documents of about BLOCK bytes; a longer document is a block of its own.
+Blocks hold whole documents of about BLOCK bytes; a longer document is a block of its own, and
+sums over its bytes are taken PIECE bytes at a time, so nothing of eight bytes is kept for each
+byte of a text. slices() cuts a long document further where words suffice.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 18
+#: Bytes (or words) of one prefix sum.
+PIECE = 1 << 20
 
 _byte = np.arange(256)
 #: Words are runs of anything but ASCII white space.
@@ -94,12 +98,36 @@ def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(offs, starts, "right") - 1
 
 
+def _polynomials(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of values[start + i] * BASE**i of each span; spans lie within PIECE values."""
+    power, inverse = _power_tables(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[: len(values)], out=total[1:])
+    return (total[ends] - total[starts]) * inverse[starts]
+
+
+def _long_polynomial(data: np.ndarray) -> int:
+    """The same for one span of any length."""
+    out, base = 0, pow(int(_BASE), PIECE, 1 << 64)
+    for at in range((len(data) - 1) // PIECE * PIECE, -1, -PIECE):
+        part = data[at : at + PIECE].astype(np.uint64) + np.uint64(1)
+        out = (out * base + int(_polynomials(part, np.array([0]), np.array([len(part)]))[0])) % (1 << 64)
+    return out
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: equal spans have equal hashes, wherever they lie."""
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans in rising order: equal spans have equal hashes, wherever they lie."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        first = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, first + PIECE, "right")))
+        if ends[j - 1] - first > PIECE:
+            out[i] = _long_polynomial(data[first : ends[i]])
+        else:
+            out[i:j] = _polynomials(data[first : ends[j - 1]].astype(np.uint64) + np.uint64(1), starts[i:j] - first, ends[i:j] - first)
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray, lower: bool = False):
@@ -126,16 +154,37 @@ def rolling(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.flatnonzero(doc[:n] == doc[k - 1 :])
-    power, inverse = _power_tables(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * power[: len(hashes)], out=total[1:])
-    return at, mix((total[at + k] - total[at]) * inverse[at] + np.uint64(k))
+    out = np.zeros(len(at), np.uint64)
+    for low in range(0, n, PIECE):
+        i, j = np.searchsorted(at, (low, low + PIECE))
+        out[i:j] = _polynomials(hashes[low : low + PIECE + k - 1], at[i:j] - low, at[i:j] - low + k)
+    return at, mix(out + np.uint64(k))
+
+
+def slices(data: np.ndarray, table: np.ndarray, overlap: int, limit: int = BLOCK) -> Iterator[np.ndarray]:
+    """The bytes of one document in slices of about `limit` whole words; each begins with the last `overlap` words of the one before."""
+    at, size = 0, limit
+    while True:
+        part = data[at : at + size]
+        if at + size >= len(data):
+            yield part
+            return
+        starts, ends, _ = runs(table[part], np.array([0, len(part)]))
+        whole = len(starts) - (len(ends) > 0 and ends[-1] == len(part))  # the last word may go on
+        if whole <= overlap:
+            size *= 2  # very long words
+            continue
+        yield part[: ends[whole - 1]]
+        at, size = at + int(starts[whole - overlap] if overlap else ends[whole - 1]), limit
 
 
 def unique_pairs(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, value), sorted by both."""
     if not len(doc):
         return doc, value
+    if doc.min() == doc.max():
+        value = np.unique(value)
+        return np.full(len(value), doc[0]), value
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)

@@ -30,6 +30,8 @@ from .tables import table
 
 LONGEST = 4096
 END = 2
+_PART = 1 << 20
+_SPACE = re.compile(r"[ \t-\r]")
 _CHUNK = re.compile(r"[^ \t-\r]+")
 _UNSPACED = re.compile(r"[\x1c-\x1f]")  # str.split() parts words there, the tokenizer does not
 _MARKS = ".,!?*$%&#;:"
@@ -76,6 +78,16 @@ class _Known(dict):
         return out.tobytes()
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A long text cut at white space, so that its words are not all held at once."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + _PART)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
 class Encoder:
     """Texts to bytes of ids; remembers at most `limit` chunks."""
 
@@ -84,6 +96,11 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
+        if len(text) > _PART:
+            return b"".join(map(self._encoded, _parts(text)))
+        return self._encoded(text)
+
+    def _encoded(self, text: str) -> bytes:
         chunks = _CHUNK.findall(text) if _UNSPACED.search(text) else text.split()
         return b"".join(map(self.known.__getitem__, chunks))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import held_out, numbered, table, training_rows
+from .tables import held_out, learned, numbered, table, training_rows
 
 BITS = 20
 _byte = np.arange(256)
@@ -40,54 +40,75 @@ def shapes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, coordinate) of every n-gram occurrence in a block."""
+def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[list, list, tuple]:
+    """Documents and hashes of the n-grams of a block, and its words: documents, hashes and documents and hashes of its trigrams."""
     starts, ends, doc, h = K.words(data, offs, K.NONSPACE, lower=True)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     shape = shapes(data)
     keep = K.NONSPACE[data]
     first = np.zeros(len(data), bool)
     first[starts] = True
     keep[1:] &= first[1:] | (shape[1:] != shape[:-1])
-    place = np.concatenate([[0], np.cumsum(keep)])
-    squeezed = K.span_hashes(shape[keep], place[starts], place[ends])
+    place = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)]) if len(data) < 1 << 31 else np.concatenate([[0], np.cumsum(keep)])
+    squeezed = K.span_hashes(shape[keep], place[starts].astype(np.int64), place[ends].astype(np.int64))
     at, grams = [doc], [h]
-
-    def add(docs: np.ndarray, values: np.ndarray, kind: int) -> None:
-        at.append(docs)
-        grams.append(K.mix(values + np.uint64(kind)))
-
     a, g = K.grams(h, doc, (0, 1))
-    add(doc[a], g, 1)
+    at.append(doc[a])
+    grams.append(K.mix(g + np.uint64(1)))
     for steps in ((0,), (0, 1), (0, 1, 2)):
         a, g = K.grams(squeezed, doc, steps)
-        add(doc[a], g, 2)
-    n = len(offs) - 1
-    again = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1]))
+        at.append(doc[a])
+        grams.append(K.mix(g + np.uint64(2)))
     a, g = K.grams(h, doc, (0, 1, 2))
-    repeats = np.bincount(doc[a], minlength=n) - np.bincount(K.unique_pairs(doc[a], g)[0], minlength=n)
-    size = np.bincount(doc, minlength=n)
-    for kind, count in ((3, np.bincount(doc[again], minlength=n)), (4, repeats), (5, 16 * repeats // np.maximum(size, 1))):
+    return at, grams, (doc, h, doc[a], g)
+
+
+def _marks(again: np.ndarray, repeats: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the marks of repetition, from counts by document."""
+    docs = np.flatnonzero(size > 0)
+    grams = []
+    for kind, count in ((3, again), (4, repeats), (5, 16 * repeats // np.maximum(size, 1))):
         level = np.ceil(np.log2(count + 1)).astype(np.uint64)
-        docs = np.flatnonzero(size > 0)
-        add(docs, K.mix(level[docs] + np.uint64(1)), kind)
-    return np.concatenate(at), (np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int32)
+        grams.append(K.mix(K.mix(level[docs] + np.uint64(1)) + np.uint64(kind)))
+    return np.tile(docs, 3), np.concatenate(grams)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(label, text) to (label, distinct coordinates as little-endian int32)."""
+def _coordinates(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - BITS)).astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for _, _, data, offs in K.blocks(*K.flatten(batch.column("text"))):
-                doc, ids = K.unique_pairs(*block_features(data, offs))
-                cuts = np.searchsorted(doc, np.arange(len(offs)))
-                out += [ids[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.binary())], ["label", "ids"])
 
-    return docs.select("label", "text").mapInArrow(run, "label int, ids binary")
+def block_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, coordinate), distinct, of all n-grams and marks of a block; a long document is taken in slices."""
+    n = len(offs) - 1
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    if len(data) > 4 * K.BLOCK and n == 1:
+        return _long_features(data)
+    at, grams, (doc, h, tri_doc, tri) = _grams(data, offs)
+    again = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1]))
+    repeats = np.bincount(tri_doc, minlength=n) - np.bincount(K.unique_pairs(tri_doc, tri)[0], minlength=n)
+    docs, marks = _marks(np.bincount(doc[again], minlength=n), repeats, np.bincount(doc, minlength=n))
+    return K.unique_pairs(np.concatenate([*at, docs]), _coordinates(np.concatenate([*grams, marks])))
+
+
+def _long_features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one document: memory is bounded by its coordinates and distinct trigrams."""
+    held, trigrams, fresh = np.zeros(1 << BITS, bool), np.zeros(0, np.uint64), []
+    again = total = size = 0
+    for k, part in enumerate(K.slices(data, K.NONSPACE, 2)):
+        _, grams, (_, h, _, tri) = _grams(part, np.array([0, len(part)]))
+        held[_coordinates(np.concatenate(grams))] = True
+        seen = 2 if k else 0  # words of the slice before
+        size += len(h) - seen
+        total += len(tri)
+        again += int((h[1:] == h[:-1])[max(seen - 1, 0) :].sum())
+        fresh.append(tri)
+        if sum(map(len, fresh)) > K.PIECE:
+            trigrams, fresh = np.unique(np.concatenate([trigrams, *fresh])), []
+    trigrams = np.unique(np.concatenate([trigrams, *fresh]))
+    _, marks = _marks(np.array([again]), np.array([total - len(trigrams)]), np.array([size]))
+    held[_coordinates(marks)] = True
+    ids = np.flatnonzero(held).astype(np.int32)
+    return np.zeros(len(ids), np.int64), ids
 
 
 def log_count_ratios(rows: list[tuple[int, np.ndarray]], size: int, smooth: float, least: int) -> np.ndarray:
@@ -156,7 +177,7 @@ class QualityModel:
         n = len(offs) - 1
         doc, ids = block_features(data, offs)
         kept = r[ids] != 0
-        doc, ids = K.unique_pairs(doc[kept], ids[kept])
+        doc, ids = doc[kept], ids[kept]
         x = r[ids].astype(np.float64)
         norm = np.sqrt(np.bincount(doc, x * x, minlength=n))
         margin = np.bincount(doc, x * w[ids], minlength=n) / np.maximum(norm, 1e-12) + self.bias
@@ -187,16 +208,12 @@ def fit_rows(rows: list[tuple[int, np.ndarray]], cost: float = 1.0, epochs: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_train_docs: int = 8000) -> QualityModel:
-    """Learns from at most max_train_docs labelled documents outside the held-out fold.
+    """Learns from at most max_train_docs labelled documents outside the held-out fold, with at most MAX_IDS n-grams in all.
 
     N-grams are made on the executors; the driver gets the bounded list of coordinates.
     Without labelled rows the model scores everything 0.5.
     """
-    got = features(training_rows(docs, labels, target, max_train_docs)).toArrow()
-    rows = [(y, np.frombuffer(b, "<i4")) for y, b in zip(got["label"].to_pylist(), got["ids"].to_pylist(), strict=True)]
-    rows.sort(key=lambda r: (len(r[1]), r[1].tobytes(), r[0]))  # whatever order the tasks ended in
-    order = np.random.default_rng(7).permutation(len(rows))
-    return fit_rows([rows[i] for i in order])
+    return fit_rows(learned(training_rows(docs, labels, target, max_train_docs), block_features))
 
 
 def _with_scores(docs: DataFrame, model: QualityModel, schema, finish) -> DataFrame:

@@ -41,6 +41,8 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts, ends, doc, h = K.words(data, offs, K.NONSPACE)
 
     def total(flag: np.ndarray) -> np.ndarray:
+        if n == 1:
+            return np.array([np.count_nonzero(flag)])
         places = np.concatenate([[0], np.cumsum(flag)])
         return places[offs[1:]] - places[offs[:-1]]
 
@@ -54,23 +56,24 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     line_starts, line_ends, line_doc = K.runs(data != 0x0A, offs)
     line_hash = K.span_hashes(data, line_starts, line_ends)
-    has_word = np.concatenate([[0], np.cumsum(inside)])
-    filled = has_word[line_ends] > has_word[line_starts]
+    filled = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     lines = line_doc[filled]
     n_dup = per_doc(lines) - per_doc(K.unique_pairs(lines, line_hash[filled])[0])
 
     at, g = K.grams(h, doc, (0, 1, 2))
-    marked = np.zeros(len(h) + 1, np.int64)
+    marked = np.zeros(len(h), bool)
     if len(at):
-        d = doc[at]
-        order = np.lexsort((g, d))
-        new = np.ones(len(order), bool)
-        new[1:] = (d[order][1:] != d[order][:-1]) | (g[order][1:] != g[order][:-1])
-        group = np.cumsum(new) - 1
-        twice = at[order[np.bincount(group)[group] > 1]]
+        order = np.lexsort((g, doc[at])) if n > 1 else np.argsort(g)
+        g, d = g[order], doc[at[order]]
+        same = (g[1:] == g[:-1]) & (d[1:] == d[:-1])
+        twice = np.zeros(len(order), bool)
+        twice[1:] = same
+        twice[:-1] |= same
+        twice = at[order[twice]]
+        del order, g, d
         for k in range(3):
-            marked[twice + k] = 1
-    n_repeat = per_doc(doc[marked[:-1] > 0])
+            marked[twice + k] = True
+    n_repeat = per_doc(doc[marked])
 
     counts = np.stack([n_words, word_chars, n_symbols, n_dup, n_repeat]).astype(np.int64)
     shape = shapes(data) if len(data) else data

@@ -7,9 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
 
 #: Bytes of an Arrow batch between the JVM and Python. Texts are long: the default of 64 MB is held several times over on both sides.
 BATCH_BYTES = 4 << 20
@@ -99,10 +102,11 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, max_rows: int) -> DataFrame:
-    """(label, text) of at most max_rows labelled documents outside the held-out fold.
+    """(label, order, text) of at most max_rows labelled documents outside the held-out fold.
 
     The rows are those with the smallest hashes of doc_id, so the choice does not depend on
-    order or partitions. Labels of null and documents without a label are left out.
+    order or partitions. Labels of null and documents without a label are left out; of rows with
+    the same doc_id the least text stands for all.
     """
     chosen = (
         labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -111,4 +115,38 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, max_rows: int
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", F.xxhash64("doc_id").alias("order"), "text")
+
+
+#: Coordinates of training rows that reach the driver, of four bytes each.
+MAX_IDS = 1 << 25
+
+
+def learned(rows: DataFrame, block_features, max_ids: int = MAX_IDS) -> list[tuple[int, np.ndarray]]:
+    """(label, distinct coordinates) of training rows, shuffled alike at any partitioning.
+
+    block_features: a block's bytes and offsets to distinct (document, coordinate). Rows are taken in
+    `order` as long as they fit into max_ids coordinates; those that do not fit are passed over.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for _, _, data, offs in K.blocks(*K.flatten(batch.column("text"))):
+                doc, ids = block_features(data, offs)
+                cuts = np.searchsorted(doc, np.arange(len(offs)))
+                out += [ids[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("order"), pa.array(out, pa.binary())], ["label", "order", "ids"])
+
+    held = saved(rows.mapInArrow(run, "label int, order long, ids binary"), "training-features")
+    room, kept = max_ids, []
+    for order, size in sorted(tuple(r) for r in held.select("order", F.octet_length("ids") / 4).collect()):  # a row for each of at most max_rows
+        if size <= room:
+            room -= size
+            kept.append((order,))
+    chosen = held.sparkSession.createDataFrame(kept, "order long")
+    got = held.join(F.broadcast(chosen), "order", "left_semi").select("label", "ids").toArrow()
+    out = [(y, np.frombuffer(b, "<i4")) for y, b in zip(got["label"].to_pylist(), got["ids"].to_pylist(), strict=True)]
+    out.sort(key=lambda r: (len(r[1]), r[1].tobytes(), r[0]))  # whatever order the tasks ended in
+    return [out[i] for i in np.random.default_rng(7).permutation(len(out))]

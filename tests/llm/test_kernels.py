@@ -63,3 +63,24 @@ def test_sliced_and_empty_columns():
 def test_unique_pairs():
     d, v = K.unique_pairs(np.array([1, 0, 1, 1]), np.array([5, 5, 5, 2]))
     assert list(zip(d.tolist(), v.tolist(), strict=True)) == [(0, 5), (1, 2), (1, 5)]
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    data[rng.integers(0, 5000, 600)] = 32
+    data[1000:2500] = 97  # one long word
+    offs = np.array([0, 700, 700, 5000])
+    want = K.words(data, offs, K.NONSPACE)
+    grams = K.rolling(want[3], want[2], 5)
+    monkeypatch.setattr(K, "PIECE", 64)
+    got = K.words(data, offs, K.NONSPACE)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
+    assert all(np.array_equal(a, b) for a, b in zip(grams, K.rolling(got[3], got[2], 5), strict=True))
+
+
+def test_slices_overlap_by_words():
+    raw = ("one two " * 50 + "x" * 300 + " three four ").encode()
+    for overlap in (0, 1, 3):
+        parts = [bytes(p).split() for p in K.slices(np.frombuffer(raw, np.uint8), K.NONSPACE, overlap, 40)]
+        assert parts[0] + [w for p in parts[1:] for w in p[overlap:]] == raw.split()
