@@ -17,7 +17,7 @@ r"""N-gram Jaccard join: a distributed prefix-tree join over sets of word shingl
 5. Links are pairs of a block's component with its smallest member, never all pairs of a group;
    components over all blocks come from min-label rounds with pointer jumping.
 
-A document without words (or null text) has the empty set, is linked with nothing and is a
+doc_id is an integer. A document without words (or null text) has the empty set, is linked with nothing and is a
 component of its own. Rows with a null doc_id have a null component and no links. Rows of one
 doc_id count as one document: their sets' links are pooled. Other columns are ignored.
 """
@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import kernels as K
 from . import trie
@@ -281,17 +282,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id of every row. doc_id is of an integer type."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be of an integer type; number the documents first")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = spark.sparkContext.broadcast(global_order(docs, width))
     full = saved(outlines(docs, shared, width, percent), "shingle-outlines")
     classes = saved(full.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix")), "shingle-classes")
     rows = saved(full.drop("prefix"), "shingle-rows")
     discard(full)
-    place = shards(classes.select("doc", "n", "prefix"), percent).select("doc", F.struct("pivot", "block", "blocks").alias("place"))
+    place = saved(shards(classes.select("doc", "n", "prefix"), percent).select("doc", F.struct("pivot", "block", "blocks").alias("place")), "places")
     found = saved(block_links(placed_sets(docs, place, shared, width), ["pivot", "block"], percent), "links-in-blocks")
     links = found.where("kind = 0").select("a", "b")
-    again = second_look(found, percent)
+    again = saved(second_look(found, percent), "places-across-blocks")
     if not again.isEmpty():
         more = block_links(placed_sets(docs, again, shared, width), ["pivot", "i", "j"], percent)
         links = links.unionByName(saved(more, "links-across-blocks").select("a", "b"))
@@ -302,9 +306,22 @@ def similar(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows, with all their columns, whose doc_id is the least of its component; null doc_ids stay."""
-    copies = similar(docs, width, percent).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(saved(copies, "copies"), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    """One row, with all its columns, of each group of linked documents: that of the least doc_id.
+
+    Rows without a doc_id take part under a name made from their text, above all real ids. Of
+    rows that are equal in doc_id and text one stays. Texts without words are linked with nothing and all stay.
+    """
+    names = docs.columns
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
+    rows = docs.select(own.alias("doc_id"), F.col("text").alias("text"), F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("row"))
+    found = saved(similar(rows.select("doc_id", "text"), width, percent), "components")
+    copies = saved(found.where("component_id != doc_id").select("doc_id").distinct(), "copies")
+    kept = rows.join(copies, "doc_id", "left_anti")
+    twice = saved(found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
+    if not twice.isEmpty():
+        some = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).agg(F.first("row").alias("row"))
+        kept = kept.join(twice, "doc_id", "left_anti").select("row").unionByName(some.select("row"))
+    return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op9_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,14 @@ from .linededup import OP4_SQL, op4_linededup
 from .ngramjoin import OP9_SQL, op9_ngramjoin
 from .packing import op3_packing
 from .quality import op7_quality
-from .rules import op2_rules
+from .rules import OP2_SQL, op2_base_counts, op2_rules
 from .toxicity import op1_toxicity
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_rules": op2_rules,
+    "op2_base_counts": op2_base_counts,
     "op3_packing": op3_packing,
     "op4_linededup": op4_linededup,
     "op5_html": op5_html,
@@ -27,6 +28,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_base_counts": OP2_SQL,
     "op4_linededup": OP4_SQL,
     "op6_decontam": OP6_SQL,
     "op8_warc": OP8_SQL,
