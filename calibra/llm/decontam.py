@@ -133,6 +133,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, max_w
     shared = indexes(benchmark, window, gram, max_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.claim("decontam")
         for batch in batches:
             n_words, n_hit, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for _, _, data, offs in K.blocks(*K.flatten(batch.column("text"))):

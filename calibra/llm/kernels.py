@@ -11,7 +11,7 @@ byte of a text. slices() cuts a long document further where words suffice.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +197,26 @@ def passthrough(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
     return batch.filter(pa.array(rows, pa.bool_()))
 
 
+_owner: str | None = None
+_held: list[Callable[[], None]] = []
+
+
+def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Called as a task begins: frees what another operator keeps between its tasks in this worker.
+
+    A worker outlives a stage, so a cache of one stage would stand beside the next one's memory.
+    """
+    global _owner
+    if owner != _owner:
+        for free in _held:
+            free()
+        _held.clear()
+        _owner = owner
+        trim()
+    if release and release not in _held:
+        _held.append(release)
+
+
 def trim() -> None:
     """Gives freed memory back to the system: a Python worker outlives its tasks, and its heap would stay at its peak."""
     pa.default_memory_pool().release_unused()

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .tables import remove, saved, scratch, table
 
 _SPACE = " \t\n\x0b\x0c\r"
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 #: Parts a table is counted in.
 BATCHES = 4
 
@@ -56,9 +57,12 @@ class LineRuns:
         self.paths: dict[str, str] = {}
 
     def __enter__(self) -> LineRuns:
+        self.before = self.spark.conf.get(_ORDERED)
+        self.spark.conf.set(_ORDERED, "true")  # a bucket of one file is read as sorted, so merges need no sort
         return self
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(_ORDERED, self.before)
         self.close()
 
     def _run(self, df: DataFrame) -> DataFrame:

@@ -102,6 +102,7 @@ def global_order(docs: DataFrame, width: int, held: int = 500_000, least: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.claim("ngramjoin")
         hashes, counts, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         fresh, waiting = [], 0
 
@@ -136,6 +137,7 @@ def outlines(docs: DataFrame, shared, width: int, percent: int) -> DataFrame:
     """doc_id, n (tokens), s1 and s2 (a 128-bit hash of the set) and prefix of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.claim("ngramjoin")
         order = shared.value
         for batch in batches:
             n, s1, s2, heads, lengths = [], [], [], [], []
@@ -208,6 +210,7 @@ def placed_sets(docs: DataFrame, places: DataFrame, shared, width: int) -> DataF
     fields = places.schema["place"].dataType.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.claim("ngramjoin")
         order = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):

@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from . import kernels as K
 from .tables import table
 
 LONGEST = 4096
+#: Documents whose pieces leave a task at once.
+SLICE = 500
 END = 2
 _PART = 1 << 20
 _SPACE = re.compile(r"[ \t-\r]")
@@ -127,10 +130,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST,
     last = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.claim("packing", encoder.cache_clear)
         encode, sequence = encoder(path), TaskContext.get().partitionId() << 33
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 rows, start, length, crc, tokens, ids = [], [], [], [], [], []
                 for i, text in enumerate(batch.column("text")):
                     data = encode(text.as_py()) + last
@@ -155,6 +159,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST,
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
                 sequence += n
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names + ["ids"] * with_ids)
+        K.trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"

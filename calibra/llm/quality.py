@@ -76,18 +76,23 @@ def _coordinates(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def block_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, coordinate), distinct, of all n-grams and marks of a block; a long document is taken in slices."""
+def block_features(data: np.ndarray, offs: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, coordinate), distinct, of all n-grams and marks of a block; a long document is taken in slices.
+
+    known: flags of the coordinates asked for; the others are left out.
+    """
     n = len(offs) - 1
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
     if len(data) > 4 * K.BLOCK and n == 1:
-        return _long_features(data)
+        doc, ids = _long_features(data)
+        return (doc, ids) if known is None else (doc[known[ids]], ids[known[ids]])
     at, grams, (doc, h, tri_doc, tri) = _grams(data, offs)
     again = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1]))
     repeats = np.bincount(tri_doc, minlength=n) - np.bincount(K.unique_pairs(tri_doc, tri)[0], minlength=n)
     docs, marks = _marks(np.bincount(doc[again], minlength=n), repeats, np.bincount(doc, minlength=n))
-    return K.unique_pairs(np.concatenate([*at, docs]), _coordinates(np.concatenate([*grams, marks])))
+    doc, ids = np.concatenate([*at, docs]), _coordinates(np.concatenate([*grams, marks]))
+    return K.unique_pairs(doc, ids) if known is None else K.unique_pairs(doc[known[ids]], ids[known[ids]])
 
 
 def _long_features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,9 +180,7 @@ class QualityModel:
     def block_scores(self, data: np.ndarray, offs: np.ndarray, dense: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         r, w = dense
         n = len(offs) - 1
-        doc, ids = block_features(data, offs)
-        kept = r[ids] != 0
-        doc, ids = doc[kept], ids[kept]
+        doc, ids = block_features(data, offs, r != 0)
         x = r[ids].astype(np.float64)
         norm = np.sqrt(np.bincount(doc, x * x, minlength=n))
         margin = np.bincount(doc, x * w[ids], minlength=n) / np.maximum(norm, 1e-12) + self.bias
@@ -220,6 +223,7 @@ def _with_scores(docs: DataFrame, model: QualityModel, schema, finish) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.claim(__name__)
         model = shared.value
         dense = model.dense()
         for batch in batches:

@@ -194,6 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_train_d
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.claim("rules")
         for batch in batches:
             parts = [statistics(data, offs)[1] for _, _, data, offs in K.blocks(*K.flatten(batch.column("text")))]
             x = np.concatenate([np.zeros((len(FEATURES), 0)), *parts], axis=1)
@@ -211,6 +212,7 @@ def judge(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.claim("rules")
         model = shared.value
         for batch in batches:
             counts, scores = [np.zeros((len(COUNTS), 0), np.int64)], [np.zeros(0)]

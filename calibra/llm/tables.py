@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 #: Bytes of an Arrow batch between the JVM and Python. Texts are long: the default of 64 MB is held several times over on both sides.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+
+
+#: Rows that Spark's Parquet reader decodes at once; its default of 4096 holds some ten megabytes of texts in one array.
+READ_ROWS = 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit on Arrow batches to BATCH_BYTES where it is larger."""
+    """Lowers the session's limits on Arrow batches and decoded rows to BATCH_BYTES and READ_ROWS where they are larger."""
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > READ_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     held = spark.conf.get(name).lower().rstrip("b")
     if not held.isdigit() or int(held) > BATCH_BYTES:
@@ -131,6 +137,7 @@ def learned(rows: DataFrame, block_features, max_ids: int = MAX_IDS) -> list[tup
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.claim(block_features.__module__)
         for batch in batches:
             out = []
             for _, _, data, offs in K.blocks(*K.flatten(batch.column("text"))):

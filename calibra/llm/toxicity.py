@@ -40,14 +40,18 @@ def block_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(at), np.concatenate(ids)
 
 
-def distinct_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, coordinate), distinct; a long document is taken in slices, so memory is bounded by the coordinates."""
+def distinct_features(data: np.ndarray, offs: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, coordinate), distinct; a long document is taken in slices, so memory is bounded by the coordinates.
+
+    known: flags of the coordinates asked for; the others are left out.
+    """
     if len(data) <= 4 * K.BLOCK or len(offs) > 2:
-        return K.unique_pairs(*block_features(data, offs))
+        doc, ids = block_features(data, offs)
+        return K.unique_pairs(doc, ids) if known is None else K.unique_pairs(doc[known[ids]], ids[known[ids]])
     seen = np.zeros(1 << BITS, bool)
     for part in K.slices(data, K.ALNUM, STEPS[-1][-1]):
         seen[block_features(part, np.array([0, len(part)]))[1]] = True
-    ids = np.flatnonzero(seen).astype(np.int32)
+    ids = np.flatnonzero(seen if known is None else seen & known).astype(np.int32)
     return np.zeros(len(ids), np.int64), ids
 
 
@@ -92,9 +96,7 @@ class ToxicityModel:
     weights: np.ndarray
 
     def block_scores(self, data: np.ndarray, offs: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        doc, ids = distinct_features(data, offs)
-        kept = dense[ids] != 0
-        doc, ids = doc[kept], ids[kept]
+        doc, ids = distinct_features(data, offs, dense != 0)
         total = self.bias + np.bincount(doc, dense[ids], minlength=len(offs) - 1)
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
@@ -114,6 +116,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.claim(__name__)
         model = shared.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[model.ids] = model.weights

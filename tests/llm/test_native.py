@@ -76,6 +76,7 @@ def test_the_query_anti_joins_settled_runs_and_compacts(spark, sf, written):
     assert len(anti) >= linededup.BATCHES - 1 and made[0].anti_joins >= linededup.BATCHES - 1
     assert full and all("SortMergeJoin" in p for p in anti + full)
     assert all("Exchange" not in p for p in full)  # runs are merged bucket by bucket
+    assert any(p.count("Sort ") <= 1 for p in full)  # as sorted as they were written; one sort is the writer's
     assert all(p.count("Exchange") <= 2 for p in anti)  # the counting and the dealing to buckets; none for the settled run
     assert not made[0].paths  # all dropped
 
