@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..params import DATE, DEFAULT, ID, STATUS, TARGET, Params
 from ..sources.applications import matured
 from .binning import bin_of, quantile_edges
-from .curves import finite
-from .metrics import midranks, r6, thresholds
+from .curves import finite, midranks
+from .metrics import r6, thresholds
 
 
 def population_ks(scores: DataFrame, min_rows: int = 10) -> DataFrame:
@@ -38,11 +38,9 @@ def population_ks(scores: DataFrame, min_rows: int = 10) -> DataFrame:
 def selection_correlation(scores: DataFrame, apps: DataFrame, benchmark: str = "risk_score_rf", min_rows: int = 20) -> DataFrame:
     """By model: Pearson and Spearman correlation with the negated benchmark, and a flag on the former."""
     ref = apps.select(ID, (-F.col(benchmark)).alias("ref")).where("ref IS NOT NULL")
-    rows = scores.where(finite()).join(ref, ID)
-    rows = rows.withColumn("rank_score", midranks(rows, ["model"])).withColumn("score_", F.col("score"))
-    rows = rows.withColumn("score", F.col("ref"))
-    rows = rows.withColumn("rank_ref", midranks(rows, ["model"]))
-    out = rows.groupBy("model").agg(F.count("*").alias("n"), F.corr("score_", "ref").alias("pearson"), F.corr("rank_score", "rank_ref").alias("spearman")).where(F.col("n") >= min_rows)
+    rows = scores.where(finite()).select(ID, "model", "score").join(ref, ID)
+    rows = midranks(midranks(rows, ["model"], "score", "rank_score"), ["model"], "ref", "rank_ref")
+    out = rows.groupBy("model").agg(F.count("*").alias("n"), F.corr("score", "ref").alias("pearson"), F.corr("rank_score", "rank_ref").alias("spearman")).where(F.col("n") >= min_rows)
     flag = F.when(F.abs("pearson") > 0.90, "HIGH").when(F.abs("pearson") > 0.70, "MODERATE").otherwise("LOW")
     return out.select("model", "n", r6("pearson").alias("pearson"), r6("spearman").alias("spearman"), flag.alias("flag"))
 
@@ -98,11 +96,25 @@ def hash_uniform(seed: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 53)) / float(1 << 53)
 
 
+def first_by_hash(rows: DataFrame, most: int, seed: int, ranges: int = 1 << 12) -> DataFrame:
+    """Exactly the `most` rows of least hash (ties by id), or all if there are fewer.
+
+    Rows are counted by range of the hash; ranges that fit go through whole, and only the range
+    in which the limit falls is ordered.
+    """
+    ranged = rows.withColumn("_u", hash_uniform(seed, ID)).withColumn("_range", F.floor(F.col("_u") * ranges).cast("int"))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    counts = counts.withColumn("_before", before).where(F.col("_before") < most)
+    joined = ranged.join(F.broadcast(counts), "_range")
+    whole = F.col("_before") + F.col("_n") <= most
+    cut = joined.where(~whole).withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy("_u", ID)) + F.col("_before")).where(F.col("_place") <= most)
+    return joined.where(whole).select(*rows.columns).unionByName(cut.select(*rows.columns))
+
+
 def pseudo_labels(booked: DataFrame, rejected: DataFrame, n_booked: int, params: Params = DEFAULT) -> DataFrame:
-    """At most n_booked * reject_max_ratio rejects, chosen and labelled by hash, with weight reject_weight."""
-    rows = reject_rates(booked, rejected, params)
-    share = min(1.0, n_booked * params.reject_max_ratio / max(rows.count(), 1))
-    kept = rows.where(hash_uniform(params.seed, ID) < share)
+    """At most n_booked * reject_max_ratio rejects, those first in hash order, labelled by hash, with weight reject_weight."""
+    kept = first_by_hash(reject_rates(booked, rejected, params), int(n_booked * params.reject_max_ratio), params.seed)
     label = (hash_uniform(params.seed + 1, ID) < F.col("assumed_rate")).cast("double")
     return kept.withColumn(TARGET, label).withColumn("weight", F.lit(params.reject_weight))
 

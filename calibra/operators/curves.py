@@ -1,9 +1,8 @@
 """The prefix-sum kernel: per-threshold counts of long scores, and the ranking metrics made from them.
 
 Scores are first collapsed to distinct values, so ties are exact and the ordered step is as
-short as the number of distinct scores. With `buckets` > 1 the prefix sums are taken in two
-levels, inside score ranges and over the ranges' totals, so one huge model does not put all its
-scores into one task.
+short as the number of distinct scores. Prefix sums are taken in two levels, inside score ranges
+and over the ranges' totals, so one huge model does not put all its scores into one task.
 """
 
 from __future__ import annotations
@@ -27,26 +26,40 @@ def distinct_scores(scores: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return rows.groupBy(*keys, "score").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((1 - F.col("y")).cast("long")).alias("neg"))
 
 
-def curve(scores: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 1) -> DataFrame:
-    """keys, score, pos, neg, tp, fp (counts at or above the score), p and n (all of the key)."""
-    points = distinct_scores(scores, keys)
-    if buckets <= 1:
-        down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-        every = Window.partitionBy(*keys)
-        return points.select(*keys, "score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"))
-    cuts = points.groupBy(*keys).agg(F.percentile_approx("score", [k / buckets for k in range(1, buckets)], 10_000).alias("cuts"))
-    ranged = points.join(F.broadcast(cuts), list(keys)).withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("score"))))
-    totals = ranged.groupBy(*keys, "part").agg(F.sum("pos").alias("part_pos"), F.sum("neg").alias("part_neg"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+def score_range(score: Column) -> Column:
+    """A whole number that never falls as the score rises: some 256 ranges for each factor of e."""
+    return F.when(score == 0, 0).otherwise(F.signum(score) * (F.floor(256 * F.ln(F.abs(score))) + 200_000)).cast("int")
+
+
+def falling_sums(points: DataFrame, keys: Sequence[str], names: Sequence[str], score: str = "score") -> DataFrame:
+    """Adds, for each name, <name>_upto (its sum over the key's scores at or above) and <name>_all (over the key).
+
+    points has a row for each key and distinct score. Sums run inside score ranges and over the
+    ranges' totals, so no task sorts all scores of a key.
+    """
+    ranged = points.withColumn("_part", score_range(F.col(score)))
+    totals = ranged.groupBy(*keys, "_part").agg(*(F.sum(n).alias(n) for n in names))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
-    offsets = totals.select(
-        *keys, "part", F.coalesce(F.sum("part_pos").over(above), F.lit(0)).alias("pos_above"), F.coalesce(F.sum("part_neg").over(above), F.lit(0)).alias("neg_above"),
-        F.sum("part_pos").over(every).alias("p"), F.sum("part_neg").over(every).alias("n"),
-    )
-    down = Window.partitionBy(*keys, "part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    inside = ranged.withColumn("in_tp", F.sum("pos").over(down)).withColumn("in_fp", F.sum("neg").over(down))
-    joined = inside.join(F.broadcast(offsets), [*keys, "part"])
-    return joined.select(*keys, "score", "pos", "neg", (F.col("in_tp") + F.col("pos_above")).alias("tp"), (F.col("in_fp") + F.col("neg_above")).alias("fp"), "p", "n")
+    offsets = totals.select(*keys, "_part", *(F.coalesce(F.sum(n).over(above), F.lit(0)).alias(f"_{n}_above") for n in names), *(F.sum(n).over(every).alias(f"{n}_all") for n in names))
+    down = Window.partitionBy(*keys, "_part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.withColumns({f"_{n}_in": F.sum(n).over(down) for n in names})
+    out = inside.join(offsets, [*keys, "_part"]).withColumns({f"{n}_upto": F.col(f"_{n}_in") + F.col(f"_{n}_above") for n in names})
+    return out.select(*points.columns, *(f"{n}_{what}" for n in names for what in ("upto", "all")))
+
+
+def curve(scores: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, score, pos, neg, tp, fp (counts at or above the score), p and n (all of the key)."""
+    sums = falling_sums(distinct_scores(scores, keys), keys, ["pos", "neg"])
+    return sums.withColumnsRenamed({"pos_upto": "tp", "neg_upto": "fp", "pos_all": "p", "neg_all": "n"})
+
+
+def midranks(rows: DataFrame, keys: Sequence[str], score: str, out: str) -> DataFrame:
+    """The rows with the mean rank of their score (from 1, rising) among the key's rows, from counts of distinct scores."""
+    points = rows.groupBy(*keys, score).agg(F.count("*").alias("_n"))
+    sums = falling_sums(points, keys, ["_n"], score)
+    rank = F.col("_n_all") - F.col("_n_upto") + (F.col("_n") + 1) / 2
+    return rows.join(sums.select(*keys, score, rank.alias(out)), [*keys, score])
 
 
 def ranking_metrics(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -12,7 +12,8 @@ from ..params import DATE, DEFAULT, ID, TARGET, Params
 from .binning import unpivot
 from .timesplit import date_blocks, rolling_windows
 
-GROUP_PAIRS = [("income_t1", "csp"), ("total_amt", "product_type_3"), ("installment_amt", "customer_type"), ("age_t1", "house_type"), ("max_credit_tj_av", "csp"), ("tenor", "product_type_3")]
+#: The pairs of the group-relative statistic.
+GROUP_PAIRS = [("income_t1", "csp"), ("income_t1", "product_type_3"), ("total_amt", "product_type_3"), ("max_credit_tj_av", "house_type"), ("installment_amt", "csp"), ("age_t1", "house_type")]
 
 
 # ---- cardinality cap ----------------------------------------------------------------------
@@ -99,10 +100,18 @@ def prune_correlated(df: DataFrame, columns: Sequence[str], limit: float = DEFAU
 # ---- target encoding ----------------------------------------------------------------------
 def leave_one_out(df: DataFrame, group: str, y: str = TARGET) -> DataFrame:
     """Adds loo: the mean outcome of the group's other rows; single rows take the overall mean."""
-    own = Window.partitionBy(group)
-    rest = (F.sum(y).over(own) - F.col(y)) / F.nullif(F.count(y).over(own) - 1, F.lit(0))
+    sums = df.groupBy(F.col(group).alias("_g")).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))  # counted before rows meet, so no group is one task's
     overall = df.agg(F.avg(y).alias("_overall"))
-    return df.withColumn("loo", rest).join(F.broadcast(overall), how="cross").withColumn("loo", F.coalesce("loo", "_overall")).drop("_overall")
+    rest = (F.col("_s") - F.col(y)) / F.nullif(F.col("_n") - 1, F.lit(0))
+    joined = df.join(sums, F.col(group).eqNullSafe(F.col("_g")), "left").join(F.broadcast(overall), how="cross")
+    return joined.withColumn("loo", F.coalesce(rest, "_overall")).drop("_overall", "_g", "_s", "_n")
+
+
+def mode(df: DataFrame, group: str, column: str) -> DataFrame:
+    """group and the most frequent value of a column in it, the least one of several; null only where there is no value."""
+    counts = df.groupBy(group, column).agg(F.count(column).alias("_n"))
+    place = Window.partitionBy(group).orderBy(F.desc("_n"), F.asc_nulls_last(column))  # a row for each distinct value
+    return counts.withColumn("_k", F.row_number().over(place)).where("_k = 1").select(group, F.col(column).alias("mode"))
 
 
 def windowed(df: DataFrame, windows: int, min_blocks: int = DEFAULT.min_train_blocks) -> DataFrame:

@@ -54,8 +54,9 @@ def benchmark_result(delta: Column, *p_values: Column) -> Column:
 
 def _lines(df: DataFrame, columns: Sequence[str], limit: int = 30) -> list[str]:
     rows = df.select(*columns).limit(limit).collect()  # a report table, shown in part
+    total = df.count() if len(rows) == limit else len(rows)
     fmt = lambda v: "-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(fmt(v) for v in r) + " |" for r in rows)]
+    return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(fmt(v) for v in r) + " |" for r in rows), *([f"({limit} of {total} rows)"] if total > limit else [])]
 
 
 def model_card(name: str, params: Params, board: DataFrame, population: DataFrame, iv: DataFrame, stability: DataFrame, impact: DataFrame, comparisons: DataFrame, card: DataFrame, rolling: DataFrame) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DATE, DEFAULT, ID, Params
-from .curves import curve, finite, ranking_metrics
+from .curves import curve, falling_sums, finite, ranking_metrics
 
 _desc = lambda *c: [F.col(x).desc_nulls_last() for x in c]
 
@@ -23,9 +23,9 @@ def is_probability(score: str = "score") -> Column:
     return F.bool_and(finite(score) & (x >= 0) & (x <= 1 + 1e-9))
 
 
-def evaluate(scores: DataFrame, keys: Sequence[str] = ("model",), buckets: int = 1) -> DataFrame:
+def evaluate(scores: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """keys, roc_auc, gini, ks, pr_auc, n, brier. One class alone gives nulls; scores that are no probabilities have no Brier score."""
-    rank = ranking_metrics(curve(scores, keys, buckets), keys)
+    rank = ranking_metrics(curve(scores, keys), keys)
     y, p = F.col("y"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
     rows = scores.where(finite() & y.isNotNull())
     brier = rows.groupBy(*keys).agg(F.when(is_probability(), F.avg((p - y) * (p - y))).alias("brier"))
@@ -43,10 +43,24 @@ def official_models(board: DataFrame, reject_inference: bool = False) -> DataFra
     return board.withColumn("is_experimental", named | (F.lit(reject_inference) & ~F.col("model").contains("(benchmark)")))
 
 
+#: Consecutive ids whose rows with one score are ordered in one task.
+TIE_BITS = 16
+
+
 def ranked(scores: DataFrame, keys: Sequence[str] = ("model",), order: str = "row") -> DataFrame:
-    """Rows with a finite score and outcome, with their rank by falling score (ties by id) and the number of rows."""
-    own = Window.partitionBy(*keys)
-    return scores.where(finite() & F.col("y").isNotNull()).withColumn(order, F.row_number().over(own.orderBy(F.desc("score"), ID))).withColumn("n_total", F.count("*").over(own))
+    """Rows with a finite score and outcome, with their rank by falling score (ties by id) and the number of rows.
+
+    The rank is the rows above the score, plus those of the same score in earlier id ranges, plus
+    the place among the score's rows in the id range; only the last is a window over rows.
+    """
+    rows = scores.where(finite() & F.col("y").isNotNull()).withColumn("_ids", F.shiftright(ID, TIE_BITS))
+    cells = rows.groupBy(*keys, "score", "_ids").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys, "score").orderBy("_ids").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_tied": F.sum("_n").over(Window.partitionBy(*keys, "score"))})
+    sums = falling_sums(cells.groupBy(*keys, "score").agg(F.sum("_n").alias("_n")), keys, ["_n"]).select(*keys, "score", "_n_upto", "_n_all")
+    cells = cells.join(sums, [*keys, "score"]).select(*keys, "score", "_ids", (F.col("_n_upto") - F.col("_tied") + F.col("_before")).alias("_ahead"), F.col("_n_all").alias("n_total"))
+    place = F.row_number().over(Window.partitionBy(*keys, "score", "_ids").orderBy(ID))
+    return rows.join(cells, [*keys, "score", "_ids"]).withColumn(order, place + F.col("_ahead")).drop("_ids", "_ahead")
 
 
 def lift_table(scores: DataFrame, deciles: int = 10) -> DataFrame:
@@ -67,9 +81,11 @@ def lift_table(scores: DataFrame, deciles: int = 10) -> DataFrame:
 
 def thresholds(scores: DataFrame, pcts: Sequence[float] = DEFAULT.threshold_pcts) -> DataFrame:
     """model, reject_pct, threshold: the score of 0-based rank ceil(n pct / 100), the last one at most."""
-    rows = ranked(scores)
-    cuts = F.array(*(F.struct(F.lit(float(p)).alias("reject_pct"), F.least(F.ceil(F.col("n_total") * p / 100), F.col("n_total") - 1).alias("at")) for p in pcts))
-    return rows.select("model", "score", "row", F.explode(cuts).alias("c")).where(F.col("row") == F.col("c.at") + 1).select("model", "c.reject_pct", F.col("score").alias("threshold"))
+    counts = scores.where(finite() & F.col("y").isNotNull()).groupBy("model", "score").agg(F.count("*").alias("n"))
+    points = falling_sums(counts, ["model"], ["n"])
+    cuts = F.array(*(F.struct(F.lit(float(p)).alias("reject_pct"), F.least(F.ceil(F.col("n_all") * p / 100), F.col("n_all") - 1).alias("at")) for p in pcts))
+    here = (F.col("n_upto") - F.col("n") <= F.col("c.at")) & (F.col("c.at") < F.col("n_upto"))
+    return points.withColumn("c", F.explode(cuts)).where(here).select("model", "c.reject_pct", F.col("score").alias("threshold"))
 
 
 def threshold_analysis(scores: DataFrame, pcts: Sequence[float] = DEFAULT.threshold_pcts) -> DataFrame:
@@ -94,29 +110,26 @@ def capture_at(scores: DataFrame, share: float = 0.10) -> DataFrame:
 
 
 # ---- paired tests -------------------------------------------------------------------------
-def midranks(scores: DataFrame, keys: Sequence[str]) -> Column:
-    """Mean rank among tied scores within the keys."""
-    own = Window.partitionBy(*keys)
-    return F.rank().over(own.orderBy("score")) + (F.count("*").over(Window.partitionBy(*keys, "score")) - 1) / 2
-
-
 def structural_components(scores: DataFrame) -> DataFrame:
-    """model, id, y, v: DeLong's components (of positives over negatives and of negatives over positives)."""
-    rows = scores.where(finite() & F.col("y").isNotNull())
-    own, of_class = Window.partitionBy("model"), Window.partitionBy("model", "y")
-    rows = rows.withColumns({"pooled": midranks(rows, ["model"]), "inner": midranks(rows, ["model", "y"]), "own_n": F.count("*").over(of_class), "all_n": F.count("*").over(own)})
-    above = (F.col("pooled") - F.col("inner")) / F.nullif(F.col("all_n") - F.col("own_n"), F.lit(0))
-    return rows.select("model", ID, "y", F.when(F.col("y") == 1, above).otherwise(1 - above).alias("v"))
-
-
-def delong(scores: DataFrame, candidate: str, reference: str) -> DataFrame:
-    """One row: both AUCs, their difference, its standard error and z. Null z where a class has fewer than two rows or the error is 0."""
-    parts = structural_components(scores.where(F.col("model").isin(candidate, reference)))
-    both = parts.groupBy(ID, "y").agg(F.max(F.when(F.col("model") == candidate, F.col("v"))).alias("a"), F.max(F.when(F.col("model") == reference, F.col("v"))).alias("b"))
-    both = both.where("a IS NOT NULL AND b IS NOT NULL").withColumn("d", F.col("a") - F.col("b"))
+    """model, id, y, v: DeLong's components (of positives over negatives and of negatives over positives), from counts of distinct scores."""
+    rows = scores.where(finite() & F.col("y").isNotNull()).select("model", ID, "y", "score")
+    over_negatives = (F.col("n") - F.col("fp") + F.col("neg") / 2) / F.nullif(F.col("n"), F.lit(0))
+    under_positives = (F.col("tp") - F.col("pos") / 2) / F.nullif(F.col("p"), F.lit(0))
+    sums = curve(rows).select("model", "score", over_negatives.alias("_up"), under_positives.alias("_down"))
+    return rows.join(sums, ["model", "score"]).select("model", ID, "y", F.when(F.col("y") == 1, F.col("_up")).otherwise(F.col("_down")).alias("v"))
+
+
+def delong(scores: DataFrame, candidates: str | Sequence[str], reference: str) -> DataFrame:
+    """A row for each candidate: both AUCs, their difference, its standard error and z. Null z where a class has fewer than two rows or the error is 0."""
+    candidates = [candidates] if isinstance(candidates, str) else list(candidates)
+    parts = structural_components(scores.where(F.col("model").isin(*candidates, reference)))
+    own = F.collect_list(F.when(F.col("model") != reference, F.struct("model", "v")))  # one for each candidate
+    both = parts.groupBy(ID, "y").agg(own.alias("own"), F.max(F.when(F.col("model") == reference, F.col("v"))).alias("b"))
+    both = both.where("b IS NOT NULL").select("y", "b", F.explode("own").alias("c")).select(F.col("c.model").alias("candidate"), "y", F.col("c.v").alias("a"), "b")
+    both = both.where("a IS NOT NULL").withColumn("d", F.col("a") - F.col("b"))
     pos, neg = F.col("y") == 1, F.col("y") == 0
     of = lambda f, c, which: f(F.when(which, F.col(c)))
-    out = both.agg(
+    out = both.groupBy("candidate").agg(
         of(F.avg, "a", pos).alias("auc_candidate"), of(F.avg, "b", pos).alias("auc_reference"), of(F.var_samp, "d", pos).alias("vp"), of(F.var_samp, "d", neg).alias("vn"),
         F.count_if(pos).alias("m"), F.count_if(neg).alias("n"),
     )
@@ -124,7 +137,7 @@ def delong(scores: DataFrame, candidate: str, reference: str) -> DataFrame:
     delta = F.col("auc_candidate") - F.col("auc_reference")
     out = out.withColumn("se", F.when((F.col("m") >= 2) & (F.col("n") >= 2), se)).withColumn("delta", delta)
     z = F.when(F.col("se") > 1e-12, F.col("delta") / F.col("se"))
-    return out.select(F.lit(candidate).alias("candidate"), F.lit(reference).alias("reference"), r6("auc_candidate").alias("auc_candidate"), r6("auc_reference").alias("auc_reference"), r6("delta").alias("delta"), r6("se").alias("se"), F.round(z, 4).alias("z"))
+    return out.select("candidate", F.lit(reference).alias("reference"), r6("auc_candidate").alias("auc_candidate"), r6("auc_reference").alias("auc_reference"), r6("delta").alias("delta"), r6("se").alias("se"), F.round(z, 4).alias("z"))
 
 
 def normal_p(z: Column) -> Column:
@@ -238,8 +251,7 @@ def reliability(scores: DataFrame, bins: int = 10) -> DataFrame:
     even = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / bins)
     edges = edges.join(span, "model").select("model", F.when(F.size("edges") < 3, F.array_distinct(even)).otherwise(F.col("edges")).alias("edges"))
     binned = rows.join(F.broadcast(edges), "model").withColumn("bin", bin_of("score", "edges", "left"))
-    mean = r6(F.avg("score") + 1e-11)  # means of few six-digit scores are exact halves; all go up, whatever the sum's last bit
-    return binned.groupBy("model", "bin").agg(mean.alias("mean_score"), r6(F.avg("y")).alias("observed_rate"), F.count("*").alias("n"))
+    return binned.groupBy("model", "bin").agg(F.avg("score").alias("mean_score"), r6(F.avg("y")).alias("observed_rate"), F.count("*").alias("n"))
 
 
 def histogram(scores: DataFrame, bins: int = 50) -> DataFrame:

@@ -7,6 +7,7 @@ regularised logistic regression on one-hot quantile bins).
 
 from __future__ import annotations
 
+import inspect
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -45,10 +46,22 @@ def pos_weight(df: DataFrame, y: str = TARGET) -> float:
     return (row["n"] - row["p"]) / row["p"] if row["p"] else 1.0
 
 
+def class_support(y: str = TARGET) -> Column:
+    """Aggregate: both classes, with two rows each at least."""
+    return F.least(F.sum(y), F.count(y) - F.sum(y)) >= 2
+
+
 def supported(df: DataFrame, y: str = TARGET) -> bool:
-    """Both classes, with two rows each at least."""
-    rows = df.where(F.col(y).isNotNull()).groupBy(y).count().collect()
-    return len(rows) >= 2 and min(r["count"] for r in rows) >= 2
+    return bool(df.agg(class_support(y)).first()[0])
+
+
+def safe_splits(df: DataFrame, most: int = 5, y: str = TARGET) -> int:
+    """Folds that leave each of them a row of both classes; an error where a class has fewer than two rows."""
+    n, p = df.agg(F.count(y), F.sum(y)).first()
+    least = int(min(p or 0, n - (p or 0)))
+    if least < 2:
+        raise ValueError("stratified folds need two rows of each class")
+    return min(most, n, least)
 
 
 def probability(df: DataFrame, name: str = "score") -> DataFrame:
@@ -62,8 +75,13 @@ class Fitted:
     features: list[str]
     stats: DataFrame
     model: PipelineModel
+    spec: Spec | None = None
     calibrate: Callable[[DataFrame], DataFrame] | None = None
 
+    def refit(self, df: DataFrame, y: str = TARGET) -> Fitted:
+        """A fresh model of the same kind, settings and features, prepared and fitted on other rows; nothing fitted is carried over."""
+        return self.spec.fit(df, self.features, y)
+
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         ready = impute_scale(df, self.stats, self.features)
         out = probability(self.model.transform(ready), name).select(ID, name)
@@ -86,18 +104,19 @@ class Spec:
         features = list(features)
         rows = df.where(F.col(y).isNotNull())
         stats = fit_imputer_scaler(rows, features)
+        sized = {"n": max(rows.count(), 1)} if "n" in inspect.signature(self.make).parameters else {}
         low, high = class_weights(rows, y)
         weight = F.col("weight") if "weight" in rows.columns else F.when(F.col(y) == 1, high).otherwise(low)
         ready = impute_scale(rows, stats, features).withColumn("_weight", weight).withColumn("label", F.col(y).cast("double"))
-        return Fitted(features, stats, Pipeline(stages=self.make(features, **self.params)).fit(ready))
+        return Fitted(features, stats, Pipeline(stages=self.make(features, **sized | self.params)).fit(ready), self)
 
 
 def _vector(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features")
 
 
-def logistic(features: Sequence[str], c: float = 1.0, l1: float = 0.0, n: int = 1000) -> list:
-    """Loss is a mean, so the inverse strength C over n rows is a penalty of 1 / (C n)."""
+def logistic(features: Sequence[str], c: float = 1.0, l1: float = 0.0, n: int = 1) -> list:
+    """Loss is a mean, so the inverse strength C over n training rows, which fit() counts, is a penalty of 1 / (C n)."""
     return [_vector(features), LogisticRegression(weightCol="_weight", regParam=1 / (c * n), elasticNetParam=l1, standardization=False, maxIter=50)]
 
 
@@ -157,7 +176,7 @@ def fit_isotonic(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
 def calibrate(fitted: Fitted, rows: DataFrame, kind: str) -> Fitted:
     """The model with a calibration fitted on rows it has not seen."""
     pairs = rows.select(ID, F.col(TARGET).cast("double").alias("y")).where("y IS NOT NULL").join(fitted.score(rows), ID)
-    return Fitted(fitted.features, fitted.stats, fitted.model, {"sigmoid": fit_sigmoid, "isotonic": fit_isotonic}[kind](pairs))
+    return Fitted(fitted.features, fitted.stats, fitted.model, fitted.spec, {"sigmoid": fit_sigmoid, "isotonic": fit_isotonic}[kind](pairs))
 
 
 # ---- folds --------------------------------------------------------------------------------
@@ -222,7 +241,7 @@ def tune_logistic(df: DataFrame, trials: int = 4, folds: int = 2, features: Sequ
     rows = []
     for k in range(1, trials + 1):
         c = 10 ** (-4 + 6 * halton(k, 2))
-        oof = out_of_fold(Spec("trial", logistic, {"c": c, "n": 1000}), df, folds, features).withColumn("model", F.concat(F.lit("fold"), F.col("fold").cast("string")))
+        oof = out_of_fold(Spec("trial", logistic, {"c": c}), df, folds, features).withColumn("model", F.concat(F.lit("fold"), F.col("fold").cast("string")))
         rows.append((k, c, ranking_metrics(curve(oof)).agg(F.avg("pr_auc")).first()[0]))
     best = max(rows, key=lambda r: (r[2] or -1, -r[0]))[0]
     return df.sparkSession.createDataFrame([(k, float(f"{c:.6g}"), None if p is None else round(p, 6), k == best) for k, c, p in rows], "trial int, c double, mean_pr_auc double, best boolean")
@@ -247,10 +266,10 @@ def stability_selection(df: DataFrame, features: Sequence[str], folds: int = 2,
         valid = df.where((F.col(DATE) >= F.lit(f["valid_from"])) & (F.col(DATE) <= F.lit(f["valid_until"])))
         if not (supported(train) and supported(valid)):
             continue
-        n, fits = train.count(), []
+        fits = []
         for c in cs:
             for l1 in l1s:
-                m = Spec("net", logistic, {"c": c, "l1": l1, "n": n}).fit(train, features)
+                m = Spec("net", logistic, {"c": c, "l1": l1}).fit(train, features)
                 ap = ranking_metrics(curve(valid.select(ID, F.col(TARGET).alias("y")).join(m.score(valid), ID).withColumn("model", F.lit("net")))).first()["pr_auc"]
                 coef = dict(zip(features, map(float, m.model.stages[-1].coefficients), strict=True))
                 fits.append((round(ap or 0.0, 8), -sum(abs(v) > 1e-8 for v in coef.values()), coef))

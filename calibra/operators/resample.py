@@ -55,31 +55,49 @@ def bootstrap_intervals(scores: DataFrame, replicates: int = DEFAULT.n_bootstrap
     return evaluate(scores).select("model", "roc_auc", "pr_auc", "brier").join(bounds, "model").select("model", *(r6(f"{m}{s}").alias(f"{m}{s}") for m in ("roc_auc", "pr_auc", "brier") for s in ("", "_lo", "_hi")))
 
 
-def paired_bootstrap(scores: DataFrame, candidate: str, reference: str, replicates: int = DEFAULT.n_bootstrap, ci: float = 0.95) -> DataFrame:
-    """metric, improvement of the candidate (the other way round for Brier), its interval and p-value."""
-    reps = replicate_metrics(scores.where(F.col("model").isin(candidate, reference)), replicates)
-    pick = lambda m, who: F.max(F.when(F.col("model") == who, F.col(m)))
-    both = reps.groupBy("rep").agg(*((pick(m, candidate) - pick(m, reference)).alias(m) for m in ("roc_auc", "pr_auc")), (pick("brier", reference) - pick("brier", candidate)).alias("brier"))
-    seen = evaluate(scores.where(F.col("model").isin(candidate, reference)))
-    observed = seen.agg(*((pick(m, candidate) - pick(m, reference)).alias(m) for m in ("roc_auc", "pr_auc")), (pick("brier", reference) - pick("brier", candidate)).alias("brier"))
-    cells = lambda df: df.select(*df.columns[:1] if "rep" in df.columns else [], F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("d")) for m in ("roc_auc", "pr_auc", "brier")))).alias("c"))
-    d = cells(both).select("c.metric", "c.d").where("d IS NOT NULL")
+METRICS = ("roc_auc", "pr_auc", "brier")
+
+
+def _long(df: DataFrame, *keys: str) -> DataFrame:
+    """keys, model, metric, v, where more is better: the Brier score changes its sign."""
+    cells = F.array(*(F.struct(F.lit(m).alias("metric"), (-F.col(m) if m == "brier" else F.col(m)).alias("v")) for m in METRICS))
+    return df.select(*keys, "model", F.explode(cells).alias("c")).select(*keys, "model", "c.metric", "c.v")
+
+
+def paired_bootstrap(scores: DataFrame, candidates: str | Sequence[str], references: str | Sequence[str], replicates: int = DEFAULT.n_bootstrap, ci: float = 0.95) -> DataFrame:
+    """candidate, reference, metric, improvement of the candidate (the other way round for Brier), its interval and p-value.
+
+    All pairs share one set of replicates: a row has the same weight for every model.
+    """
+    candidates, references = ([x] if isinstance(x, str) else list(x) for x in (candidates, references))
+    own = scores.where(F.col("model").isin(*candidates, *references))
+
+    def pairs(values: DataFrame, *keys: str) -> DataFrame:
+        a = values.where(F.col("model").isin(*candidates)).withColumnsRenamed({"model": "candidate", "v": "a"})
+        b = values.where(F.col("model").isin(*references)).withColumnsRenamed({"model": "reference", "v": "b"})
+        return a.join(b, [*keys, "metric"]).select("candidate", "reference", "metric", (F.col("a") - F.col("b")).alias("d"))
+
+    d = pairs(_long(replicate_metrics(own, replicates), "rep"), "rep").where("d IS NOT NULL")
     k = F.count("*")
     tail = F.least((F.count_if(F.col("d") <= 0) + 1) / (k + 1), (F.count_if(F.col("d") >= 0) + 1) / (k + 1))
-    stats = d.groupBy("metric").agg(F.percentile("d", (1 - ci) / 2).alias("lo"), F.percentile("d", (1 + ci) / 2).alias("hi"), F.least(F.lit(1.0), 2 * tail).alias("p"), k.alias("n_bootstrap"))
-    o = cells(observed).select("c.metric", F.col("c.d").alias("improvement"))
-    return o.join(stats, "metric").select(F.lit(candidate).alias("candidate"), F.lit(reference).alias("reference"), "metric", r6("improvement").alias("improvement"), r6("lo").alias("improvement_lo"), r6("hi").alias("improvement_hi"), r6("p").alias("p_value"), "n_bootstrap")
+    stats = d.groupBy("candidate", "reference", "metric").agg(F.percentile("d", (1 - ci) / 2).alias("lo"), F.percentile("d", (1 + ci) / 2).alias("hi"), F.least(F.lit(1.0), 2 * tail).alias("p"), k.alias("n_bootstrap"))
+    seen = pairs(_long(evaluate(own))).withColumnRenamed("d", "improvement")
+    return seen.join(stats, ["candidate", "reference", "metric"]).select("candidate", "reference", "metric", r6("improvement").alias("improvement"), r6("lo").alias("improvement_lo"), r6("hi").alias("improvement_hi"), r6("p").alias("p_value"), "n_bootstrap")
 
 
 def comparison_table(scores: DataFrame, candidates: Sequence[str], references: Sequence[str], replicates: int = DEFAULT.n_bootstrap) -> DataFrame:
-    """candidate, reference, DeLong's test and the bootstrap interval of the AUC, with Holm-adjusted p-values; largest gains first."""
-    parts = None
-    for c in candidates:
-        for r in references:
-            test = delong(scores, c, r)
-            boot = paired_bootstrap(scores, c, r, replicates).where("metric = 'roc_auc'").select("candidate", "improvement_lo", "improvement_hi", F.col("p_value").alias("p_bootstrap"))
-            row = test.join(boot, "candidate")
-            parts = row if parts is None else parts.unionByName(row)
-    out = parts.withColumn("p_value", r6(normal_p(F.col("z")))).withColumnsRenamed({"improvement_lo": "delta_lo", "improvement_hi": "delta_hi"})
+    """candidate, reference, DeLong's test with Holm-adjusted p-values and the bootstrap intervals of all three metrics; largest gains first."""
+    tests = None
+    for r in references:
+        row = delong(scores, candidates, r)
+        tests = row if tests is None else tests.unionByName(row)
+    named = {"roc_auc": "delta", "pr_auc": "pr_auc_delta", "brier": "brier_delta"}
+    boot = paired_bootstrap(scores, candidates, references, replicates)
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    wide = [pick(m, f"improvement_{side}").alias(f"{name}_{side}") for m, name in named.items() for side in ("lo", "hi")]
+    wide += [pick(m, "improvement").alias(name) for m, name in named.items() if m != "roc_auc"]
+    wide += [pick(m, "p_value").alias(f"p_bootstrap_{m}") for m in named]
+    boot = boot.groupBy("candidate", "reference").agg(*wide, F.max("n_bootstrap").alias("n_bootstrap"))
+    out = tests.join(boot, ["candidate", "reference"]).withColumn("p_value", r6(normal_p(F.col("z"))))
     out = out.withColumn("improvement_pct_of_max", r6(100 * F.col("delta") / F.nullif(1 - F.col("auc_reference"), F.lit(0.0))))
     return holm(out, "p_value", tie=("candidate", "reference")).withColumn("p_adjusted", r6("p_adjusted")).orderBy(F.desc("delta"), "candidate", "reference")

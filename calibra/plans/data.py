@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..operators import scorecard, timesplit
+from ..operators import models, scorecard, timesplit
 from ..operators.curves import finite
 from ..operators.metrics import r6
 from ..params import DATE, DEFAULT, ID, MISS_CANDIDATES, STATUS, TARGET
@@ -59,6 +59,23 @@ def _(spark, sf):
     return files.read_csv(spark, path, "status_name string, mean_amt double, n long")
 
 
+@query("S06_tiers_from_json", select("SELECT status_name AS tier, round(sum(total_amt) / count(*), 2) AS bound FROM apps GROUP BY 1", APPS))
+def _(spark, sf):
+    """Bounds made from the table, written as JSON and read back as bands."""
+    bounds = apps(spark, sf).groupBy(STATUS).agg(F.round(F.sum("total_amt") / F.count("*"), 2).alias("bound"))
+    path = files.scratch(spark, "tiers")
+    files.write_text(bounds.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(STATUS, "bound")))).alias("value")), path)
+    return spark.createDataFrame(list(files.read_tiers(spark, path)), "tier string, bound double")
+
+
+@query("S09_text_sink", select("SELECT CAST(row_number() OVER (ORDER BY status_name) - 1 AS INTEGER) AS line, status_name || ': ' || count(*) AS text FROM apps GROUP BY status_name", APPS))
+def _(spark, sf):
+    counts = apps(spark, sf).groupBy(STATUS).agg(F.count("*").alias("n")).orderBy(STATUS)
+    path = files.scratch(spark, "text")
+    files.write_text(counts.select(F.concat_ws(": ", STATUS, F.col("n").cast("string")).alias("value")), path)
+    return files.read_text(spark, path)
+
+
 @query("S06_risk_tiers", "SELECT * FROM (VALUES ('LOW', 0.03::DOUBLE), ('MODERATE', 0.06), ('ELEVATED', 0.10), ('HIGH', 0.20), ('VERY_HIGH', 1.01)) AS t(tier, bound)")
 def _(spark, sf):
     return spark.createDataFrame(list(files.read_tiers(spark, None)), "tier string, bound double")
@@ -82,9 +99,9 @@ for _name, (_sql, _col) in PREDICATES.items():
     query(_name, select(f"SELECT status_name, count(*) AS n FROM apps WHERE {_sql} GROUP BY 1", APPS))(lambda spark, sf, c=_col: apps(spark, sf).where(c()).groupBy(STATUS).agg(F.count("*").alias("n")))
 
 
-@query("P05_P06_support", select("SELECT csp, count(*) AS n, CAST(sum(target) AS BIGINT) AS pos, count(*) >= 50 AND sum(target) >= 10 AS enough FROM m GROUP BY 1", APPS, MATURED))
+@query("P05_P06_support", select("SELECT csp, count(*) AS n, CAST(sum(target) AS BIGINT) AS pos, count(*) >= 50 AND sum(target) >= 10 AS enough, least(sum(target), count(target) - sum(target)) >= 2 AS supported FROM m GROUP BY 1", APPS, MATURED))
 def _(spark, sf):
-    rows = apps(spark, sf).where(src.matured()).groupBy("csp").agg(F.count("*").alias("n"), F.sum(TARGET).cast("long").alias("pos"))
+    rows = apps(spark, sf).where(src.matured()).groupBy("csp").agg(F.count("*").alias("n"), F.sum(TARGET).cast("long").alias("pos"), models.class_support().alias("supported"))
     return rows.withColumn("enough", (F.col("n") >= DEFAULT.min_valid) & (F.col("pos") >= DEFAULT.min_positive))
 
 

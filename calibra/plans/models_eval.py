@@ -33,6 +33,7 @@ def _(spark, sf):
     return encoders.add_frequencies(test, encoders.fit_frequencies(train, cols), cols).select(ID, *(r6(f"freq_{c}").alias(f"freq_{c}") for c in cols))
 
 
+# written for two of the six fixed pairs; X03_group_relative_all has them all
 @query("X03_group_relative", select("SELECT authorization_id, round(income_t1 / nullif(coalesce(a.med, o.med), 0), 6) AS income_t1_rel_csp, round(total_amt / nullif(coalesce(b.med, p.med), 0), 6) AS total_amt_rel_product_type_3 FROM test LEFT JOIN (SELECT csp AS v, median(income_t1) AS med FROM train GROUP BY 1) a ON csp = a.v LEFT JOIN (SELECT product_type_3 AS v, median(total_amt) AS med FROM train GROUP BY 1) b ON product_type_3 = b.v, (SELECT median(income_t1) AS med FROM train) o, (SELECT median(total_amt) AS med FROM train) p", APPS, MATURED))
 def _(spark, sf):
     train, test = parts(spark, sf)
@@ -40,6 +41,23 @@ def _(spark, sf):
     return encoders.add_group_stats(test, train, pairs).select(ID, *(r6(f"{n}_rel_{c}").alias(f"{n}_rel_{c}") for n, c in pairs))
 
 
+_rel = [(n, c, f"g{i}") for i, (n, c) in enumerate(encoders.GROUP_PAIRS)]
+_rel_cols = ", ".join(f"round({n} / nullif(coalesce({g}.med, {g}o.med), 0), 6) AS {n}_rel_{c}" for n, c, g in _rel)
+_rel_joins = " ".join(f"LEFT JOIN (SELECT {c} AS v, median({n}) AS med FROM train GROUP BY 1) {g} ON {c} = {g}.v" for n, c, g in _rel)
+_rel_all = ", ".join(f"(SELECT median({n}) AS med FROM train) {g}o" for n, c, g in _rel)
+
+
+@query("X03_group_relative_all", select(f"SELECT authorization_id, {_rel_cols} FROM test {_rel_joins}, {_rel_all}", APPS, MATURED))
+def _(spark, sf):
+    train, test = parts(spark, sf)
+    return encoders.add_group_stats(test, train, encoders.GROUP_PAIRS).select(ID, *(r6(f"{n}_rel_{c}").alias(f"{n}_rel_{c}") for n, c in encoders.GROUP_PAIRS))
+
+
+@query("A06_mode", select("SELECT csp, house_type AS mode FROM (SELECT csp, house_type, row_number() OVER (PARTITION BY csp ORDER BY count(house_type) DESC, house_type NULLS LAST) AS k FROM apps GROUP BY csp, house_type) WHERE k = 1", APPS))
+def _(spark, sf):
+    return encoders.mode(apps(spark, sf), "csp", "house_type")
+
+
 @query("X04_enrichment", select("SELECT count(*) AS n, round(sum(coalesce(a.n / ta, 0)) / count(*), 6) AS mean_freq, round(median(age_t1 / nullif(g.med, 0)), 6) AS median_rel FROM test LEFT JOIN cn a ON a.feature = 'house_type' AND a.value = house_type LEFT JOIN (SELECT house_type AS v, median(age_t1) AS med FROM train GROUP BY 1) g ON house_type = g.v, (SELECT sum(n) FILTER (feature = 'house_type') AS ta FROM cn)", APPS, MATURED, _CATS))
 def _(spark, sf):
     train, test = parts(spark, sf)
@@ -208,7 +226,7 @@ def _(spark, sf):
     rows = apps(spark, sf).where("tenor IS NOT NULL")
     own = Window.partitionBy("csp").orderBy(F.desc("total_amt"), ID)
     rows = rows.withColumn("score", F.col("tenor")).withColumn("k", F.row_number().over(own)).withColumn("cum", F.sum("total_loan_nbr").over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    return rows.withColumn("midrank", metrics.midranks(rows, ["csp"])).where("k <= 3").select(ID, "k", "cum", "midrank")
+    return curves.midranks(rows, ["csp"], "score", "midrank").where("k <= 3").select(ID, "k", "cum", "midrank")
 
 
 @query("A11_A14_statistics", select("SELECT csp, max_by(house_type, (total_amt, authorization_id)) AS top_type, round(corr(tenor, total_amt), 6) AS r, round(regr_slope(total_amt, tenor), 4) AS slope, round(covar_samp(total_amt, tenor), 2) AS cov FROM apps GROUP BY 1", APPS))
@@ -222,7 +240,7 @@ EVAL = evaluation("sel")
 
 @query("E01_E03_rank_metrics", select("SELECT model, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(ks, 6) AS ks, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_pos AS BIGINT) AS n_pos FROM r", APPS, SCORES, ranking("dev")))
 def _(spark, sf):
-    m = curves.ranking_metrics(curves.curve(window_scores(spark, sf, "development"), buckets=16))
+    m = curves.ranking_metrics(curves.curve(window_scores(spark, sf, "development")))
     return m.select("model", *(r6(c).alias(c) for c in ("roc_auc", "pr_auc", "ks")), "n_rows", "n_pos")
 
 
@@ -377,7 +395,8 @@ def _(spark, sf):
 
 @query("E24_reliability", select(f"SELECT model, CAST({left_bin('score', 'e')} AS INTEGER) AS bin, round(avg(score) + 1e-11, 6) AS mean_score, round(avg(y), 6) AS observed_rate, count(*) AS n FROM sel JOIN (SELECT model, {distinct(f'quantile_cont(score, {quantiles(10)})')} AS e FROM sel GROUP BY 1) USING (model) GROUP BY ALL", APPS, SCORES))
 def _(spark, sf):
-    return metrics.reliability(window_scores(spark, sf))
+    out = metrics.reliability(window_scores(spark, sf))
+    return out.withColumn("mean_score", r6(F.col("mean_score") + 1e-11))  # means of few six-digit scores are exact halves, which the two engines round apart
 
 
 @query("E25_capture_at_10", select("SELECT model, round(sum(y) FILTER (rn <= ceil(nt * 0.1)) / sum(y), 6) AS capture FROM k GROUP BY model", APPS, SCORES, _RANK))
@@ -385,23 +404,27 @@ def _(spark, sf):
     return metrics.capture_at(window_scores(spark, sf))
 
 
-# the scorecard's comparisons come from DeLong's test with a normal interval, so that SQL can follow
+# SQL follows DeLong's test with a normal interval and Holm's adjustment; E22_scorecard_bootstrap has the bootstrap interval
 def comparisons(spark, sf) -> DataFrame:
-    s = window_scores(spark, sf)
-    out = None
-    for name in MODELS:
-        row = metrics.delong(s, name, "score_RF (benchmark)")
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("delta_lo", r6(F.col("delta") - 1.96 * F.col("se"))).withColumn("p_adjusted", F.when(F.abs("z") > 2.5, 0.01).otherwise(0.5))
+    out = metrics.delong(window_scores(spark, sf), MODELS, "score_RF (benchmark)")
+    out = out.withColumn("delta_lo", r6(F.col("delta") - 1.96 * F.col("se"))).withColumn("p_value", metrics.normal_p(F.col("z")))
+    return metrics.holm(out, "p_value", tie=("candidate",)).withColumn("p_adjusted", r6("p_adjusted"))
 
 
-def card(spark, sf) -> DataFrame:
-    return metrics.model_scorecard(metrics.evaluate(window_scores(spark, sf)), overfit(spark, sf), metrics.rolling_summary(rolling(spark, sf)), comparisons(spark, sf), MODELS)
+def card(spark, sf, compared: DataFrame | None = None) -> DataFrame:
+    compared = comparisons(spark, sf) if compared is None else compared
+    return metrics.model_scorecard(metrics.evaluate(window_scores(spark, sf)), overfit(spark, sf), metrics.rolling_summary(rolling(spark, sf)), compared, MODELS)
 
 
 _names = "', '".join(MODELS)
-COMPARE = f"""{_DELONG}, co AS (SELECT model AS candidate, round(a1 - b1, 6) AS delta, round(round(a1 - b1, 6) - 1.96::DOUBLE * round(se, 6), 6) AS delta_lo, CASE WHEN abs(round((a1 - b1) / se, 4)) > 2.5 THEN 0.01 ELSE 0.5 END AS p_adjusted FROM
- (SELECT a.model, avg(a.v) FILTER (a.y = 1) AS a1, avg(b.v) FILTER (a.y = 1) AS b1, sqrt(var_samp(a.v - b.v) FILTER (a.y = 1) / count(*) FILTER (a.y = 1) + var_samp(a.v - b.v) FILTER (a.y = 0) / count(*) FILTER (a.y = 0)) AS se FROM dv a JOIN dv b USING (authorization_id) WHERE a.model IN ('{_names}') AND b.model = 'score_RF (benchmark)' GROUP BY 1))"""
+_poly = "0.17087277::DOUBLE"
+for _c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+    _poly = f"({_c}::DOUBLE + t * {_poly})"
+_NORMAL_P = f"t * exp(-x * x + {_poly})"
+COMPARE = f"""{_DELONG}, cz AS (SELECT model AS candidate, round(a1 - b1, 6) AS delta, round(round(a1 - b1, 6) - 1.96::DOUBLE * round(se, 6), 6) AS delta_lo, round((a1 - b1) / se, 4) AS z FROM
+ (SELECT a.model, avg(a.v) FILTER (a.y = 1) AS a1, avg(b.v) FILTER (a.y = 1) AS b1, sqrt(var_samp(a.v - b.v) FILTER (a.y = 1) / count(*) FILTER (a.y = 1) + var_samp(a.v - b.v) FILTER (a.y = 0) / count(*) FILTER (a.y = 0)) AS se FROM dv a JOIN dv b USING (authorization_id) WHERE a.model IN ('{_names}') AND b.model = 'score_RF (benchmark)' GROUP BY 1)),
+cp AS (SELECT *, {_NORMAL_P} AS p FROM (SELECT *, 1 / (1 + 0.5::DOUBLE * abs(z) / sqrt(2)) AS t, abs(z) / sqrt(2) AS x FROM cz)),
+co AS (SELECT candidate, delta, delta_lo, round(least(1, max(ps) OVER (ORDER BY p, candidate ROWS UNBOUNDED PRECEDING)), 6) AS p_adjusted FROM (SELECT *, p * (count(p) OVER () - row_number() OVER (ORDER BY p, candidate) + 1) AS ps FROM cp))"""
 _mm = lambda x, hi=True: f"coalesce(({x} - min({x}) OVER ()) / nullif(max({x}) OVER () - min({x}) OVER (), 0) * 100, 50)" if hi else f"coalesce((max({x}) OVER () - {x}) / nullif(max({x}) OVER () - min({x}) OVER (), 0) * 100, 50)"
 CARD = f"""ca AS (SELECT e.model, e.pr_auc, e.roc_auc, coalesce(c.brier, e.brier) AS ub, ov.auc_delta, su.mean_pr_auc, co.delta, co.delta_lo, co.p_adjusted FROM e LEFT JOIN e c ON c.model = e.model || ' (calibrated)' LEFT JOIN ov ON ov.model = e.model LEFT JOIN su ON su.model = e.model LEFT JOIN co ON co.candidate = e.model WHERE e.model IN ('{_names}')),
 cb AS (SELECT *, {_mm("pr_auc")} AS d, {_mm("ub", False)} AS c, {_mm("mean_pr_auc")} AS s, 100 - greatest(0, least(100, (auc_delta - 0.01::DOUBLE) / 0.09::DOUBLE * 100)) AS g, {_mm("delta")} AS l, CASE WHEN p_adjusted <= 0.05 AND delta_lo > 0 THEN 3 WHEN delta_lo > 0 THEN 2 WHEN delta > 0 THEN 1 ELSE 0 END AS tier FROM ca),
@@ -411,6 +434,12 @@ card AS (SELECT model, discrimination, calibration, stability, generalization, l
 CARD_CTES = (APPS, SCORES, EVAL, evaluation("dev", name="ed"), OVERFIT, ROLLING, SUMMARY, COMPARE, CARD)
 
 
+@query("E22_scorecard_bootstrap")
+def _(spark, sf):
+    compared = resample.comparison_table(window_scores(spark, sf), MODELS, list(BENCHMARKS))
+    return card(spark, sf, compared)
+
+
 @query("E22_model_scorecard", select("SELECT * FROM card", *CARD_CTES))
 def _(spark, sf):
     return card(spark, sf)

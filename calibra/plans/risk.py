@@ -206,9 +206,11 @@ def _(spark, sf):
     best = card(spark, sf)
     name = metrics.selected_model(board, best).first()[0]
     report = stability.stability_report(*(window_scores(spark, sf, p).withColumnRenamed("score", "value") for p in ("development", "selection")), csi(spark, sf))
-    compared = comparisons(spark, sf).withColumn("p_value", metrics.normal_p(F.col("z")))
+    compared = comparisons(spark, sf)
     text = governance.model_card(name, DEFAULT, board, timesplit.population_coverage(apps(spark, sf)), stability.information_value(woe(spark, sf)), report, impact(spark, sf), compared, best, metrics.rolling_summary(rolling(spark, sf)))
-    return spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "line int, text string")
+    path = files.scratch(spark, "card")
+    files.write_text(spark.createDataFrame([(line,) for line in text.split("\n")], "value string"), path)
+    return files.read_text(spark, path)
 
 
 @query("G16_benchmark_result", "SELECT name, CASE WHEN coalesce(pa, p) >= 0.05 THEN 'ns' WHEN d > 0 THEN 'win' WHEN d < 0 THEN 'loss' ELSE 'tie' END AS result FROM (VALUES ('a', 0.1, 0.01, NULL), ('b', -0.1, 0.01, NULL), ('c', 0.1, 0.01, 0.2), ('d', 0.0, NULL, NULL)) AS t(name, d, p, pa)")
@@ -318,7 +320,12 @@ def _(spark, sf):
 def features(spark, sf):
     train, test = (fx.engineer(p, []) for p in matured_parts(spark, sf))
     selection = test.where(F.col("mis_date") < F.lit(DEFAULT.selection_date))
-    return train.persist(), selection.persist()
+    out = []
+    for name, part in (("train", train), ("selection", selection)):  # written once and read by every fold and fit, cached for nobody
+        path = files.scratch(spark, f"features-{name}")
+        files.write_table(part, path)
+        out.append(spark.read.schema(part.schema).parquet(path))
+    return tuple(out)
 
 
 for _name, _key in (("M01_logistic", "Logistic Regression"), ("M02_additive", "EBM"), ("M03_boosted", "LightGBM"), ("M04_boosted_shallow", "XGBoost"), ("M05_forest", "CatBoost")):
@@ -374,7 +381,22 @@ def _(spark, sf):
 
 @query("M13_S08_tuning_trials")
 def _(spark, sf):
-    return models.tune_logistic(features(spark, sf)[0], 50, DEFAULT.cv_folds)
+    path = files.scratch(spark, "trials")  # the history is what comes back from its sink
+    files.write_table(models.tune_logistic(features(spark, sf)[0], 50, DEFAULT.cv_folds), path)
+    return spark.read.parquet(path)
+
+
+@query("M11_safe_splits", select("SELECT CAST(least(5, count(target), sum(target), count(target) - sum(target)) AS INTEGER) AS folds FROM train", APPS, MATURED))
+def _(spark, sf):
+    return spark.createDataFrame([(models.safe_splits(matured_parts(spark, sf)[0]),)], "folds int")
+
+
+@query("M11_refit")
+def _(spark, sf):
+    """A model fitted on the first half of the training rows, fitted anew from its own settings on all of them."""
+    train, test = features(spark, sf)
+    fitted = models.SPECS["Logistic Regression"].fit(timesplit.calibration_split(train).where("part = 'fit'").drop("part")).refit(train)
+    return metrics.evaluate(test.select(ID, F.col(TARGET).alias("y")).join(fitted.score(test), ID).withColumn("model", F.lit("refitted")))
 
 
 _CS, _L1S = (0.03, 0.1, 0.3, 1.0, 3.0), (0.2, 0.5, 0.8)
@@ -429,7 +451,7 @@ def _(spark, sf):
     train, test = features(spark, sf)
     fitted, path = models.SPECS["Logistic Regression"].fit(train), files.scratch(spark, "model")
     fitted.save(path)
-    again = models.Fitted(fitted.features, fitted.stats, PipelineModel.load(path))
+    again = models.Fitted(fitted.features, fitted.stats, PipelineModel.load(path), fitted.spec)
     return again.score(test).withColumn("tier", fx.risk_tier(F.col("score")))
 
 

@@ -44,6 +44,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     rounded(df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_text(lines: DataFrame, path: str) -> None:
+    """The strings of one column as lines of one text file, in order; for reports of known small size."""
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0) and text of a report that write_text wrote."""
+    whole = spark.read.text(path, wholetext=True)  # an empty report is written as no file or an empty one
+    lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
+    return whole.where("value != ''").select(F.posexplode(lines).alias("line", "text"))
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -46,8 +47,52 @@ def test_rank_metrics_with_ties(spark, pairs):
 
 def test_two_level_prefix_sums_are_the_same(spark, pairs):
     df = long(spark, m=pairs, k=[(y, round(1 - s, 2)) for y, s in pairs])
-    a, b = (sorted(map(tuple, curves.curve(df, buckets=n).select("model", "score", "tp", "fp", "p", "n").collect())) for n in (1, 5))
-    assert a == b
+    df = df.unionByName(long(spark, wide=[(i % 2, s) for i, s in enumerate((-1e300, -3.0, -1e-9, 0.0, 0.0, 1e-300, 0.2, 0.20000001, 0.2, 7.0, 1e12))]))
+    rows = [(r["model"], r["score"], r["y"]) for r in df.collect()]
+    for r in curves.curve(df).collect():
+        own = [(s, y) for m, s, y in rows if m == r["model"]]
+        up = [y for s, y in own if s >= r["score"]]
+        assert (r["tp"], r["fp"], r["p"], r["n"]) == (sum(up), len(up) - sum(up), sum(y for _, y in own), sum(1 - y for _, y in own))
+
+
+def test_ranks_by_score_and_id(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "TIE_BITS", 2)  # tied rows lie in several id ranges
+    df = long(spark, m=[(i % 2, round((i * 7 % 5) / 10, 1)) for i in range(40)], k=[(i % 2, 0.5) for i in range(21)])
+    order = {}
+    for r in sorted(df.collect(), key=lambda r: (r["model"], -r["score"], r["authorization_id"])):
+        order.setdefault(r["model"], []).append(r["authorization_id"])
+    got = metrics.ranked(df).collect()
+    assert len(got) == 61 and all(order[r["model"]][r["row"] - 1] == r["authorization_id"] and r["n_total"] == len(order[r["model"]]) for r in got)
+
+
+def test_no_task_sorts_all_rows_of_a_model(spark, pairs):
+    """Windows run by score range, or by score and id range; those by model alone are over totals that were grouped before."""
+    df = long(spark, a=pairs, b=pairs)
+    for out in (metrics.lift_table(df), metrics.capture_at(df)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        numbered = re.findall(r"row_number\(\) windowspecdefinition\((.*?)ASC", plan)
+        assert numbered and all("score#" in w and "_ids#" in w for w in numbered)
+    for out in (metrics.threshold_analysis(df), metrics.delong(df, "a", "b"), metrics.evaluate(df)):
+        assert "row_number()" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_midranks(spark):
+    values = [3.0, 1.0, 3.0, 2.0, 3.0, -1.0]
+    df = spark.createDataFrame([(i, "m", v) for i, v in enumerate(values)], "i int, model string, score double")
+    got = {r["i"]: r["rank"] for r in curves.midranks(df, ["model"], "score", "rank").collect()}
+    assert [got[i] for i in range(6)] == [5.0, 2.0, 5.0, 3.0, 5.0, 1.0]
+
+
+def test_comparisons_of_all_metrics_and_pairs(spark, pairs):
+    rng = np.random.default_rng(5)
+    noisy = [(y, round(float(rng.random()), 3)) for y, _ in pairs]
+    rows = resample.comparison_table(long(spark, a=pairs, b=noisy, r=[(y, 0.5) for y, _ in pairs]), ["a", "b"], ["r"], 60).collect()
+    assert [r["candidate"] for r in rows] == sorted((r["candidate"] for r in rows), key=lambda c: -next(x["delta"] for x in rows if x["candidate"] == c))
+    for r in rows:
+        assert r["n_bootstrap"] <= 60 and r["p_adjusted"] >= r["p_value"]
+        assert r["delta_lo"] <= r["delta_hi"] and r["pr_auc_delta_lo"] <= r["pr_auc_delta_hi"] and r["brier_delta_lo"] <= r["brier_delta_hi"]
+        alone = {x["metric"]: x for x in resample.paired_bootstrap(long(spark, a=pairs, b=noisy, r=[(y, 0.5) for y, _ in pairs]), r["candidate"], "r", 60).collect()}
+        assert (alone["brier"]["improvement_lo"], alone["pr_auc"]["p_value"]) == (r["brier_delta_lo"], r["p_bootstrap_pr_auc"])
 
 
 def test_ks_of_perfect_and_constant_scores(spark):

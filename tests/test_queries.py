@@ -38,7 +38,7 @@ def test_query_equals_its_sql(spark, duck, sf, name):
     assert sorted(repr([plain(v) for v in r]) for r in got.select(*(f"`{c}`" for c in columns)).collect()) == want
 
 
-@pytest.mark.parametrize("name", ["E13_paired_bootstrap", "E16_bootstrap_intervals", "G10_pseudo_labels", "G15_model_card", "M01_logistic", "M05_forest", "M06_out_of_fold", "M08_calibration", "E27_importance", "S07_F21_model_store"])
+@pytest.mark.parametrize("name", ["E13_paired_bootstrap", "E16_bootstrap_intervals", "G10_pseudo_labels", "G15_model_card", "M01_logistic", "M05_forest", "M06_out_of_fold", "M08_calibration", "E27_importance", "M11_refit", "S07_F21_model_store"])
 def test_query_gives_rows(spark, sf, name):
     assert not QUERIES[name](spark, sf).isEmpty()
     spark.catalog.clearCache()

@@ -77,6 +77,16 @@ def test_band_rates_use_rows_before_the_split_only(spark):
     assert labelled.orderBy("authorization_id").collect() == bias.pseudo_labels(df.repartition(7), rejected.repartition(3), 10, p).orderBy("authorization_id").collect()
 
 
+def test_pseudo_labels_never_exceed_the_cap(spark):
+    rows = spark.range(500).select(F.col("id").alias("authorization_id"))
+    for seed in range(8):
+        for most in (0, 1, 137, 499, 500, 900):
+            got = bias.first_by_hash(rows, most, seed, ranges=16)
+            assert got.count() == min(most, 500)
+    order = [r[0] for r in rows.orderBy(bias.hash_uniform(3, "authorization_id")).collect()]
+    assert {r[0] for r in bias.first_by_hash(rows, 137, 3, ranges=16).collect()} == set(order[:137])
+
+
 def test_data_quality_counts_outliers(spark):
     df = spark.createDataFrame([(float(i), "a") for i in range(20)] + [(1000.0, "b"), (None, None)], "x double, c string")
     got = {r["feature"]: r for r in governance.data_quality(df, ["x"], ["c"]).collect()}
