@@ -11,12 +11,12 @@ _N = lambda c: F.coalesce(c, F.lit(0.0))
 
 
 def linear_scores() -> dict[str, Column]:
-    """Log-odds of three fixed scorecards over application columns."""
+    """Log-odds of three fixed scorecards over application columns: formulas, not fitted models."""
     c = F.col
     return {
-        "Logistic Regression": -1.6 + 0.000002 * c("total_amt") - 0.00005 * _N("income_t1") + 0.01 * (c("age_t1") - 40),
-        "LightGBM": -1.4 + 0.004 * _N("tenor") + 0.3 * c("income_t2").isNotNull().cast("double") - 0.002 * _N("max_credit_tj_av"),
-        "XGBoost": -1.5 + 0.0005 * _N("installment_amt") + 0.02 * _N("total_card_nbr") - 0.01 * (c("age_t1") - 40),
+        "Scorecard A": -1.6 + 0.000002 * c("total_amt") - 0.00005 * _N("income_t1") + 0.01 * (c("age_t1") - 40),
+        "Scorecard B": -1.4 + 0.004 * _N("tenor") + 0.3 * c("income_t2").isNotNull().cast("double") - 0.002 * _N("max_credit_tj_av"),
+        "Scorecard C": -1.5 + 0.0005 * _N("installment_amt") + 0.02 * _N("total_card_nbr") - 0.01 * (c("age_t1") - 40),
     }
 
 

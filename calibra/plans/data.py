@@ -160,7 +160,7 @@ _P = "round(1 / (1 + exp(-z0)), 6)"
 
 @query("F18_risk_tier", select(f"SELECT authorization_id, CASE WHEN p IS NULL OR p < 0 THEN 'UNKNOWN' WHEN p < 0.03 THEN 'LOW' WHEN p < 0.06 THEN 'MODERATE' WHEN p < 0.10 THEN 'ELEVATED' WHEN p < 0.20 THEN 'HIGH' WHEN p < 1.01 THEN 'VERY_HIGH' ELSE 'UNKNOWN' END AS tier FROM (SELECT authorization_id, {_P} AS p FROM z)", APPS, SCORES))
 def _(spark, sf):
-    return apps(spark, sf).select(ID, fx.risk_tier(scorecard.model_scores()["Logistic Regression"]).alias("tier"))
+    return apps(spark, sf).select(ID, fx.risk_tier(scorecard.model_scores()["Scorecard A"]).alias("tier"))
 
 
 STATS = [("income_t1", 0.0, -500.0, 9000.0), ("max_credit_tj_av", 0.5, 5.0, 300.0), ("income_t2", 33.0, 0.0, 4500.0)]
@@ -179,7 +179,7 @@ def _(spark, sf):
 
 @query("F21_score_batch", select(f"SELECT authorization_id, {_P} AS predicted_pd, CASE WHEN {_P} < 0.10 THEN 'low' ELSE 'high' END AS risk_tier FROM z", APPS, SCORES))
 def _(spark, sf):
-    p = scorecard.model_scores()["Logistic Regression"]
+    p = scorecard.model_scores()["Scorecard A"]
     return apps(spark, sf).select(ID, p.alias("predicted_pd"), fx.risk_tier(p, (("low", 0.10), ("high", 1.01))).alias("risk_tier"))
 
 
@@ -191,7 +191,7 @@ def _(spark, sf):
 @query("F23_blend", select("SELECT authorization_id, round(0.3 * round(1 / (1 + exp(-z0)), 6) + (1 - 0.3) * round(1 / (1 + exp(-z1)), 6), 7) AS p FROM z", APPS, SCORES))
 def _(spark, sf):
     m = scorecard.model_scores()
-    return apps(spark, sf).select(ID, F.round(fx.blend(m["Logistic Regression"], m["LightGBM"], 0.3), 7).alias("p"))
+    return apps(spark, sf).select(ID, F.round(fx.blend(m["Scorecard A"], m["Scorecard B"], 0.3), 7).alias("p"))
 
 
 @query("F24_target_source", select("SELECT authorization_id, target IS NOT NULL AS has_observed_target, CASE WHEN status_name = 'Booked' AND target IS NOT NULL THEN 'observed' WHEN status_name = 'Booked' THEN 'immature' ELSE 'unobserved' END AS target_source FROM apps", APPS))

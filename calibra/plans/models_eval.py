@@ -263,11 +263,11 @@ def _(spark, sf):
     return metrics.official_models(metrics.leaderboard(window_scores(spark, sf)), reject_inference=True)
 
 
-@query("E09_holdout_scores", select("SELECT authorization_id, mis_date, status_name, any_value(y) AS y, max(score) FILTER (model = 'Logistic Regression') AS score__logistic_regression, max(score) FILTER (model = 'LightGBM') AS score__lightgbm FROM sel GROUP BY ALL", APPS, SCORES))
+@query("E09_holdout_scores", select("SELECT authorization_id, mis_date, status_name, any_value(y) AS y, max(score) FILTER (model = 'Scorecard A') AS score__scorecard_a, max(score) FILTER (model = 'Scorecard B') AS score__scorecard_b FROM sel GROUP BY ALL", APPS, SCORES))
 def _(spark, sf):
     from ..operators.scorecard import wide_scores
 
-    return wide_scores(window_scores(spark, sf), ["Logistic Regression", "LightGBM"])
+    return wide_scores(window_scores(spark, sf), ["Scorecard A", "Scorecard B"])
 
 
 _RANK = "k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, authorization_id) AS rn, count(*) OVER (PARTITION BY model) AS nt FROM sel)"
@@ -299,17 +299,17 @@ _DELONG = """dl AS (SELECT model, authorization_id, y, rank() OVER (PARTITION BY
 @query(
     "E12_delong",
     select(
-        "SELECT candidate, reference, round(a1, 6) AS auc_candidate, round(b1, 6) AS auc_reference, round(a1 - b1, 6) AS delta, round(se, 6) AS se, round((a1 - b1) / se, 4) AS z FROM (SELECT 'Logistic Regression' AS candidate, 'score_RF (benchmark)' AS reference, avg(a.v) FILTER (a.y = 1) AS a1, avg(b.v) FILTER (a.y = 1) AS b1, sqrt(var_samp(a.v - b.v) FILTER (a.y = 1) / count(*) FILTER (a.y = 1) + var_samp(a.v - b.v) FILTER (a.y = 0) / count(*) FILTER (a.y = 0)) AS se FROM dv a JOIN dv b USING (authorization_id) WHERE a.model = 'Logistic Regression' AND b.model = 'score_RF (benchmark)')",
+        "SELECT candidate, reference, round(a1, 6) AS auc_candidate, round(b1, 6) AS auc_reference, round(a1 - b1, 6) AS delta, round(se, 6) AS se, round((a1 - b1) / se, 4) AS z FROM (SELECT 'Scorecard A' AS candidate, 'score_RF (benchmark)' AS reference, avg(a.v) FILTER (a.y = 1) AS a1, avg(b.v) FILTER (a.y = 1) AS b1, sqrt(var_samp(a.v - b.v) FILTER (a.y = 1) / count(*) FILTER (a.y = 1) + var_samp(a.v - b.v) FILTER (a.y = 0) / count(*) FILTER (a.y = 0)) AS se FROM dv a JOIN dv b USING (authorization_id) WHERE a.model = 'Scorecard A' AND b.model = 'score_RF (benchmark)')",
         APPS, SCORES, _DELONG,
     ),
 )
 def _(spark, sf):
-    return metrics.delong(window_scores(spark, sf), "Logistic Regression", "score_RF (benchmark)")
+    return metrics.delong(window_scores(spark, sf), "Scorecard A", "score_RF (benchmark)")
 
 
 @query("E13_paired_bootstrap")
 def _(spark, sf):
-    return resample.paired_bootstrap(window_scores(spark, sf), "Logistic Regression", "score_RF (benchmark)")
+    return resample.paired_bootstrap(window_scores(spark, sf), "Scorecard A", "score_RF (benchmark)")
 
 
 @query("E14_comparison_table")
@@ -374,18 +374,18 @@ def _(spark, sf):
     select(
         "SELECT tree, weight, round(pr_auc, 6) AS pr_auc, CAST(row_number() OVER (ORDER BY round(pr_auc, 6) DESC, tree, weight) AS INTEGER) AS rank FROM r",
         APPS, SCORES,
-        "bl AS (SELECT t.model AS tree, round(g * 0.25, 6)::DOUBLE AS weight, a.y, round(g * 0.25::DOUBLE * a.score + (1 - g * 0.25::DOUBLE) * t.score, 6) AS score FROM sel a JOIN sel t USING (authorization_id), (SELECT unnest(range(0, 5)) AS g) WHERE a.model = 'Logistic Regression' AND t.model IN ('LightGBM', 'XGBoost'))",
+        "bl AS (SELECT t.model AS tree, round(g * 0.25, 6)::DOUBLE AS weight, a.y, round(g * 0.25::DOUBLE * a.score + (1 - g * 0.25::DOUBLE) * t.score, 6) AS score FROM sel a JOIN sel t USING (authorization_id), (SELECT unnest(range(0, 5)) AS g) WHERE a.model = 'Scorecard A' AND t.model IN ('Scorecard B', 'Scorecard C'))",
         ranking("bl", "tree, weight"),
     ),
 )
 def _(spark, sf):
-    return metrics.ensemble_search(window_scores(spark, sf), "Logistic Regression", ["LightGBM", "XGBoost"], 0.25)
+    return metrics.ensemble_search(window_scores(spark, sf), "Scorecard A", ["Scorecard B", "Scorecard C"], 0.25)
 
 
 # in steps of 0.05; the SQL above fixes 0.25
 @query("E21_ensemble_search_all")
 def _(spark, sf):
-    return metrics.ensemble_search(window_scores(spark, sf), "Logistic Regression", ["LightGBM", "XGBoost"])
+    return metrics.ensemble_search(window_scores(spark, sf), "Scorecard A", ["Scorecard B", "Scorecard C"])
 
 
 @query("E23_curve_points", select("SELECT model, score, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr, round(tp / (tp + fp), 6) AS precision FROM c", APPS, SCORES, curve("sel")))

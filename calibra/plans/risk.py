@@ -14,7 +14,7 @@ from ..streaming import monitor
 from .catalog import query
 from .data import COVERAGE, apps, matured_parts, scores, window_scores
 from .models_eval import CARD_CTES, EVAL, LIFT, OVERFIT, _RANK, card, comparisons, overfit, rolling
-from .sql import APPS, BAND, MATURED, PSI, SCORES, cells, distinct, evaluation, left_bin, quantiles, right_bin, select
+from .sql import APPS, BAND, MATURED, MODELS, PSI, SCORES, cells, distinct, evaluation, left_bin, quantiles, right_bin, select
 
 # ---- G: stability -------------------------------------------------------------------------
 _PSI_CTES = f"""ed AS (SELECT model, quantile_cont(score, {quantiles(10)}) AS e FROM dev GROUP BY 1),
@@ -168,11 +168,11 @@ def _(spark, sf):
     return bias.augment(train, rejects).groupBy("weight").agg(F.count("*").alias("n"))
 
 
-@query("G12_applicant_scores", select("SELECT authorization_id, mis_date, status_name, CASE WHEN status_name = 'Booked' AND target IS NOT NULL THEN 'observed' WHEN status_name = 'Booked' THEN 'immature' ELSE 'unobserved' END AS target_source, target IS NOT NULL AS has_observed_target, round(1 / (1 + exp(-z0)), 6) AS score__logistic_regression FROM z WHERE mis_date >= DATE '1999-07-01'", APPS, SCORES))
+@query("G12_applicant_scores", select("SELECT authorization_id, mis_date, status_name, CASE WHEN status_name = 'Booked' AND target IS NOT NULL THEN 'observed' WHEN status_name = 'Booked' THEN 'immature' ELSE 'unobserved' END AS target_source, target IS NOT NULL AS has_observed_target, round(1 / (1 + exp(-z0)), 6) AS score__scorecard_a FROM z WHERE mis_date >= DATE '1999-07-01'", APPS, SCORES))
 def _(spark, sf):
     from ..operators.scorecard import wide_scores
 
-    return bias.applicant_scores(apps(spark, sf), wide_scores(scores(spark, sf), ["Logistic Regression"]))
+    return bias.applicant_scores(apps(spark, sf), wide_scores(scores(spark, sf), ["Scorecard A"]))
 
 
 # ---- G: governance ------------------------------------------------------------------------
@@ -239,14 +239,14 @@ def _(spark, sf):
 
 
 # ---- R: presentation ----------------------------------------------------------------------
-@query("R01_kpi_tiles", select(f"SELECT label, CAST(value AS BIGINT) AS value FROM (SELECT unnest(['scored', 'booked', 'rejected', 'canceled', 'holdout_rows', 'observed_bads']) AS label, unnest([sum(n), sum(n) FILTER (status_name = 'Booked'), sum(n) FILTER (status_name = 'Rejected'), sum(n) FILTER (status_name = 'Canceled'), (SELECT count(*) FROM sel WHERE model = 'LightGBM'), sum(n_bad)]) AS value FROM ({COVERAGE}) WHERE split = 'post_split')", APPS, SCORES))
+@query("R01_kpi_tiles", select(f"SELECT label, CAST(value AS BIGINT) AS value FROM (SELECT unnest(['scored', 'booked', 'rejected', 'canceled', 'holdout_rows', 'observed_bads']) AS label, unnest([sum(n), sum(n) FILTER (status_name = 'Booked'), sum(n) FILTER (status_name = 'Rejected'), sum(n) FILTER (status_name = 'Canceled'), (SELECT count(*) FROM sel WHERE model = 'Scorecard B'), sum(n_bad)]) AS value FROM ({COVERAGE}) WHERE split = 'post_split')", APPS, SCORES))
 def _(spark, sf):
-    return present.kpi_tiles(timesplit.population_coverage(apps(spark, sf)), metrics.evaluate(window_scores(spark, sf)), "LightGBM")
+    return present.kpi_tiles(timesplit.population_coverage(apps(spark, sf)), metrics.evaluate(window_scores(spark, sf)), "Scorecard B")
 
 
-@query("R04_ordered_models", select("SELECT *, CASE model WHEN 'Logistic Regression' THEN 1 WHEN 'LightGBM' THEN 3 WHEN 'XGBoost' THEN 4 ELSE 6 END AS position FROM e WHERE NOT contains(model, '(calibrated)')", APPS, SCORES, EVAL))
+@query("R04_ordered_models", select("SELECT *, CASE model WHEN 'Scorecard A' THEN 1 WHEN 'Scorecard B' THEN 2 WHEN 'Scorecard C' THEN 3 ELSE 4 END AS position FROM e WHERE NOT contains(model, '(calibrated)')", APPS, SCORES, EVAL))
 def _(spark, sf):
-    return present.ordered_models(metrics.evaluate(window_scores(spark, sf)))
+    return present.ordered_models(metrics.evaluate(window_scores(spark, sf)), MODELS)
 
 
 @query("R05_R06_lift_forest_and_rolling", select("SELECT candidate, delta, delta_lo FROM co", *CARD_CTES[:-1]))
@@ -293,10 +293,10 @@ def _(spark, sf):
     return metrics.selected_model(metrics.evaluate(window_scores(spark, sf)), card(spark, sf))
 
 
-@query("R16_report_facts", select("SELECT (SELECT arg_max(model, (roc_auc, model)) FROM e WHERE NOT regexp_matches(model, 'calibrated|Ensemble')) AS best_auc_model, (SELECT arg_max(model, (pr_auc, model)) FROM e WHERE NOT regexp_matches(model, 'calibrated|Ensemble')) AS best_pr_model, (SELECT arg_max(model, (auc_delta, model)) FROM ov WHERE model <> 'LightGBM') AS worst_peer, (SELECT max(auc_delta) FROM ov WHERE model <> 'LightGBM') AS worst_peer_delta, (SELECT max(capture_rate) FROM lift WHERE model = 'LightGBM' AND decile <= 2) AS top2_capture, (SELECT lift FROM lift WHERE model = 'LightGBM' AND decile = 1) AS top_lift, (SELECT count(*) FROM impact WHERE model = 'LightGBM' AND status = 'FAIL') AS n_failing, coalesce((SELECT string_agg(age_band, ', ' ORDER BY age_band) FROM impact WHERE model = 'LightGBM' AND status = 'FAIL'), '') AS failing_bands", APPS, SCORES, EVAL, evaluation("dev", name="ed"), OVERFIT, LIFT, IMPACT))
+@query("R16_report_facts", select("SELECT (SELECT arg_max(model, (roc_auc, model)) FROM e WHERE NOT regexp_matches(model, 'calibrated|Ensemble')) AS best_auc_model, (SELECT arg_max(model, (pr_auc, model)) FROM e WHERE NOT regexp_matches(model, 'calibrated|Ensemble')) AS best_pr_model, (SELECT arg_max(model, (auc_delta, model)) FROM ov WHERE model <> 'Scorecard B') AS worst_peer, (SELECT max(auc_delta) FROM ov WHERE model <> 'Scorecard B') AS worst_peer_delta, (SELECT max(capture_rate) FROM lift WHERE model = 'Scorecard B' AND decile <= 2) AS top2_capture, (SELECT lift FROM lift WHERE model = 'Scorecard B' AND decile = 1) AS top_lift, (SELECT count(*) FROM impact WHERE model = 'Scorecard B' AND status = 'FAIL') AS n_failing, coalesce((SELECT string_agg(age_band, ', ' ORDER BY age_band) FROM impact WHERE model = 'Scorecard B' AND status = 'FAIL'), '') AS failing_bands", APPS, SCORES, EVAL, evaluation("dev", name="ed"), OVERFIT, LIFT, IMPACT))
 def _(spark, sf):
     s = window_scores(spark, sf)
-    return present.report_facts(metrics.evaluate(s), overfit(spark, sf), metrics.lift_table(s), impact(spark, sf), "LightGBM")
+    return present.report_facts(metrics.evaluate(s), overfit(spark, sf), metrics.lift_table(s), impact(spark, sf), "Scorecard B")
 
 
 @query("R17_histogram", select("SELECT model, y, bin, n, round(n / (sum(n) OVER (PARTITION BY model, y) * nullif(width, 0)), 6) AS density FROM (SELECT model, y, CAST(coalesce(least(floor((score - lo) / nullif(width, 0)), 49), 0) AS INTEGER) AS bin, width, count(*) AS n FROM (SELECT sel.*, lo, (hi - lo) / 50 AS width FROM sel JOIN (SELECT model, min(score) AS lo, max(score) AS hi FROM sel GROUP BY 1) USING (model)) GROUP BY ALL)", APPS, SCORES))

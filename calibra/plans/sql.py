@@ -19,7 +19,7 @@ train AS (SELECT * FROM m WHERE mis_date < DATE '1999-07-01'),
 test AS (SELECT * FROM m WHERE mis_date >= DATE '1999-07-01')"""
 
 _Z = ["-1.6 + 0.000002 * total_amt - 0.00005 * coalesce(income_t1, 0) + 0.01 * (age_t1 - 40)", "-1.4 + 0.004 * coalesce(tenor, 0) + 0.3 * CAST(income_t2 IS NOT NULL AS DOUBLE) - 0.002 * coalesce(max_credit_tj_av, 0)", "-1.5 + 0.0005 * coalesce(installment_amt, 0) + 0.02 * coalesce(total_card_nbr, 0) - 0.01 * (age_t1 - 40)"]
-MODELS = ["Logistic Regression", "LightGBM", "XGBoost"]
+MODELS = ["Scorecard A", "Scorecard B", "Scorecard C"]
 _names = MODELS + [f"{n} (calibrated)" for n in MODELS] + ["risk_score_rf (benchmark)", "score_RF (benchmark)"]
 _values = [f"round(1 / (1 + exp(-z{i})), 6)" for i in range(3)] + [f"round(1 / (1 + exp(-(0.5 * z{i} - 0.7))), 6)" for i in range(3)] + ["-risk_score_rf", "-score_rf"]
 _rows = " UNION ALL ".join(f"SELECT authorization_id, mis_date, status_name, target AS y, '{n}' AS model, {v} AS score FROM z" for n, v in zip(_names, _values, strict=True))
