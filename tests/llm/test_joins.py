@@ -157,6 +157,10 @@ def test_hits_against_brute_force(spark, odd, max_words):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(repr((d, *brute_hits(t, items))) for d, t in rows)
     assert sorted(repr(tuple(r)) for r in decontam.judge(docs, bench, max_words=max_words).collect()) == want
+    kept = decontam.clean(odd, bench, max_words=max_words)
+    assert kept.columns == odd.columns
+    judged = decontam.judge(odd, bench).where("NOT contaminated").select("doc_id").collect()
+    assert sorted(map(repr, kept.select("doc_id").collect())) == sorted(map(repr, judged))
     kept = {d for d, t in rows if not brute_hits(t, items)[3]}
     assert {r["doc_id"] for r in decontam.clean(docs, bench).collect()} == kept
 
