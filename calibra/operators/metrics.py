@@ -196,7 +196,7 @@ def ensemble_search(scores: DataFrame, linear: str, trees: Sequence[str], step:
     """tree, weight, pr_auc of every blend weight*linear + (1-weight)*tree, best first: all blends in one grouped curve."""
     wide = scores.where(F.col("model").isin(linear, *trees)).groupBy(ID, "y").pivot("model", [linear, *trees]).agg(F.first("score"))
     count = round(1 / step) + 1
-    grid = F.array(*(F.struct(F.lit(t).alias("tree"), F.lit(round(k * step, 6)).alias("weight"), F.round(k * step * F.col(f"`{linear}`") + (1 - k * step) * F.col(f"`{t}`"), 6).alias("score")) for t in trees for k in range(count)))
+    grid = F.array(*(F.struct(F.lit(t).alias("tree"), F.lit(round(k * step, 6)).alias("weight"), (k * step * F.col(f"`{linear}`") + (1 - k * step) * F.col(f"`{t}`")).alias("score")) for t in trees for k in range(count)))
     blends = wide.select("y", F.explode(grid).alias("g")).select("y", "g.*")
     return ranking_metrics(curve(blends, ("tree", "weight")), ("tree", "weight")).select("tree", "weight", r6("pr_auc").alias("pr_auc"), F.row_number().over(Window.orderBy(F.desc(r6("pr_auc")), "tree", "weight")).alias("rank"))
 

@@ -33,21 +33,13 @@ def _(spark, sf):
     return encoders.add_frequencies(test, encoders.fit_frequencies(train, cols), cols).select(ID, *(r6(f"freq_{c}").alias(f"freq_{c}") for c in cols))
 
 
-# written for two of the six fixed pairs; X03_group_relative_all has them all
-@query("X03_group_relative", select("SELECT authorization_id, round(income_t1 / nullif(coalesce(a.med, o.med), 0), 6) AS income_t1_rel_csp, round(total_amt / nullif(coalesce(b.med, p.med), 0), 6) AS total_amt_rel_product_type_3 FROM test LEFT JOIN (SELECT csp AS v, median(income_t1) AS med FROM train GROUP BY 1) a ON csp = a.v LEFT JOIN (SELECT product_type_3 AS v, median(total_amt) AS med FROM train GROUP BY 1) b ON product_type_3 = b.v, (SELECT median(income_t1) AS med FROM train) o, (SELECT median(total_amt) AS med FROM train) p", APPS, MATURED))
-def _(spark, sf):
-    train, test = parts(spark, sf)
-    pairs = [("income_t1", "csp"), ("total_amt", "product_type_3")]
-    return encoders.add_group_stats(test, train, pairs).select(ID, *(r6(f"{n}_rel_{c}").alias(f"{n}_rel_{c}") for n, c in pairs))
-
-
 _rel = [(n, c, f"g{i}") for i, (n, c) in enumerate(encoders.GROUP_PAIRS)]
 _rel_cols = ", ".join(f"round({n} / nullif(coalesce({g}.med, {g}o.med), 0), 6) AS {n}_rel_{c}" for n, c, g in _rel)
 _rel_joins = " ".join(f"LEFT JOIN (SELECT {c} AS v, median({n}) AS med FROM train GROUP BY 1) {g} ON {c} = {g}.v" for n, c, g in _rel)
 _rel_all = ", ".join(f"(SELECT median({n}) AS med FROM train) {g}o" for n, c, g in _rel)
 
 
-@query("X03_group_relative_all", select(f"SELECT authorization_id, {_rel_cols} FROM test {_rel_joins}, {_rel_all}", APPS, MATURED))
+@query("X03_group_relative", select(f"SELECT authorization_id, {_rel_cols} FROM test {_rel_joins}, {_rel_all}", APPS, MATURED))
 def _(spark, sf):
     train, test = parts(spark, sf)
     return encoders.add_group_stats(test, train, encoders.GROUP_PAIRS).select(ID, *(r6(f"{n}_rel_{c}").alias(f"{n}_rel_{c}") for n, c in encoders.GROUP_PAIRS))
@@ -134,7 +126,6 @@ def _(spark, sf):
 
 
 # ---- D: search ----------------------------------------------------------------------------
-_SEARCH_NUM, _SEARCH_CAT = ["total_amt", "tenor", "age_t1", "max_credit_tj_av"], ["house_type", "customer_type", "csp"]
 _WIN = windows("train", 5) + ", v AS (SELECT train.*, coalesce(win, 0) AS win FROM train LEFT JOIN w ON mis_date BETWEEN valid_from AND valid_until)"
 
 
@@ -151,26 +142,31 @@ def _numeric(values: dict[str, str], name: str) -> str:
 
 
 _AUC = "CASE WHEN n_rows >= 50 AND n_pos >= 10 THEN round(roc_auc, 6) END"
-_POWER = f"""{_numeric({c: c for c in _SEARCH_NUM}, "pn")}, {_encoded({c: c for c in _SEARCH_CAT}, "pc")}, {ranking("pn", name="rn")}, {ranking("pc", name="rc")},
+_POWER = f"""{_numeric({c: c for c in NUMERIC}, "pn")}, {_encoded({c: c for c in CATEGORICAL}, "pc")}, {ranking("pn", name="rn")}, {ranking("pc", name="rc")},
 power AS (SELECT model AS feature, kind, auc, CAST(n AS BIGINT) AS n, round(abs(auc - 0.5), 6) AS power FROM (SELECT model, 'numeric' AS kind, {_AUC} AS auc, n_rows AS n FROM rn UNION ALL SELECT model, 'categorical', {_AUC}, n_rows FROM rc))"""
 
 
 @query("D01_D04_base_power", select("SELECT * FROM power", APPS, MATURED, _WIN, _POWER))
 def _(spark, sf):
-    return search.base_power(encoders.windowed(parts(spark, sf)[0], 5), _SEARCH_NUM, _SEARCH_CAT)
+    return search.base_power(encoders.windowed(parts(spark, sf)[0], 5), NUMERIC, CATEGORICAL)
 
 
 @query("D05_gate", select("SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY power DESC, feature) AS INTEGER) AS rank FROM power WHERE power IS NOT NULL QUALIFY rank <= CASE WHEN kind = 'numeric' THEN 12 ELSE 10 END", APPS, MATURED, _WIN, _POWER))
 def _(spark, sf):
-    return search.gate(search.base_power(encoders.windowed(parts(spark, sf)[0], 5), _SEARCH_NUM, _SEARCH_CAT))
+    return search.gate(search.base_power(encoders.windowed(parts(spark, sf)[0], 5), NUMERIC, CATEGORICAL))
 
 
-_NUM2, _CAT2 = ["tenor", "age_t1"], ["house_type", "customer_type"]
-_E5 = ", " + ", ".join(f"e_{a} AS (SELECT {distinct(f'quantile_cont({a}, {quantiles(5)})')} AS e FROM train)" for a in _NUM2)
+_E5 = ", " + ", ".join(f"e_{a} AS (SELECT {distinct(f'quantile_cont({a}, {quantiles(5)})')} AS e FROM train)" for a in NUMERIC)
 _LABEL = lambda a: f"CASE WHEN {a} IS NULL THEN 'missing' ELSE 'bin' || CAST({right_bin(a, f'(SELECT e FROM e_{a})')} AS VARCHAR) END"
-_RATIOS = {"tenor_DIV_age_t1": "tenor / nullif(age_t1, 0)", "tenor_X_age_t1": "tenor * age_t1"}
-_CROSS = {"house_type_x_customer_type": "house_type || '_' || customer_type", **{f"BIN_{a}_x_{b}": f"({_LABEL(a)}) || '_' || {b}" for a in _NUM2 for b in _CAT2}}
-_INFO = ", ".join(f"('{n}', '{k}', '{a}', '{b}')" for n, k, a, b in [("tenor_DIV_age_t1", "ratio", "tenor", "age_t1"), ("tenor_X_age_t1", "product", "tenor", "age_t1"), ("house_type_x_customer_type", "cat_concat", "house_type", "customer_type"), *((f"BIN_{a}_x_{b}", "binned_num_cat", a, b) for a in _NUM2 for b in _CAT2)])
+_TEXT = lambda b: f"coalesce({b}, 'missing')"
+_EXPRESSION = {
+    "ratio": lambda a, b: (f"{a}_DIV_{b}", f"{a} / nullif({b}, 0)"), "product": lambda a, b: (f"{a}_X_{b}", f"{a} * {b}"),
+    "cat_concat": lambda a, b: (f"{a}_x_{b}", f"{_TEXT(a)} || '_' || {_TEXT(b)}"), "binned_num_cat": lambda a, b: (f"BIN_{a}_x_{b}", f"({_LABEL(a)}) || '_' || {_TEXT(b)}"),
+}
+_PAIRS = [(kind, a, b, *_EXPRESSION[kind](a, b)) for kind, a, b in search.candidates(NUMERIC, CATEGORICAL)]
+_RATIOS = {n: e for kind, _, _, n, e in _PAIRS if kind in ("ratio", "product")}
+_CROSS = {n: e for kind, _, _, n, e in _PAIRS if kind in ("cat_concat", "binned_num_cat")}
+_INFO = ", ".join(f"('{n}', '{k}', '{a}', '{b}')" for k, a, b, n, _ in _PAIRS)
 _BOARD = f"""{_POWER}{_E5}, {_numeric(_RATIOS, "cn_")}, {_encoded(_CROSS, "cc_")}, {ranking("cn_", name="sn")}, {ranking("cc_", name="sc")},
 scored AS (SELECT model, {_AUC} AS auc, n_rows AS n FROM sn UNION ALL SELECT model, {_AUC}, n_rows FROM sc),
 board AS (SELECT feature, type, a, b, auc, CAST(n AS BIGINT) AS n, power, parent_power, round(power - parent_power, 6) AS lift, coalesce(round(power - parent_power, 6) >= 0.01, false) AS selected FROM
@@ -178,32 +174,11 @@ board AS (SELECT feature, type, a, b, auc, CAST(n AS BIGINT) AS n, power, parent
 
 
 @query("D06_D07_interaction_leaderboard", select("SELECT * FROM board", APPS, MATURED, _WIN, _BOARD))
-def _(spark, sf):
-    return search.search_interactions(parts(spark, sf)[0], _NUM2, _CAT2)
-
-
-@query("D07_search_summary", select("SELECT count(*) AS n_candidates, count(auc) AS n_scored, count(*) FILTER (selected) AS n_selected, max(lift) AS best_lift, max(power) AS best_power, " + ", ".join(f"count(*) FILTER (type = '{k}') AS n_{k}, count(*) FILTER (type = '{k}' AND selected) AS selected_{k}" for k in ("ratio", "product", "cat_concat", "binned_num_cat")) + " FROM board", APPS, MATURED, _WIN, _BOARD))
-def _(spark, sf):
-    return search.search_summary(search.search_interactions(parts(spark, sf)[0], _NUM2, _CAT2))
-
-
-# the SQL above fixes a few columns; these search all raw ones
-@query("D01_D04_base_power_all")
-def _(spark, sf):
-    return search.base_power(encoders.windowed(parts(spark, sf)[0], 5), NUMERIC, CATEGORICAL)
-
-
-@query("D05_gate_all")
-def _(spark, sf):
-    return search.gate(search.base_power(encoders.windowed(parts(spark, sf)[0], 5), NUMERIC, CATEGORICAL))
-
-
-@query("D06_D07_interaction_leaderboard_all")
 def _(spark, sf):
     return search.search_interactions(parts(spark, sf)[0], NUMERIC, CATEGORICAL)
 
 
-@query("D07_search_summary_all")
+@query("D07_search_summary", select("SELECT count(*) AS n_candidates, count(auc) AS n_scored, count(*) FILTER (selected) AS n_selected, max(lift) AS best_lift, max(power) AS best_power, " + ", ".join(f"count(*) FILTER (type = '{k}') AS n_{k}, count(*) FILTER (type = '{k}' AND selected) AS selected_{k}" for k in ("ratio", "product", "cat_concat", "binned_num_cat")) + " FROM board", APPS, MATURED, _WIN, _BOARD))
 def _(spark, sf):
     return search.search_summary(search.search_interactions(parts(spark, sf)[0], NUMERIC, CATEGORICAL))
 
@@ -374,16 +349,10 @@ def _(spark, sf):
     select(
         "SELECT tree, weight, round(pr_auc, 6) AS pr_auc, CAST(row_number() OVER (ORDER BY round(pr_auc, 6) DESC, tree, weight) AS INTEGER) AS rank FROM r",
         APPS, SCORES,
-        "bl AS (SELECT t.model AS tree, round(g * 0.25, 6)::DOUBLE AS weight, a.y, round(g * 0.25::DOUBLE * a.score + (1 - g * 0.25::DOUBLE) * t.score, 6) AS score FROM sel a JOIN sel t USING (authorization_id), (SELECT unnest(range(0, 5)) AS g) WHERE a.model = 'Scorecard A' AND t.model IN ('Scorecard B', 'Scorecard C'))",
+        "bl AS (SELECT t.model AS tree, round(g * 0.05, 6)::DOUBLE AS weight, a.y, g * 0.05::DOUBLE * a.score + (1 - g * 0.05::DOUBLE) * t.score AS score FROM sel a JOIN sel t USING (authorization_id), (SELECT unnest(range(0, 21)) AS g) WHERE a.model = 'Scorecard A' AND t.model IN ('Scorecard B', 'Scorecard C'))",
         ranking("bl", "tree, weight"),
     ),
 )
-def _(spark, sf):
-    return metrics.ensemble_search(window_scores(spark, sf), "Scorecard A", ["Scorecard B", "Scorecard C"], 0.25)
-
-
-# in steps of 0.05; the SQL above fixes 0.25
-@query("E21_ensemble_search_all")
 def _(spark, sf):
     return metrics.ensemble_search(window_scores(spark, sf), "Scorecard A", ["Scorecard B", "Scorecard C"])
 

@@ -282,10 +282,10 @@ def _(spark, sf):
     return stability.psi_timeline(value("development"), value("selection"), "mis_date")
 
 
-@query("R14_top_drivers", select("SELECT 'iv' AS model, feature, iv AS importance, CAST(row_number() OVER (ORDER BY iv DESC, feature) AS INTEGER) AS rank FROM iv QUALIFY rank <= 3", APPS, MATURED, _WOE))
+@query("R14_top_drivers", select("SELECT 'iv' AS model, feature, iv AS importance, CAST(row_number() OVER (ORDER BY iv DESC, feature) AS INTEGER) AS rank FROM iv QUALIFY rank <= 10", APPS, MATURED, _WOE))
 def _(spark, sf):
     rows = stability.information_value(woe(spark, sf)).select(F.lit("iv").alias("model"), "feature", F.col("iv").alias("importance"))
-    return present.top_drivers(rows, 3)
+    return present.top_drivers(rows)
 
 
 @query("R15_selected_model", select("SELECT model FROM card WHERE recommended", *CARD_CTES))

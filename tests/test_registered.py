@@ -31,7 +31,7 @@ def test_replicates_and_steps(monkeypatch, spark, sf):
         assert seen["replicates"] == DEFAULT.n_bootstrap == 1000
         if name == "comparison_table":
             assert len(seen["candidates"]) == 3 and len(seen["references"]) == 2
-    assert arguments(monkeypatch, metrics, "ensemble_search", "E21_ensemble_search_all", spark, sf)["step"] == 0.05
+    assert arguments(monkeypatch, metrics, "ensemble_search", "E21_ensemble_search", spark, sf)["step"] == 0.05
 
 
 def test_folds_grids_and_models(monkeypatch, spark, sf):
