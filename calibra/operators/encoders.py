@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -158,6 +159,60 @@ def cross_fitted_target(df: DataFrame, column: str, y: str = TARGET, folds: int
     return rows.join(small, ["fold", column])
 
 
+@dataclass(frozen=True)
+class TargetEncoding:
+    """Outcomes of capped categories by fold, small enough to be literals: max_categories + 1 values a column.
+
+    counts has (rows' outcomes, rows) for each column, value and fold. Rows the encoding was fitted on
+    are encoded without the outcomes of their own fold, all others with every fold.
+    """
+
+    counts: dict[str, dict[str, dict[int, tuple[float, int]]]]
+    folds: int
+
+    def _means(self, column: str, smooth: float, without: int | None = None) -> tuple[dict[str, float], float]:
+        """Smoothed mean outcome of each value, and the overall one, over all folds but one."""
+        sums = {}
+        for value, parts in self.counts[column].items():
+            kept = [p for fold, p in parts.items() if fold != without]
+            sums[value] = (sum(s for s, _ in kept), sum(n for _, n in kept))
+        prior = sum(s for s, _ in sums.values()) / max(sum(n for _, n in sums.values()), 1)
+        return {v: (s + smooth * prior) / (n + smooth) for v, (s, n) in sums.items()}, prior
+
+    def apply(self, df: DataFrame, smooth: float, training: bool = False) -> DataFrame:
+        """Adds enc_<column>; values unseen and nulls count as Other, and Other itself unseen takes the overall mean."""
+        out = {}
+        for column in self.counts:
+            known = [v for v in self.counts[column] if v != "Other"]
+            value = F.when(F.col(column).isin(known), F.col(column)).otherwise("Other")
+            every, prior = self._means(column, smooth)
+            cells, overall = [(F.lit(v), F.lit(m)) for v, m in every.items()], F.lit(prior)
+            if training:
+                value, cells, rest = F.concat(_fold(self.folds).cast("string"), F.lit("|"), value), [], F.lit(prior)
+                for fold in range(self.folds):
+                    means, own = self._means(column, smooth, fold)
+                    cells += [(F.lit(f"{fold}|{v}"), F.lit(m)) for v, m in means.items()]
+                    rest = F.when(_fold(self.folds) == fold, own).otherwise(rest)
+                overall = rest
+            table = F.create_map(*(x for cell in cells for x in cell)) if cells else F.create_map(F.lit(""), F.lit(0.0))
+            out[f"enc_{column}"] = F.coalesce(F.try_element_at(table, value), overall)
+        return df.withColumns(out)
+
+
+def _fold(folds: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col(ID)), F.lit(folds))
+
+
+def fit_target_encoding(train: DataFrame, columns: Sequence[str], y: str = TARGET, folds: int = 5, top: int = DEFAULT.max_categories) -> TargetEncoding:
+    """Two aggregates for all columns: the most frequent values, then outcomes by value and fold."""
+    kept = _by_feature(fit_top_categories(train, columns, top))
+    capped = train.select(_fold(folds).alias("_fold"), F.col(y).alias("_y"), *(F.when(F.col(c).isin(kept.get(c, [])), F.col(c)).otherwise("Other").alias(c) for c in columns))
+    counts: dict = {c: {} for c in columns}
+    for r in unpivot(capped, ["_fold", "_y"], columns, "string").groupBy("feature", "value", "_fold").agg(F.sum("_y").alias("s"), F.count("_y").alias("n")).collect():
+        counts[r["feature"]].setdefault(r["value"], {})[r["_fold"]] = (r["s"] or 0.0, r["n"])
+    return TargetEncoding(counts, folds)
+
+
 def fit_ordinal(train: DataFrame, column: str) -> DataFrame:
     """value, code from 0 in alphabetical order."""
     values = train.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()

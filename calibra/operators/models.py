@@ -8,25 +8,29 @@ regularised logistic regression on one-hot quantile bins).
 from __future__ import annotations
 
 import inspect
+import json
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, QuantileDiscretizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..params import DATE, DEFAULT, ID, TARGET, Params
+from ..params import CATEGORICAL, DATE, DEFAULT, ID, TARGET, Params
+from ..sources.files import write_table
 from .curves import curve, ranking_metrics
-from .encoders import fit_imputer_scaler, impute_scale
+from .encoders import TargetEncoding, fit_imputer_scaler, fit_target_encoding, impute_scale
 from .metrics import evaluate, r6
 from .timesplit import calibration_split, rolling_windows, temporal_folds
 
 NUMERIC_FEATURES = ["total_amt", "installment_amt", "tenor", "income_t1", "max_credit_tj_av", "age_t1", "total_card_nbr", "has_codebtor", "installment_to_income", "log_total_amt"]
+FEATURES = [*NUMERIC_FEATURES, *CATEGORICAL]
 
 
 def class_weights(df: DataFrame, y: str = TARGET) -> tuple[float, float]:
@@ -70,45 +74,86 @@ def probability(df: DataFrame, name: str = "score") -> DataFrame:
 
 @dataclass
 class Fitted:
-    """Preparation fitted on the training rows and the model; applies to any frame with the features."""
+    """Preparation fitted on the training rows and the model; applies to any frame with the inputs."""
 
     features: list[str]
     stats: DataFrame
-    model: PipelineModel
+    model: PipelineModel | None
     spec: Spec | None = None
     calibrate: Callable[[DataFrame], DataFrame] | None = None
+    encoding: TargetEncoding | None = None
+
+    @property
+    def inputs(self) -> list[str]:
+        """The columns read: encoded categories under their own names."""
+        own = set(self.encoding.counts) if self.encoding else set()
+        return [f.removeprefix("enc_") if f.removeprefix("enc_") in own else f for f in self.features]
+
+    def ready(self, df: DataFrame, training: bool = False) -> DataFrame:
+        coded = self.encoding.apply(df, self.spec.smooth, training) if self.encoding else df
+        return impute_scale(coded, self.stats, self.features)
 
     def refit(self, df: DataFrame, y: str = TARGET) -> Fitted:
         """A fresh model of the same kind, settings and features, prepared and fitted on other rows; nothing fitted is carried over."""
-        return self.spec.fit(df, self.features, y)
+        return self.spec.fit(df, self.inputs, y)
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
-        ready = impute_scale(df, self.stats, self.features)
-        out = probability(self.model.transform(ready), name).select(ID, name)
+        out = probability(self.model.transform(self.ready(df)), name).select(ID, name)
         return self.calibrate(out) if self.calibrate else out
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """The model, its imputation table and its category counts, in one folder."""
+        self.model.write().overwrite().save(f"{path}/model")
+        write_table(self.stats, f"{path}/stats")
+        counts = [(c, v, f, float(s), n) for c, values in self.encoding.counts.items() for v, parts in values.items() for f, (s, n) in parts.items()] if self.encoding else []
+        write_table(self.stats.sparkSession.createDataFrame(counts, "feature string, value string, fold int, s double, n long").coalesce(1), f"{path}/categories")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, features: Sequence[str], spec: Spec) -> Fitted:
+        counts: dict = {}
+        for r in spark.read.parquet(f"{path}/categories").collect():  # max_categories + 1 values a column, in few folds
+            counts.setdefault(r["feature"], {}).setdefault(r["value"], {})[r["fold"]] = (r["s"], r["n"])
+        coded = [f.removeprefix("enc_") for f in features if f.removeprefix("enc_") in counts]
+        encoding = TargetEncoding({c: counts[c] for c in coded}, 5) if coded else None
+        return cls(list(features), spark.read.parquet(f"{path}/stats"), PipelineModel.load(f"{path}/model"), spec, None, encoding)
 
 
 @dataclass(frozen=True)
 class Spec:
-    """A named estimator: stages made from feature columns and hyper-parameters."""
+    """A named estimator: stages made from feature columns and hyper-parameters.
+
+    Features of type string enter as smoothed mean outcomes, fitted on the rows fit() is given, so
+    inside a fold they have seen nothing but that fold's training rows.
+    """
 
     name: str
     make: Callable[..., list]
     params: dict = field(default_factory=dict)
     calibration: str = "isotonic"
+    smooth: float = 10.0
 
-    def fit(self, df: DataFrame, features: Sequence[str] = NUMERIC_FEATURES, y: str = TARGET) -> Fitted:
-        features = list(features)
+    def takes(self, name: str) -> bool:
+        return name in inspect.signature(self.make).parameters
+
+    def fit(self, df: DataFrame, features: Sequence[str] = NUMERIC_FEATURES, y: str = TARGET, valid: DataFrame | None = None) -> Fitted:
+        """valid: rows that decide when a boosted model stops; models without rounds leave them aside."""
         rows = df.where(F.col(y).isNotNull())
-        stats = fit_imputer_scaler(rows, features)
-        sized = {"n": max(rows.count(), 1)} if "n" in inspect.signature(self.make).parameters else {}
+        cats = [f for f in features if rows.schema[f].dataType.typeName() == "string"]
+        encoding = fit_target_encoding(rows, cats, y) if cats else None
+        columns = [f"enc_{f}" if f in cats else f for f in features]
+        stats = fit_imputer_scaler(encoding.apply(rows, self.smooth, True) if encoding else rows, columns)
+        stats = df.sparkSession.createDataFrame(stats.collect(), stats.schema)  # a row for each feature
+        shell = Fitted(columns, stats, None, self, None, encoding)
         low, high = class_weights(rows, y)
         weight = F.col("weight") if "weight" in rows.columns else F.when(F.col(y) == 1, high).otherwise(low)
-        ready = impute_scale(rows, stats, features).withColumn("_weight", weight).withColumn("label", F.col(y).cast("double"))
-        return Fitted(features, stats, Pipeline(stages=self.make(features, **sized | self.params)).fit(ready), self)
+        shape = lambda d, training, held: shell.ready(d, training).select(*columns, weight.alias("_weight"), F.col(y).cast("double").alias("label"), F.lit(held).alias("_valid"))
+        ready, extra = shape(rows, True, False), {}
+        if self.takes("n"):
+            extra["n"] = max(rows.count(), 1)
+        if valid is not None and self.takes("stop"):
+            ready, extra["stop"] = ready.unionByName(shape(valid.where(F.col(y).isNotNull()), False, True)), True
+        shell.model = Pipeline(stages=self.make(columns, **extra | self.params)).fit(ready)
+        return shell
 
 
 def _vector(features: Sequence[str]) -> VectorAssembler:
@@ -128,12 +173,14 @@ def additive(features: Sequence[str], bins: int = 8, reg: float = 0.01) -> list:
     ]
 
 
-def boosted(features: Sequence[str], trees: int = 20, depth: int = 3, rate: float = 0.1, subsample: float = 1.0) -> list:
-    return [_vector(features), GBTClassifier(weightCol="_weight", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=DEFAULT.seed)]
+def boosted(features: Sequence[str], trees: int = 20, depth: int = 3, rate: float = 0.1, subsample: float = 1.0, least: int = 1, stop: bool = False) -> list:
+    """With stop, rows marked _valid end the rounds once their loss no longer falls, and only the best rounds are kept."""
+    gbt = GBTClassifier(weightCol="_weight", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=least, seed=DEFAULT.seed)
+    return [_vector(features), gbt.setValidationIndicatorCol("_valid") if stop else gbt]
 
 
-def forest(features: Sequence[str], trees: int = 20, depth: int = 5) -> list:
-    return [_vector(features), RandomForestClassifier(weightCol="_weight", numTrees=trees, maxDepth=depth, seed=DEFAULT.seed)]
+def forest(features: Sequence[str], trees: int = 20, depth: int = 5, subsample: float = 1.0, least: int = 1) -> list:
+    return [_vector(features), RandomForestClassifier(weightCol="_weight", numTrees=trees, maxDepth=depth, subsamplingRate=subsample, minInstancesPerNode=least, seed=DEFAULT.seed)]
 
 
 SPECS = {
@@ -176,7 +223,7 @@ def fit_isotonic(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
 def calibrate(fitted: Fitted, rows: DataFrame, kind: str) -> Fitted:
     """The model with a calibration fitted on rows it has not seen."""
     pairs = rows.select(ID, F.col(TARGET).cast("double").alias("y")).where("y IS NOT NULL").join(fitted.score(rows), ID)
-    return Fitted(fitted.features, fitted.stats, fitted.model, fitted.spec, {"sigmoid": fit_sigmoid, "isotonic": fit_isotonic}[kind](pairs))
+    return replace(fitted, calibrate={"sigmoid": fit_sigmoid, "isotonic": fit_isotonic}[kind](pairs))
 
 
 # ---- folds --------------------------------------------------------------------------------
@@ -198,13 +245,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def stack(specs: Sequence[Spec], df: DataFrame, test: DataFrame, folds: int = 3) -> DataFrame:
+def stack(specs: Sequence[Spec], df: DataFrame, test: DataFrame, folds: int = 3, features: Sequence[str] = NUMERIC_FEATURES) -> DataFrame:
     """Scores of a logistic regression over the base models' out-of-fold scores, complete rows only."""
     cols = {s.name: f"m{i}" for i, s in enumerate(specs)}
     wide = lambda long: long.groupBy(ID, "y").pivot("model", list(cols)).agg(F.first("score")).select(ID, "y", *(F.col(f"`{n}`").alias(c) for n, c in cols.items())).na.drop()
-    train = wide(_union([out_of_fold(s, df, folds) for s in specs]))
+    train = wide(_union([out_of_fold(s, df, folds, features) for s in specs]))
     meta = Pipeline(stages=[_vector(list(cols.values())), LogisticRegression(labelCol="y", regParam=1e-3)]).fit(train)
-    out = probability(meta.transform(wide(_union([scored(s, df, test) for s in specs])))).select(ID, "score")
+    out = probability(meta.transform(wide(_union([scored(s, df, test, features) for s in specs])))).select(ID, "score")
     return test.select(ID, DATE, F.col(TARGET).alias("y")).join(out, ID).withColumn("model", F.lit("Stacking (experimental)"))
 
 
@@ -236,15 +283,84 @@ def halton(i: int, base: int) -> float:
     return out
 
 
-def tune_logistic(df: DataFrame, trials: int = 4, folds: int = 2, features: Sequence[str] = NUMERIC_FEATURES) -> DataFrame:
-    """trial, c, mean_pr_auc, best: C from 1e-4 to 100 at points of a Halton sequence, scored by mean fold average precision."""
-    rows = []
-    for k in range(1, trials + 1):
-        c = 10 ** (-4 + 6 * halton(k, 2))
-        oof = out_of_fold(Spec("trial", logistic, {"c": c}), df, folds, features).withColumn("model", F.concat(F.lit("fold"), F.col("fold").cast("string")))
-        rows.append((k, c, ranking_metrics(curve(oof)).agg(F.avg("pr_auc")).first()[0]))
-    best = max(rows, key=lambda r: (r[2] or -1, -r[0]))[0]
-    return df.sparkSession.createDataFrame([(k, float(f"{c:.6g}"), None if p is None else round(p, 6), k == best) for k, c, p in rows], "trial int, c double, mean_pr_auc double, best boolean")
+#: What is searched for each model: least, largest and scale of a setting.
+SPACES: dict[str, dict[str, tuple[float, float, str]]] = {
+    "Logistic Regression": {"c": (1e-4, 100, "log"), "smooth": (1, 200, "log")},
+    "EBM": {"bins": (4, 32, "whole"), "reg": (1e-4, 1, "log"), "smooth": (1, 200, "log")},
+    "LightGBM": {"depth": (2, 6, "whole"), "rate": (0.02, 0.3, "log"), "subsample": (0.6, 1, "even"), "least": (1, 50, "whole"), "smooth": (1, 200, "log")},
+    "XGBoost": {"depth": (2, 4, "whole"), "rate": (0.05, 0.5, "log"), "subsample": (0.5, 1, "even"), "least": (1, 20, "whole"), "smooth": (1, 200, "log")},
+    "CatBoost": {"depth": (3, 8, "whole"), "trees": (20, 80, "whole"), "subsample": (0.6, 1, "even"), "least": (1, 50, "whole"), "smooth": (1, 200, "log")},
+}
+_BASES = (2, 3, 5, 7, 11, 13)
+
+
+def trial_settings(space: dict[str, tuple[float, float, str]], k: int) -> dict[str, float]:
+    """The settings at the k-th point (from 1) of a Halton sequence over the space."""
+    out = {}
+    for base, (name, (low, high, scale)) in zip(_BASES, space.items(), strict=False):
+        u = halton(k, base)
+        value = low * (high / low) ** u if scale == "log" else low + (high - low) * u
+        out[name] = min(int(low + (high - low + 1) * u), int(high)) if scale == "whole" else float(f"{value:.6g}")
+    return out
+
+
+@dataclass
+class Tuned:
+    spec: Spec
+    trials: DataFrame
+
+
+def tune(spec: Spec, df: DataFrame, trials: int = DEFAULT.n_trials, folds: int = DEFAULT.cv_folds, features: Sequence[str] = NUMERIC_FEATURES, ceiling: int = 1000, at_once: int = 4) -> Tuned:
+    """The spec with the settings of the best mean fold average precision, and the history of trials.
+
+    History: model, trial, settings (JSON), folds scored, mean_pr_auc, rounds, pruned, best; ties go to
+    the earlier trial. `at_once` trials run side by side. A trial ends early when its mean falls below the median that
+    the trials of earlier groups had after as many folds; so the outcome does not depend on timing.
+    Boosted models stop by the fold's validation rows, at `ceiling` rounds at most, and take the
+    conservative round count over the best trial's folds.
+    """
+    parts = []
+    for f in temporal_folds(df, folds).orderBy("fold").collect():
+        train = df.where(F.col(DATE) < F.lit(f["train_until"]))
+        valid = df.where((F.col(DATE) >= F.lit(f["valid_from"])) & (F.col(DATE) <= F.lit(f["valid_until"])))
+        if supported(train) and supported(valid):
+            parts.append((train, valid))
+    if not parts:
+        raise ValueError("no fold has both classes in training and validation")
+    boosts, before = spec.takes("stop"), []
+
+    def candidate(k: int) -> tuple[Spec, dict]:
+        settings = trial_settings(SPACES[spec.name], k)
+        own = {n: v for n, v in settings.items() if n != "smooth"}
+        return replace(spec, params=spec.params | own | ({"trees": ceiling} if boosts else {}), smooth=settings["smooth"]), settings
+
+    def run(k: int) -> dict:
+        made, settings = candidate(k)
+        scores, rounds, pruned = [], [], False
+        for train, valid in parts:
+            m = made.fit(train, features, valid=valid)
+            rows = valid.select(ID, F.col(TARGET).alias("y")).join(m.score(valid), ID).withColumn("model", F.lit("trial"))
+            scores.append(ranking_metrics(curve(rows)).first()["pr_auc"] or 0.0)
+            rounds.append(m.model.stages[-1].getNumTrees if boosts else None)
+            earlier = sorted(sum(s[: len(scores)]) / len(scores) for s in before if len(s) >= len(scores))
+            if len(scores) < len(parts) and earlier and sum(scores) / len(scores) < earlier[len(earlier) // 2]:
+                pruned = True
+                break
+        return {"k": k, "settings": settings, "scores": scores, "rounds": rounds, "pruned": pruned}
+
+    done: list[dict] = []
+    with ThreadPool(at_once) as pool:
+        for first in range(1, trials + 1, at_once):
+            group = pool.map(run, range(first, min(first + at_once, trials + 1)), chunksize=1)
+            done += group
+            before += [r["scores"] for r in group]
+    mean = lambda r: round(sum(r["scores"]) / len(r["scores"]), 6)
+    best = max((r for r in done if not r["pruned"]), key=lambda r: (mean(r), -r["k"]))
+    made = candidate(best["k"])[0]
+    if boosts:
+        made = replace(made, params=made.params | {"trees": conservative_rounds(best["rounds"], ceiling)})
+    rows = [(spec.name, r["k"], json.dumps(r["settings"]), len(r["scores"]), mean(r), conservative_rounds(r["rounds"], ceiling) if boosts else None, r["pruned"], r is best) for r in done]
+    return Tuned(made, df.sparkSession.createDataFrame(rows, "model string, trial int, settings string, folds int, mean_pr_auc double, rounds int, pruned boolean, best boolean"))
 
 
 def conservative_rounds(best: Sequence[int | None], fallback: int = 1000, quantile: float = 0.25) -> int:
@@ -271,7 +387,7 @@ def stability_selection(df: DataFrame, features: Sequence[str], folds: int = 2,
             for l1 in l1s:
                 m = Spec("net", logistic, {"c": c, "l1": l1}).fit(train, features)
                 ap = ranking_metrics(curve(valid.select(ID, F.col(TARGET).alias("y")).join(m.score(valid), ID).withColumn("model", F.lit("net")))).first()["pr_auc"]
-                coef = dict(zip(features, map(float, m.model.stages[-1].coefficients), strict=True))
+                coef = dict(zip(m.inputs, map(float, m.model.stages[-1].coefficients), strict=True))
                 fits.append((round(ap or 0.0, 8), -sum(abs(v) > 1e-8 for v in coef.values()), coef))
         chosen.append(max(fits, key=lambda t: t[:2])[2])
     k = max(len(chosen), 1)
@@ -282,17 +398,24 @@ def stability_selection(df: DataFrame, features: Sequence[str], folds: int = 2,
 
 
 def ablations(train: DataFrame, test: DataFrame, variants: dict[str, Sequence[str]]) -> DataFrame:
-    """variant, n_features and metrics of one fixed logistic regression on each set of features; the last set also calibrated."""
-    spec, parts = SPECS["Logistic Regression"], []
-    halves = calibration_split(train.where(F.col(TARGET).isNotNull()))
-    fit, held = halves.where("part = 'fit'").drop("part"), halves.where("part = 'calibration'").drop("part")
+    """variant, n_features and metrics of one fixed logistic regression on each set of features.
+
+    Each set is fitted on all training rows. The last is also fitted without the latest part of
+    them, which then calibrates it: `uncalibrated` and `sigmoid` show that model before and after.
+    """
+    spec, parts, sizes = SPECS["Logistic Regression"], [], []
     for name, features in variants.items():
-        parts.append(scored(spec, fit, test, features).withColumn("model", F.lit(name)))
+        parts.append(scored(spec, train, test, features).withColumn("model", F.lit(name)))
+        sizes.append((name, len(features)))
     last, features = list(variants.items())[-1]
-    done = calibrate(spec.fit(fit, features), held, "sigmoid")
-    parts.append(test.select(ID, DATE, F.col(TARGET).alias("y")).join(done.score(test), ID).withColumn("model", F.lit(f"{last}, sigmoid")))
-    sizes = train.sparkSession.createDataFrame([(n, len(f)) for n, f in variants.items()] + [(f"{last}, sigmoid", len(features))], "model string, n_features int")
-    return evaluate(_union(parts)).join(F.broadcast(sizes), "model").withColumnRenamed("model", "variant")
+    halves = calibration_split(train.where(F.col(TARGET).isNotNull()))
+    fit, held = halves.where("part = 'fit'").drop("part"), halves.where("part = 'calibration'").drop("part")
+    plain = spec.fit(fit, features)
+    for kind, m in (("uncalibrated", plain), ("sigmoid", calibrate(plain, held, "sigmoid"))):
+        parts.append(test.select(ID, DATE, F.col(TARGET).alias("y")).join(m.score(test), ID).withColumn("model", F.lit(f"{last}, {kind}")))
+        sizes.append((f"{last}, {kind}", len(features)))
+    table = train.sparkSession.createDataFrame(sizes, "model string, n_features int")
+    return evaluate(_union(parts)).join(F.broadcast(table), "model").withColumnRenamed("model", "variant")
 
 
 # ---- explanation --------------------------------------------------------------------------
@@ -308,7 +431,7 @@ def importance(fitted: Fitted, name: str) -> DataFrame:
 def linear_contributions(fitted: Fitted, df: DataFrame, name: str) -> DataFrame:
     """model, feature, mean_abs: exact attributions coefficient * (x - mean) of a linear model, averaged over all rows."""
     coef = dict(zip(fitted.features, map(float, fitted.model.stages[-1].coefficients), strict=True))
-    ready = impute_scale(df, fitted.stats, fitted.features)
+    ready = fitted.ready(df)
     means = ready.agg(*(F.avg(f).alias(f) for f in fitted.features)).first()
     row = ready.agg(*(F.avg(F.abs(coef[f] * (F.col(f) - means[f]))).alias(f) for f in fitted.features))
     cells = F.array(*(F.struct(F.lit(f).alias("feature"), r6(f).alias("mean_abs")) for f in fitted.features))
@@ -322,7 +445,7 @@ def permutation_importance(fitted: Fitted, df: DataFrame, name: str, features: S
     own = df.where(F.col(TARGET).isNotNull())
     parts = [fitted.score(own).withColumn("model", F.lit("base"))]
     spots = Window.partitionBy(F.pmod(F.xxhash64(F.lit(1), ID), F.lit(64)))
-    for f in features or fitted.features:
+    for f in features or fitted.inputs:
         moved = own.withColumn(f, F.coalesce(F.lead(f).over(spots.orderBy(F.xxhash64(ID))), F.col(f)))
         parts.append(fitted.score(moved).withColumn("model", F.lit(f)))
     rows = _union(parts).join(own.select(ID, F.col(TARGET).alias("y")), ID)

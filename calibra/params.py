@@ -24,6 +24,7 @@ class Params:
     rolling_windows: int = 4
     search_windows: int = 5
     cv_folds: int = 5
+    n_trials: int = 50
     min_train_blocks: int = 2
     correlation_limit: float = 0.95
     stability_threshold: float = 0.5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..operators import bias, encoders, governance, metrics, models, present, search, stability, timesplit
+from ..operators import bias, discovery, encoders, governance, metrics, models, present, search, stability, timesplit
 from ..operators.binning import quantile_edges, unpivot
 from ..params import CATEGORICAL, DEFAULT, ID, NUMERIC, STATUS, TARGET
 from ..sources import applications as src
@@ -329,17 +329,17 @@ def features(spark, sf):
 
 
 for _name, _key in (("M01_logistic", "Logistic Regression"), ("M02_additive", "EBM"), ("M03_boosted", "LightGBM"), ("M04_boosted_shallow", "XGBoost"), ("M05_forest", "CatBoost")):
-    query(_name)(lambda spark, sf, k=_key: metrics.evaluate(models.scored(models.SPECS[k], *features(spark, sf))))
+    query(_name)(lambda spark, sf, k=_key: metrics.evaluate(models.scored(models.SPECS[k], *features(spark, sf), models.FEATURES)))
 
 
 @query("M06_out_of_fold")
 def _(spark, sf):
-    return models.out_of_fold(models.SPECS["Logistic Regression"], features(spark, sf)[0], DEFAULT.cv_folds)
+    return models.out_of_fold(models.SPECS["Logistic Regression"], features(spark, sf)[0], DEFAULT.cv_folds, models.FEATURES)
 
 
 @query("M07_stacking")
 def _(spark, sf):
-    return metrics.evaluate(models.stack(list(models.SPECS.values()), *features(spark, sf), folds=DEFAULT.cv_folds))
+    return metrics.evaluate(models.stack(list(models.SPECS.values()), *features(spark, sf), DEFAULT.cv_folds, models.FEATURES))
 
 
 @query("M08_calibration")
@@ -347,9 +347,8 @@ def _(spark, sf):
     train, test = features(spark, sf)
     halves = timesplit.calibration_split(train)
     out = None
-    for name in ("Logistic Regression", "CatBoost"):
-        spec = models.SPECS[name]
-        done = models.calibrate(spec.fit(halves.where("part = 'fit'").drop("part")), halves.where("part = 'calibration'").drop("part"), spec.calibration)
+    for name, spec in models.SPECS.items():
+        done = models.calibrate(spec.fit(halves.where("part = 'fit'").drop("part"), models.FEATURES), halves.where("part = 'calibration'").drop("part"), spec.calibration)
         rows = test.select(ID, F.col(TARGET).alias("y")).join(done.score(test), ID).withColumn("model", F.lit(f"{name} (calibrated)"))
         out = rows if out is None else out.unionByName(rows)
     return metrics.evaluate(out)
@@ -370,22 +369,37 @@ def _(spark, sf):
 @query("M12_linear_contributions")
 def _(spark, sf):
     train, test = features(spark, sf)
-    return models.linear_contributions(models.SPECS["Logistic Regression"].fit(train), test, "Logistic Regression")
+    return models.linear_contributions(models.SPECS["Logistic Regression"].fit(train, models.FEATURES), test, "Logistic Regression")
 
 
 @query("M12_permutation_importance")
 def _(spark, sf):
     train, test = features(spark, sf)
-    return models.permutation_importance(models.SPECS["CatBoost"].fit(train), test, "CatBoost")
+    return models.permutation_importance(models.SPECS["CatBoost"].fit(train, models.FEATURES), test, "CatBoost")
 
 
 @query("M13_S08_tuning_trials")
 def _(spark, sf):
     path = files.scratch(spark, "trials")  # the history is what comes back from its sink
-    files.write_table(models.tune_logistic(features(spark, sf)[0], 50, DEFAULT.cv_folds), path)
+    files.write_table(models.tune(models.SPECS["Logistic Regression"], features(spark, sf)[0], features=models.FEATURES).trials, path)
     return spark.read.parquet(path)
 
 
+#: Trials of the registered tuned models, in folds of their own; tune() itself takes DEFAULT.n_trials.
+_TRIALS, _CEILING = 4, 40
+
+
+def tuned(spark, sf, key):
+    """Metrics of a model refitted on all training rows with the settings its trials chose."""
+    train, test = features(spark, sf)
+    spec = models.tune(models.SPECS[key], train, _TRIALS, DEFAULT.cv_folds, models.FEATURES, _CEILING).spec
+    return metrics.evaluate(models.scored(spec, train, test, models.FEATURES))
+
+
+for _name, _key in (("M01_logistic_tuned", "Logistic Regression"), ("M02_additive_tuned", "EBM"), ("M03_boosted_tuned", "LightGBM"), ("M04_boosted_shallow_tuned", "XGBoost"), ("M05_forest_tuned", "CatBoost")):
+    query(_name)(lambda spark, sf, k=_key: tuned(spark, sf, k))
+
+
 @query("M11_safe_splits", select("SELECT CAST(least(5, count(target), sum(target), count(target) - sum(target)) AS INTEGER) AS folds FROM train", APPS, MATURED))
 def _(spark, sf):
     return spark.createDataFrame([(models.safe_splits(matured_parts(spark, sf)[0]),)], "folds int")
@@ -395,63 +409,51 @@ def _(spark, sf):
 def _(spark, sf):
     """A model fitted on the first half of the training rows, fitted anew from its own settings on all of them."""
     train, test = features(spark, sf)
-    fitted = models.SPECS["Logistic Regression"].fit(timesplit.calibration_split(train).where("part = 'fit'").drop("part")).refit(train)
+    fitted = models.SPECS["Logistic Regression"].fit(timesplit.calibration_split(train).where("part = 'fit'").drop("part"), models.FEATURES).refit(train)
     return metrics.evaluate(test.select(ID, F.col(TARGET).alias("y")).join(fitted.score(test), ID).withColumn("model", F.lit("refitted")))
 
 
-_CS, _L1S = (0.03, 0.1, 0.3, 1.0, 3.0), (0.2, 0.5, 0.8)
-
-
 @query("D08_stability_selection")
 def _(spark, sf):
-    return models.stability_selection(features(spark, sf)[0], models.NUMERIC_FEATURES, DEFAULT.cv_folds, _CS, _L1S)
+    return models.stability_selection(features(spark, sf)[0], models.FEATURES, DEFAULT.cv_folds, discovery.CS, discovery.L1S)
+
+
+def discovered(spark, sf):
+    train, test = features(spark, sf)
+    return train, test, discovery.discover(train, NUMERIC, CATEGORICAL, models.NUMERIC_FEATURES)
 
 
 @query("D09_discovery_workflow")
 def _(spark, sf):
-    """Interactions searched and features chosen on the discovery window only; the frozen list is what comes out."""
-    train = fx.engineer(matured_parts(spark, sf)[0], [])
-    found = timesplit.discovery_split(train).where("window = 'discovery'").drop("window").persist()
-    board = search.search_interactions(found, NUMERIC, CATEGORICAL)
-    chosen = board.where("selected").collect()
-    observed = encoders.windowed(found.where(F.col(TARGET).isNotNull()), DEFAULT.search_windows)
-    binned = sorted({r["a"] for r in chosen if r["type"] == "binned_num_cat"})
-    edges = {r["feature"]: r["edges"] for r in quantile_edges(unpivot(observed, [], binned), ["feature"], 5).collect()} if binned else {}
-    pairs = [(r["type"], r["a"], r["b"], edges.get(r["a"], ()) if r["type"] == "binned_num_cat" else ()) for r in chosen]
-    rich = fx.add_interactions(found, pairs)
-    # category crosses enter by their outcomes in earlier windows
-    for r in chosen:
-        if r["type"] in ("cat_concat", "binned_num_cat"):
-            rich = encoders.temporal_target_encode(rich, r["feature"]).drop(r["feature"], "window").withColumnRenamed("encoded", r["feature"])
-    numeric = [*models.NUMERIC_FEATURES, *(c for c in rich.columns if c not in found.columns)]
-    rich = rich.persist()
-    return models.stability_selection(rich, numeric, DEFAULT.cv_folds, _CS, _L1S)
+    """The frozen list with where each feature comes from."""
+    return discovered(spark, sf)[2].provenance
 
 
 @query("E18_rolling_refit")
 def _(spark, sf):
-    return models.rolling_validation(list(models.SPECS.values()), features(spark, sf)[0])
+    return models.rolling_validation(list(models.SPECS.values()), features(spark, sf)[0], features=models.FEATURES)
 
 
 @query("E26_ablations")
 def _(spark, sf):
-    raw = ["total_amt", "tenor", "age_t1", "income_t1", "max_credit_tj_av"]
-    return models.ablations(*features(spark, sf), {"raw": raw, "raw and engineered": models.NUMERIC_FEATURES})
+    train, test, d = discovered(spark, sf)
+    train, test = d.design(train, test)
+    raw = [*NUMERIC, *CATEGORICAL]
+    sets = {"raw": raw, "with engineered": [*d.base, *CATEGORICAL], "with interactions": [*d.base, *CATEGORICAL, *d.names], "candidates": d.candidates, "frozen": d.frozen}
+    return models.ablations(train, test, sets)
 
 
 @query("E27_importance")
 def _(spark, sf):
-    return models.importance(models.SPECS["LightGBM"].fit(features(spark, sf)[0]), "LightGBM")
+    return models.importance(models.SPECS["LightGBM"].fit(features(spark, sf)[0], models.FEATURES), "LightGBM")
 
 
 @query("S07_F21_model_store")
 def _(spark, sf):
-    from pyspark.ml import PipelineModel
-
     train, test = features(spark, sf)
-    fitted, path = models.SPECS["Logistic Regression"].fit(train), files.scratch(spark, "model")
+    fitted, path = models.SPECS["Logistic Regression"].fit(train, models.FEATURES), files.scratch(spark, "model")
     fitted.save(path)
-    again = models.Fitted(fitted.features, fitted.stats, PipelineModel.load(path), fitted.spec)
+    again = models.Fitted.load(spark, path, fitted.features, fitted.spec)
     return again.score(test).withColumn("tier", fx.risk_tier(F.col("score")))
 
 

@@ -72,3 +72,64 @@ def test_conservative_rounds():
     assert models.conservative_rounds([120]) == 120
     assert models.conservative_rounds([]) == 1000
     assert models.conservative_rounds([100, 200, 300, None]) == 150
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, rows):
+    return rows.withColumn("c", F.when(F.col("target") == 1, F.when(F.rand(3) < 0.8, "bad").otherwise("good")).otherwise(F.when(F.rand(4) < 0.8, "good"))).persist()
+
+
+def test_category_encoding_leaves_a_rows_fold_out(spark):
+    from calibra.operators.encoders import fit_target_encoding
+
+    rng = random.Random(2)
+    data = [(i, rng.choice("abc"), float(rng.random() < 0.4)) for i in range(80)]
+    df = spark.createDataFrame(data, "authorization_id long, c string, target double")
+    fold = {r[0]: r[1] for r in df.select("authorization_id", F.pmod(F.xxhash64(F.lit("fold"), "authorization_id"), F.lit(5))).collect()}
+    enc = fit_target_encoding(df, ["c"])
+    assert len(set(fold.values())) == 5
+
+    def smoothed(rows, value):
+        prior = sum(y for *_, y in rows) / len(rows)
+        own = [y for _, c, y in rows if c == value]
+        return (sum(own) + 3 * prior) / (len(own) + 3)
+
+    for r in enc.apply(df, 3.0, training=True).collect():
+        rest = [d for d in data if fold[d[0]] != fold[r["authorization_id"]]]
+        assert r["enc_c"] == pytest.approx(smoothed(rest, r["c"]))
+    new = spark.createDataFrame([(1, "a"), (2, "zzz"), (3, None)], "authorization_id long, c string")
+    got = {r["authorization_id"]: r["enc_c"] for r in enc.apply(new, 3.0).collect()}
+    assert got[1] == pytest.approx(smoothed(data, "a"))
+    assert got[2] == got[3] == pytest.approx(sum(y for *_, y in data) / len(data))
+
+
+def test_model_with_categories_survives_the_store(spark, mixed, tmp_path):
+    train, test = mixed.where("mis_date < date'2024-08-01'"), mixed.where("mis_date >= date'2024-08-01'")
+    spec = models.SPECS["Logistic Regression"]
+    plain = metrics.evaluate(models.scored(spec, train, test, ["x", "z"])).first()["roc_auc"]
+    fitted = spec.fit(train, ["x", "z", "c"])
+    assert fitted.inputs == ["x", "z", "c"] and fitted.refit(train).inputs == fitted.inputs
+    assert metrics.evaluate(models.scored(spec, train, test, ["x", "z", "c"])).first()["roc_auc"] > plain
+    fitted.save(f"file://{tmp_path}/m")
+    again = models.Fitted.load(spark, f"file://{tmp_path}/m", fitted.features, spec)
+    assert sorted(map(tuple, again.score(test).collect())) == sorted(map(tuple, fitted.score(test).collect()))
+
+
+@pytest.mark.parametrize("name", ["Logistic Regression", "LightGBM"])
+def test_tuning_keeps_the_best_trial_and_stops_boosting_early(mixed, name):
+    got = models.tune(models.SPECS[name], mixed, 3, 2, ["x", "z", "c"], ceiling=12, at_once=2)
+    trials = got.trials.collect()
+    best = [r for r in trials if r["best"]]
+    assert len(trials) == 3 and len(best) == 1 and not best[0]["pruned"]
+    assert best[0]["mean_pr_auc"] == max(r["mean_pr_auc"] for r in trials if not r["pruned"])
+    assert all(r["folds"] == 2 for r in trials if not r["pruned"])
+    if name == "LightGBM":
+        assert got.spec.params["trees"] == best[0]["rounds"] <= 12
+
+
+def test_ablations_show_seven_variants(parts):
+    sets = {"raw": ["x"], "with engineered": ["x", "z"], "with interactions": ["x", "z"], "candidates": ["x", "z"], "frozen": ["x"]}
+    got = {r["variant"]: r for r in models.ablations(*parts, sets).collect()}
+    assert set(got) == {*sets, "frozen, uncalibrated", "frozen, sigmoid"}
+    assert got["frozen, sigmoid"]["brier"] < got["frozen, uncalibrated"]["brier"]
+    assert got["frozen"]["n_features"] == 1

@@ -18,7 +18,8 @@ def arguments(monkeypatch, module, name, query, spark, sf):
         bound = inspect.signature(real).bind(*args, **kw)
         bound.apply_defaults()
         seen.update(bound.arguments)
-        return spark.createDataFrame([], "score double, model string, y double")
+        rows = spark.createDataFrame([], "score double, model string, y double")
+        return models.Tuned(None, rows) if name == "tune" else rows
 
     monkeypatch.setattr(module, name, record)
     QUERIES[query](spark, sf)
@@ -41,8 +42,8 @@ def test_folds_grids_and_models(monkeypatch, spark, sf):
     assert seen("out_of_fold", "M06_out_of_fold")["folds"] == 5
     stack = seen("stack", "M07_stacking")
     assert stack["folds"] == 5 and len(stack["specs"]) == 5
-    tuned = seen("tune_logistic", "M13_S08_tuning_trials")
-    assert (tuned["trials"], tuned["folds"]) == (50, 5)
+    tuned = seen("tune", "M13_S08_tuning_trials")
+    assert (tuned["trials"], tuned["folds"], tuned["features"]) == (50, 5, models.FEATURES)
     rolled = seen("rolling_validation", "E18_rolling_refit")
     assert rolled["windows"] == 4 and len(rolled["specs"]) == 5
     nets = seen("stability_selection", "D08_stability_selection")
