@@ -179,6 +179,16 @@ class TargetEncoding:
         prior = sum(s for s, _ in sums.values()) / max(sum(n for _, n in sums.values()), 1)
         return {v: (s + smooth * prior) / (n + smooth) for v, (s, n) in sums.items()}, prior
 
+    def spread(self, column: str, smooth: float) -> tuple[float, float]:
+        """Mean and population deviation of enc_<column> over the rows the encoding was fitted on."""
+        cells = []
+        for fold in range(self.folds):
+            means, _ = self._means(column, smooth, fold)
+            cells += [(means[v], parts[fold][1]) for v, parts in self.counts[column].items() if fold in parts]
+        n = max(sum(k for _, k in cells), 1)
+        mean = sum(m * k for m, k in cells) / n
+        return mean, (sum((m - mean) ** 2 * k for m, k in cells) / n) ** 0.5
+
     def apply(self, df: DataFrame, smooth: float, training: bool = False) -> DataFrame:
         """Adds enc_<column>; values unseen and nulls count as Other, and Other itself unseen takes the overall mean."""
         out = {}

@@ -135,27 +135,50 @@ class Spec:
     def takes(self, name: str) -> bool:
         return name in inspect.signature(self.make).parameters
 
-    def fit(self, df: DataFrame, features: Sequence[str] = NUMERIC_FEATURES, y: str = TARGET, valid: DataFrame | None = None) -> Fitted:
+    def fit(self, df: DataFrame, features: Sequence[str] = NUMERIC_FEATURES, y: str = TARGET, valid: DataFrame | None = None, prepared: Prepared | None = None) -> Fitted:
         """valid: rows that decide when a boosted model stops; models without rounds leave them aside."""
         rows = df.where(F.col(y).isNotNull())
-        cats = [f for f in features if rows.schema[f].dataType.typeName() == "string"]
-        encoding = fit_target_encoding(rows, cats, y) if cats else None
-        columns = [f"enc_{f}" if f in cats else f for f in features]
-        stats = fit_imputer_scaler(encoding.apply(rows, self.smooth, True) if encoding else rows, columns)
-        stats = df.sparkSession.createDataFrame(stats.collect(), stats.schema)  # a row for each feature
-        shell = Fitted(columns, stats, None, self, None, encoding)
-        low, high = class_weights(rows, y)
-        weight = F.col("weight") if "weight" in rows.columns else F.when(F.col(y) == 1, high).otherwise(low)
-        shape = lambda d, training, held: shell.ready(d, training).select(*columns, weight.alias("_weight"), F.col(y).cast("double").alias("label"), F.lit(held).alias("_valid"))
+        p = prepared or prepare(rows, features, y)
+        shell = Fitted(p.columns, p.scaling(df.sparkSession, self.smooth), None, self, None, p.encoding)
+        weight = F.col("weight") if "weight" in rows.columns else F.when(F.col(y) == 1, p.high).otherwise(p.low)
+        shape = lambda d, training, held: shell.ready(d, training).select(*p.columns, weight.alias("_weight"), F.col(y).cast("double").alias("label"), F.lit(held).alias("_valid"))
         ready, extra = shape(rows, True, False), {}
         if self.takes("n"):
-            extra["n"] = max(rows.count(), 1)
+            extra["n"] = p.n
         if valid is not None and self.takes("stop"):
             ready, extra["stop"] = ready.unionByName(shape(valid.where(F.col(y).isNotNull()), False, True)), True
-        shell.model = Pipeline(stages=self.make(columns, **extra | self.params)).fit(ready)
+        shell.model = Pipeline(stages=self.make(p.columns, **extra | self.params)).fit(ready)
         return shell
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """What a fit needs to know of its training rows whatever its settings: a few numbers a feature."""
+
+    columns: list[str]
+    encoding: TargetEncoding | None
+    stats: list
+    n: int
+    low: float
+    high: float
+
+    def scaling(self, spark: SparkSession, smooth: float) -> DataFrame:
+        rows = [tuple(r) for r in self.stats]
+        for c in self.encoding.counts if self.encoding else ():
+            mean, sd = self.encoding.spread(c, smooth)
+            rows.append((f"enc_{c}", mean, mean, sd))
+        return spark.createDataFrame(rows, "feature string, med double, mean double, sd double")
+
+
+def prepare(rows: DataFrame, features: Sequence[str], y: str = TARGET) -> Prepared:
+    """rows have an outcome each."""
+    cats = [f for f in features if rows.schema[f].dataType.typeName() == "string"]
+    numeric = [f for f in features if f not in cats]
+    stats = fit_imputer_scaler(rows, numeric).select("feature", "med", "mean", "sd").collect() if numeric else []
+    encoding = fit_target_encoding(rows, cats, y) if cats else None
+    return Prepared([f"enc_{f}" if f in cats else f for f in features], encoding, stats, max(rows.count(), 1), *class_weights(rows, y))
+
+
 def _vector(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features")
 
@@ -324,7 +347,7 @@ def tune(spec: Spec, df: DataFrame, trials: int = DEFAULT.n_trials, folds: int =
         train = df.where(F.col(DATE) < F.lit(f["train_until"]))
         valid = df.where((F.col(DATE) >= F.lit(f["valid_from"])) & (F.col(DATE) <= F.lit(f["valid_until"])))
         if supported(train) and supported(valid):
-            parts.append((train, valid))
+            parts.append((train, valid, prepare(train.where(F.col(TARGET).isNotNull()), features)))
     if not parts:
         raise ValueError("no fold has both classes in training and validation")
     boosts, before = spec.takes("stop"), []
@@ -337,9 +360,9 @@ def tune(spec: Spec, df: DataFrame, trials: int = DEFAULT.n_trials, folds: int =
     def run(k: int) -> dict:
         made, settings = candidate(k)
         scores, rounds, pruned = [], [], False
-        for train, valid in parts:
-            m = made.fit(train, features, valid=valid)
-            rows = valid.select(ID, F.col(TARGET).alias("y")).join(m.score(valid), ID).withColumn("model", F.lit("trial"))
+        for train, valid, prepared in parts:
+            m = made.fit(train, features, valid=valid, prepared=prepared)
+            rows = probability(m.model.transform(m.ready(valid))).select(F.lit("trial").alias("model"), F.col(TARGET).alias("y"), "score")
             scores.append(ranking_metrics(curve(rows)).first()["pr_auc"] or 0.0)
             rounds.append(m.model.stages[-1].getNumTrees if boosts else None)
             earlier = sorted(sum(s[: len(scores)]) / len(scores) for s in before if len(s) >= len(scores))
@@ -382,13 +405,16 @@ def stability_selection(df: DataFrame, features: Sequence[str], folds: int = 2,
         valid = df.where((F.col(DATE) >= F.lit(f["valid_from"])) & (F.col(DATE) <= F.lit(f["valid_until"])))
         if not (supported(train) and supported(valid)):
             continue
-        fits = []
-        for c in cs:
-            for l1 in l1s:
-                m = Spec("net", logistic, {"c": c, "l1": l1}).fit(train, features)
-                ap = ranking_metrics(curve(valid.select(ID, F.col(TARGET).alias("y")).join(m.score(valid), ID).withColumn("model", F.lit("net")))).first()["pr_auc"]
-                coef = dict(zip(m.inputs, map(float, m.model.stages[-1].coefficients), strict=True))
-                fits.append((round(ap or 0.0, 8), -sum(abs(v) > 1e-8 for v in coef.values()), coef))
+        prepared = prepare(train, features)
+
+        def net(point: tuple[float, float], train=train, valid=valid, prepared=prepared) -> tuple:
+            m = Spec("net", logistic, {"c": point[0], "l1": point[1]}).fit(train, features, prepared=prepared)
+            rows = probability(m.model.transform(m.ready(valid))).select(F.lit("net").alias("model"), F.col(TARGET).alias("y"), "score")
+            coef = dict(zip(m.inputs, map(float, m.model.stages[-1].coefficients), strict=True))
+            return round(ranking_metrics(curve(rows)).first()["pr_auc"] or 0.0, 8), -sum(abs(v) > 1e-8 for v in coef.values()), coef
+
+        with ThreadPool(4) as pool:  # a job each, side by side; in the order of the grid
+            fits = pool.map(net, [(c, l1) for c in cs for l1 in l1s], chunksize=1)
         chosen.append(max(fits, key=lambda t: t[:2])[2])
     k = max(len(chosen), 1)
     rows = [(f, sum(abs(c[f]) > 1e-8 for c in chosen) / k, sum(abs(c[f]) for c in chosen) / k) for f in features]
