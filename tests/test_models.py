@@ -97,6 +97,8 @@ def test_category_encoding_leaves_a_rows_fold_out(spark):
     for r in enc.apply(df, 3.0, training=True).collect():
         rest = [d for d in data if fold[d[0]] != fold[r["authorization_id"]]]
         assert r["enc_c"] == pytest.approx(smoothed(rest, r["c"]))
+    own = enc.apply(df, 3.0, training=True).agg(F.avg("enc_c"), F.stddev_pop("enc_c")).first()
+    assert enc.spread("c", 3.0) == pytest.approx(tuple(own))
     new = spark.createDataFrame([(1, "a"), (2, "zzz"), (3, None)], "authorization_id long, c string")
     got = {r["authorization_id"]: r["enc_c"] for r in enc.apply(new, 3.0).collect()}
     assert got[1] == pytest.approx(smoothed(data, "a"))
