@@ -25,6 +25,7 @@ doc_id count as one document: their sets' links are pooled. Other columns are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ SLACK = 40
 BLOCK_DOCS = 256
 BLOCK_TOKENS = 1_000_000
 BROADCAST_PLACES = 500_000
+#: Scans of the texts at most, each with BROADCAST_PLACES broadcast places.
+ROUNDS = 32
 _HASH_BITS = 58
 
 
@@ -199,14 +202,14 @@ def shards(reps: DataFrame, percent: int) -> DataFrame:
     return members.unionByName(pivot)
 
 
-def placed_sets(docs: DataFrame, places: DataFrame, shared, width: int) -> DataFrame:
+def placed_sets(docs: DataFrame, places: DataFrame, shared, width: int, few: bool = True) -> DataFrame:
     """doc, tokens (int64 bytes in order) and the fields of `place`, a row for each of a document's places.
 
-    Up to BROADCAST_PLACES places (some 30 MB) are broadcast, so that only texts with a place
-    leave the scan; beyond that the texts are dealt out by document.
+    `few` places (see block_rounds) are broadcast, so that only texts with a place leave the scan;
+    others make the texts be dealt out by document.
     """
     listed = places.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    listed = F.broadcast(listed) if places.count() <= BROADCAST_PLACES else listed
+    listed = F.broadcast(listed) if few else listed
     fields = places.schema["place"].dataType.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +263,20 @@ def block_links(sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return sets.groupBy(*keys).applyInArrow(run, "kind int, a long, b long, d double")
 
 
+def block_rounds(docs: DataFrame, places: DataFrame, shared, width: int, percent: int, keys: list[str], name: str) -> DataFrame:
+    """block_links() of all blocks, in rounds of about BROADCAST_PLACES places (some 30 MB).
+
+    A block is whole in one round. A round scans the texts, and its sets are off the disk before the
+    next begins. Beyond ROUNDS rounds the texts are dealt out by document, once for all blocks.
+    """
+    n = places.count()
+    few = n <= BROADCAST_PLACES * ROUNDS
+    rounds = -(-n // BROADCAST_PLACES) if few and n else 1
+    turn = F.pmod(F.xxhash64(*(F.col(f"place.{k}") for k in keys)), F.lit(rounds))
+    done = [saved(block_links(placed_sets(docs, places.where(turn == k) if rounds > 1 else places, shared, width, few), keys, percent), name) for k in range(rounds)]
+    return reduce(DataFrame.unionByName, done)
+
+
 def second_look(found: DataFrame, percent: int) -> DataFrame:
     """Places in pairs of blocks for the documents of dealt-out shards that may be linked across blocks."""
     far = found.where("kind = 2").groupBy("a").agg(F.min("d").alias("nearest"))
@@ -296,13 +313,14 @@ def similar(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     rows = saved(full.drop("prefix"), "shingle-rows")
     discard(full)
     place = saved(shards(classes.select("doc", "n", "prefix"), percent).select("doc", F.struct("pivot", "block", "blocks").alias("place")), "places")
-    found = saved(block_links(placed_sets(docs, place, shared, width), ["pivot", "block"], percent), "links-in-blocks")
+    ids = saved(classes.select("n", "s1", "s2", "doc"), "class-ids")
+    discard(classes)  # the prefixes, a third of the input
+    found = block_rounds(docs, place, shared, width, percent, ["pivot", "block"], "links-in-blocks")
     links = found.where("kind = 0").select("a", "b")
     again = saved(second_look(found, percent), "places-across-blocks")
     if not again.isEmpty():
-        more = block_links(placed_sets(docs, again, shared, width), ["pivot", "i", "j"], percent)
-        links = links.unionByName(saved(more, "links-across-blocks").select("a", "b"))
-    ids = classes.select("n", "s1", "s2", "doc")
+        more = block_rounds(docs, again, shared, width, percent, ["pivot", "i", "j"], "links-across-blocks")
+        links = links.unionByName(more.select("a", "b"))
     pooled = rows.where("n > 0 AND doc_id IS NOT NULL").join(ids, ["n", "s1", "s2"]).where("doc_id != doc").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
     clusters = components(links.unionByName(pooled))
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(clusters.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

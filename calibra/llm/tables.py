@@ -82,11 +82,24 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Writes made inside delete their shuffle files when they end; else these stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The rows written to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
     path = path or scratch(df.sparkSession, name)
     small_batches(df.sparkSession)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -57,6 +58,30 @@ def test_components_against_brute_force(spark, monkeypatch, seed, blocks):
     assert {tuple(r) for r in got.collect()} == brute_components(rows)
 
 
+def shuffle_files(spark):
+    root = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {str(f) for folder in root.localDirsString() for f in Path(folder).rglob("shuffle_*.data")}
+
+
+def test_many_places_are_joined_in_rounds_that_leave_no_shuffle(spark, monkeypatch):
+    rows = list(enumerate(near_copies(random.Random(4), 150)))
+    plans, links = [], ngramjoin.block_links
+
+    def noted(sets, *args):
+        plans.append(sets._jdf.queryExecution().executedPlan().toString())
+        return links(sets, *args)
+
+    monkeypatch.setattr(ngramjoin, "block_links", noted)
+    monkeypatch.setattr(ngramjoin, "BLOCK_DOCS", 3)  # a second look too
+    monkeypatch.setattr(ngramjoin, "BROADCAST_PLACES", 20)
+    before = shuffle_files(spark)
+    got = ngramjoin.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = shuffle_files(spark) - before
+    assert {tuple(r) for r in got.collect()} == brute_components(rows)
+    assert len(plans) > 3 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)  # no text is shuffled
+    assert not left
+
+
 def test_a_chain_of_copies_is_one_component(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "BLOCK_DOCS", 4)
     base = [f"w{i}" for i in range(200)]
