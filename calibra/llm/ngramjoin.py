@@ -46,6 +46,8 @@ BLOCK_TOKENS = 1_000_000
 BROADCAST_PLACES = 500_000
 #: Scans of the texts at most, each with BROADCAST_PLACES broadcast places.
 ROUNDS = 32
+#: Ids of dropped copies (some 24 bytes each) that are broadcast.
+BROADCAST_COPIES = 2_000_000
 _HASH_BITS = 58
 
 
@@ -337,6 +339,7 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     rows = docs.select(own.alias("doc_id"), F.col("text").alias("text"), F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("row"))
     found = saved(similar(rows.select("doc_id", "text"), width, percent), "components")
     copies = saved(found.where("component_id != doc_id").select("doc_id").distinct(), "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies  # else all texts would be shuffled
     kept = rows.join(copies, "doc_id", "left_anti")
     twice = saved(found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
     if not twice.isEmpty():

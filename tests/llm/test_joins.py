@@ -82,6 +82,19 @@ def test_many_places_are_joined_in_rounds_that_leave_no_shuffle(spark, monkeypat
     assert not left
 
 
+def test_dropping_copies_shuffles_no_text(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # as for ids beyond it
+    try:
+        got = ngramjoin.one_of_each(spark.createDataFrame(list(enumerate(["a b c d e f"] * 3 + ["x y"])), "doc_id long, text string"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in got.collect()) == [0, 3]
+    finally:
+        spark.conf.set(name, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_a_chain_of_copies_is_one_component(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "BLOCK_DOCS", 4)
     base = [f"w{i}" for i in range(200)]
