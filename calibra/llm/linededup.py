@@ -75,21 +75,34 @@ class LineRuns:
 
     def close(self) -> None:
         """Drops the runs; what frequent() returned stays."""
-        for name, path in self.paths.items():
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            remove(self.spark, path)
-        self.paths, self.open, self.settled = {}, [], []
+        for name in list(self.paths):
+            self._drop(name)
+        self.open, self.settled = [], []
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self.paths.pop(name))
 
     def add(self, docs: DataFrame) -> None:
-        """Counts a batch of documents and adds its runs."""
+        """Counts a batch of documents and adds its runs.
+
+        Rows are dealt by the number of the writer's bucket, so a bucket is one task's and one file,
+        whatever number of partitions they are dealt to. The counts become a run before settled keys
+        leave them, so that join needs no shuffle either.
+        """
         keys = F.array_distinct(F.transform(lines(), line_key))
         counts = docs.select(F.explode(keys).alias("key")).where("key != ''").select(*_hashes(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
-        dealt = counts.repartition(self.buckets, "h1", "h2")
-        for run in self.settled:
-            if run is not None:
-                dealt = dealt.join(run.hint("merge"), ["h1", "h2"], "left_anti")
+        run = self._run(counts.repartition(self.buckets, F.pmod(F.hash("h1", "h2"), F.lit(self.buckets))))
+        settled = [s for s in self.settled if s is not None]
+        if settled:
+            rest = run
+            for s in settled:
+                rest = rest.join(s.hint("merge"), ["h1", "h2"], "left_anti")
                 self.anti_joins += 1
-        self._split(self._run(dealt), 0)
+            name = list(self.paths)[-1]
+            run = self._run(rest)
+            self._drop(name)
+        self._split(run, 0)
 
     def _split(self, run: DataFrame, level: int) -> None:
         """Adds a run of counts: what reached min_docs to the settled runs, the rest to the open ones."""

@@ -45,6 +45,26 @@ def test_runs_count_over_batches_and_levels(spark):
     assert found == {f"line {k}" for k in range(12) if sum(i % (k + 1) == 0 for i in range(40)) >= 10}
 
 
+def test_a_bucket_is_one_file_however_many_partitions_there_are(spark, monkeypatch):
+    """A cluster may deal rows to more partitions than asked for; thousands of small files then cost memory and time."""
+    frame = type(spark.range(0))
+    deal, write, files = frame.repartition, linededup.LineRuns._run, []
+
+    def noted(self, df):
+        run = write(self, df)
+        files.append(len(run.inputFiles()))
+        return run
+
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: deal(self, max(n, 11), *cols))
+    monkeypatch.setattr(linededup.LineRuns, "_run", noted)
+    docs = spark.createDataFrame([(i, "\n".join(f"line {i * k % 97}" for k in range(60))) for i in range(200)], "doc_id long, text string")
+    with linededup.LineRuns(spark, 10, buckets=3) as runs:
+        for batch in linededup.batches(docs, 4):
+            runs.add(batch)
+        assert runs.anti_joins and runs.frequent().count()
+    assert max(files) <= 3
+
+
 def test_no_rows(nothing):
     assert linededup.dedup_lines(nothing).count() == 0
     assert licenses.scan(nothing).count() == 0
