@@ -243,8 +243,9 @@ def fit_imputer_scaler(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     return filled.groupBy("feature").agg(F.first("med").alias("med"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
 
 
-def impute_scale(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
-    stats = {r["feature"]: r for r in fitted.collect()}
+def impute_scale(df: DataFrame, fitted: DataFrame | dict[str, dict], columns: Sequence[str]) -> DataFrame:
+    """fitted: the table of fit_imputer_scaler, or its rows by feature."""
+    stats = fitted if isinstance(fitted, dict) else {r["feature"]: r for r in fitted.collect()}
     return df.withColumns({c: (F.coalesce(F.col(c).cast("double"), F.lit(stats[c]["med"])) - stats[c]["mean"]) / (stats[c]["sd"] or 1.0) for c in columns})
 
 

@@ -82,6 +82,7 @@ class Fitted:
     spec: Spec | None = None
     calibrate: Callable[[DataFrame], DataFrame] | None = None
     encoding: TargetEncoding | None = None
+    known: dict[str, dict] | None = None  # the rows of stats, where they need no job
 
     @property
     def inputs(self) -> list[str]:
@@ -91,7 +92,7 @@ class Fitted:
 
     def ready(self, df: DataFrame, training: bool = False) -> DataFrame:
         coded = self.encoding.apply(df, self.spec.smooth, training) if self.encoding else df
-        return impute_scale(coded, self.stats, self.features)
+        return impute_scale(coded, self.known or self.stats, self.features)
 
     def refit(self, df: DataFrame, y: str = TARGET) -> Fitted:
         """A fresh model of the same kind, settings and features, prepared and fitted on other rows; nothing fitted is carried over."""
@@ -139,7 +140,7 @@ class Spec:
         """valid: rows that decide when a boosted model stops; models without rounds leave them aside."""
         rows = df.where(F.col(y).isNotNull())
         p = prepared or prepare(rows, features, y)
-        shell = Fitted(p.columns, p.scaling(df.sparkSession, self.smooth), None, self, None, p.encoding)
+        shell = Fitted(p.columns, p.scaling(df.sparkSession, self.smooth), None, self, None, p.encoding, p.known(self.smooth))
         weight = F.col("weight") if "weight" in rows.columns else F.when(F.col(y) == 1, p.high).otherwise(p.low)
         shape = lambda d, training, held: shell.ready(d, training).select(*p.columns, weight.alias("_weight"), F.col(y).cast("double").alias("label"), F.lit(held).alias("_valid"))
         ready, extra = shape(rows, True, False), {}
@@ -162,11 +163,15 @@ class Prepared:
     low: float
     high: float
 
-    def scaling(self, spark: SparkSession, smooth: float) -> DataFrame:
-        rows = [tuple(r) for r in self.stats]
+    def known(self, smooth: float) -> dict[str, dict]:
+        rows = {r["feature"]: r.asDict() for r in self.stats}
         for c in self.encoding.counts if self.encoding else ():
             mean, sd = self.encoding.spread(c, smooth)
-            rows.append((f"enc_{c}", mean, mean, sd))
+            rows[f"enc_{c}"] = {"feature": f"enc_{c}", "med": mean, "mean": mean, "sd": sd}
+        return rows
+
+    def scaling(self, spark: SparkSession, smooth: float) -> DataFrame:
+        rows = [tuple(r[k] for k in ("feature", "med", "mean", "sd")) for r in self.known(smooth).values()]
         return spark.createDataFrame(rows, "feature string, med double, mean double, sd double")
 
 
@@ -215,9 +220,9 @@ SPECS = {
 }
 
 
-def scored(spec: Spec, train: DataFrame, test: DataFrame, features: Sequence[str] = NUMERIC_FEATURES) -> DataFrame:
+def scored(spec: Spec, train: DataFrame, test: DataFrame, features: Sequence[str] = NUMERIC_FEATURES, prepared: Prepared | None = None) -> DataFrame:
     """id, date, y, model, score of test rows."""
-    out = spec.fit(train, features).score(test)
+    out = spec.fit(train, features, prepared=prepared).score(test)
     return test.select(ID, DATE, F.col(TARGET).alias("y")).join(out, ID).withColumn("model", F.lit(spec.name))
 
 
@@ -250,15 +255,30 @@ def calibrate(fitted: Fitted, rows: DataFrame, kind: str) -> Fitted:
 
 
 # ---- folds --------------------------------------------------------------------------------
-def out_of_fold(spec: Spec, df: DataFrame, folds: int = 3, features: Sequence[str] = NUMERIC_FEATURES) -> DataFrame:
-    """id, date, y, model, score of rows in validation folds, each scored by a model fitted on earlier dates only."""
-    parts = []
-    for f in temporal_folds(df, folds).orderBy("fold").collect():
+#: Fits that run side by side, a Spark job each.
+AT_ONCE = 4
+
+
+def side_by_side(fn: Callable, items: Sequence) -> list:
+    """fn of every item, in order."""
+    with ThreadPool(AT_ONCE) as pool:
+        return pool.map(fn, items, chunksize=1)
+
+
+def out_of_fold(spec: Spec | Sequence[Spec], df: DataFrame, folds: int = 3, features: Sequence[str] = NUMERIC_FEATURES) -> DataFrame:
+    """id, date, y, model, score of rows in validation folds, each scored by a model fitted on earlier dates only.
+
+    Several specs share what is prepared for a fold.
+    """
+
+    def part(f):
         train = df.where(F.col(DATE) < F.lit(f["train_until"]))
         valid = df.where((F.col(DATE) >= F.lit(f["valid_from"])) & (F.col(DATE) <= F.lit(f["valid_until"])))
-        if supported(train):
-            parts.append(scored(spec, train, valid, features).withColumn("fold", F.lit(f["fold"])))
-    return _union(parts)
+        return (f["fold"], train, valid, prepare(train.where(F.col(TARGET).isNotNull()), features)) if supported(train) else None
+
+    ready = [p for p in side_by_side(part, temporal_folds(df, folds).orderBy("fold").collect()) if p]
+    fits = [(s, *p) for s in ([spec] if isinstance(spec, Spec) else spec) for p in ready]
+    return _union(side_by_side(lambda x: scored(x[0], x[2], x[3], features, x[4]).withColumn("fold", F.lit(x[1])), fits))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -272,9 +292,10 @@ def stack(specs: Sequence[Spec], df: DataFrame, test: DataFrame, folds: int = 3,
     """Scores of a logistic regression over the base models' out-of-fold scores, complete rows only."""
     cols = {s.name: f"m{i}" for i, s in enumerate(specs)}
     wide = lambda long: long.groupBy(ID, "y").pivot("model", list(cols)).agg(F.first("score")).select(ID, "y", *(F.col(f"`{n}`").alias(c) for n, c in cols.items())).na.drop()
-    train = wide(_union([out_of_fold(s, df, folds, features) for s in specs]))
+    train = wide(out_of_fold(specs, df, folds, features))
     meta = Pipeline(stages=[_vector(list(cols.values())), LogisticRegression(labelCol="y", regParam=1e-3)]).fit(train)
-    out = probability(meta.transform(wide(_union([scored(s, df, test, features) for s in specs])))).select(ID, "score")
+    prepared = prepare(df.where(F.col(TARGET).isNotNull()), features)
+    out = probability(meta.transform(wide(_union(side_by_side(lambda s: scored(s, df, test, features, prepared), specs))))).select(ID, "score")
     return test.select(ID, DATE, F.col(TARGET).alias("y")).join(out, ID).withColumn("model", F.lit("Stacking (experimental)"))
 
 

@@ -46,6 +46,15 @@ def test_out_of_fold_leaves_the_first_blocks_unscored(rows):
     assert got.agg(F.min("mis_date")).first()[0] > date(2024, 1, 1)
 
 
+def test_stacking_prepares_each_fold_once_for_all_models(parts, monkeypatch):
+    calls, prepare = [], models.prepare
+    monkeypatch.setattr(models, "prepare", lambda *a, **k: calls.append(1) or prepare(*a, **k))
+    specs = [models.SPECS["Logistic Regression"], models.SPECS["EBM"]]
+    got = models.stack(specs, *parts, 2, ["x", "z"])
+    assert metrics.evaluate(got).first()["roc_auc"] > 0.65
+    assert len(calls) == 3  # two folds and all training rows
+
+
 def test_stability_selection_keeps_the_informative_feature(rows):
     got = {r["feature"]: r for r in models.stability_selection(rows, ["x", "z"], 2, (0.03,)).collect()}
     assert got["x"]["frequency"] == 1 and got["x"]["mean_abs"] > got["z"]["mean_abs"]
