@@ -60,6 +60,15 @@ def test_stability_selection_keeps_the_informative_feature(rows):
     assert got["x"]["frequency"] == 1 and got["x"]["mean_abs"] > got["z"]["mean_abs"]
 
 
+def test_nets_of_a_fold_share_their_rows_and_one_curve(mixed, monkeypatch):
+    written, curves, write, curve = [], [], models._written, models.curve
+    monkeypatch.setattr(models, "_written", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(models, "curve", lambda *a: curves.append(1) or curve(*a))
+    got = {r["feature"]: r["frequency"] for r in models.stability_selection(mixed, ["x", "c"], 2, (0.03, 1.0), (0.5,)).collect()}
+    assert got == {"x": 1, "c": 1}
+    assert len(written) == 4 and len(curves) == 2  # training and held rows of two folds; a curve each
+
+
 def test_explanations_agree_on_the_driver(parts):
     train, test = parts
     fitted = models.SPECS["Logistic Regression"].fit(train, ["x", "z"])
