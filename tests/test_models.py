@@ -147,6 +147,14 @@ def test_tuning_keeps_the_best_trial_and_stops_boosting_early(mixed, name):
         assert got.spec.params["trees"] == best[0]["rounds"] <= 12
 
 
+def test_ablations_are_fitted_side_by_side(parts, monkeypatch):
+    import threading
+
+    both, fit = threading.Barrier(2, timeout=60), models.scored
+    monkeypatch.setattr(models, "scored", lambda *a: both.wait() is not None and fit(*a))  # fits one after the other break the barrier
+    assert models.ablations(*parts, {"raw": ["x"], "all": ["x", "z"]}).count() == 4
+
+
 def test_ablations_show_seven_variants(parts):
     sets = {"raw": ["x"], "with engineered": ["x", "z"], "with interactions": ["x", "z"], "candidates": ["x", "z"], "frozen": ["x"]}
     got = {r["variant"]: r for r in models.ablations(*parts, sets).collect()}
