@@ -208,6 +208,25 @@ class TargetEncoding:
             out[f"enc_{column}"] = F.coalesce(F.try_element_at(table, value), overall)
         return df.withColumns(out)
 
+    def keys(self, training: bool = False) -> dict[str, Column]:
+        """For each column the place of a row's enc_<column> in values(), whatever the smoothing."""
+        out = {}
+        for column, own in self.counts.items():
+            places = {v: i for i, v in enumerate(own)}
+            places.setdefault("Other", len(own))
+            value = F.when(F.col(column).isin([v for v in own if v != "Other"]), F.col(column)).otherwise("Other")
+            place = F.element_at(F.create_map(*(F.lit(x) for pair in places.items() for x in pair)), value)
+            out[column] = (_fold(self.folds) * (len(own) + 1) + place if training else place).cast("int")
+        return out
+
+    def values(self, column: str, smooth: float, training: bool = False) -> list[float]:
+        """What apply() gives rows at each place of keys(): the column's values and what is none of them, when training fold by fold."""
+        out = []
+        for without in range(self.folds) if training else (None,):
+            means, prior = self._means(column, smooth, without)
+            out += [*means.values(), prior]
+        return out
+
 
 def _fold(folds: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), F.col(ID)), F.lit(folds))

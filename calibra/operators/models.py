@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, QuantileDiscretizer, VectorAssembler
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..params import CATEGORICAL, DATE, DEFAULT, ID, TARGET, Params
 from ..sources.files import scratch, write_table
+from . import logit
 from .curves import curve, ranking_metrics
 from .encoders import TargetEncoding, fit_imputer_scaler, fit_target_encoding, impute_scale
 from .metrics import evaluate, r6
@@ -371,17 +373,19 @@ def tune(spec: Spec, df: DataFrame, trials: int = DEFAULT.n_trials, folds: int =
     """The spec with the settings of the best mean fold average precision, and the history of trials.
 
     History: model, trial, settings (JSON), folds scored, mean_pr_auc, rounds, pruned, best; ties go to
-    the earlier trial. `at_once` trials run side by side. A trial ends early when its mean falls below the median that
+    the earlier trial. Trials form groups of `at_once`. A trial ends early when its mean falls below the median that
     the trials of earlier groups had after as many folds; so the outcome does not depend on timing.
-    Boosted models stop by the fold's validation rows, at `ceiling` rounds at most, and take the
-    conservative round count over the best trial's folds.
+    Boosted models run a group side by side, stop by the fold's validation rows, at `ceiling` rounds at most, and
+    take the conservative round count over the best trial's folds. Logistic regressions without an L1
+    penalty go fold by fold instead, all trials that are left on one reading of the rows.
     """
-    parts = []
-    for f in temporal_folds(df, folds).orderBy("fold").collect():
+
+    def part(f):
         train = df.where(F.col(DATE) < F.lit(f["train_until"]))
         valid = df.where((F.col(DATE) >= F.lit(f["valid_from"])) & (F.col(DATE) <= F.lit(f["valid_until"])))
-        if supported(train) and supported(valid):
-            parts.append((train, valid, prepare(train.where(F.col(TARGET).isNotNull()), features)))
+        return (train, valid, prepare(train.where(F.col(TARGET).isNotNull()), features)) if supported(train) and supported(valid) else None
+
+    parts = [p for p in side_by_side(part, temporal_folds(df, folds).orderBy("fold").collect()) if p]
     if not parts:
         raise ValueError("no fold has both classes in training and validation")
     boosts, before = spec.takes("stop"), []
@@ -391,6 +395,10 @@ def tune(spec: Spec, df: DataFrame, trials: int = DEFAULT.n_trials, folds: int =
         own = {n: v for n, v in settings.items() if n != "smooth"}
         return replace(spec, params=spec.params | own | ({"trees": ceiling} if boosts else {}), smooth=settings["smooth"]), settings
 
+    def falls_behind(scores: Sequence[float], earlier: Sequence[Sequence[float]]) -> bool:
+        means = sorted(sum(s[: len(scores)]) / len(scores) for s in earlier if len(s) >= len(scores))
+        return len(scores) < len(parts) and bool(means) and sum(scores) / len(scores) < means[len(means) // 2]
+
     def run(k: int) -> dict:
         made, settings = candidate(k)
         scores, rounds, pruned = [], [], False
@@ -399,18 +407,31 @@ def tune(spec: Spec, df: DataFrame, trials: int = DEFAULT.n_trials, folds: int =
             rows = probability(m.model.transform(m.ready(valid))).select(F.lit("trial").alias("model"), F.col(TARGET).alias("y"), "score")
             scores.append(ranking_metrics(curve(rows)).first()["pr_auc"] or 0.0)
             rounds.append(m.model.stages[-1].getNumTrees if boosts else None)
-            earlier = sorted(sum(s[: len(scores)]) / len(scores) for s in before if len(s) >= len(scores))
-            if len(scores) < len(parts) and earlier and sum(scores) / len(scores) < earlier[len(earlier) // 2]:
+            if falls_behind(scores, before):
                 pruned = True
                 break
         return {"k": k, "settings": settings, "scores": scores, "rounds": rounds, "pruned": pruned}
 
+    def run_linear() -> list[dict]:
+        made = {k: candidate(k) for k in range(1, trials + 1)}
+        out = {k: {"k": k, "settings": settings, "scores": [], "rounds": [], "pruned": False} for k, (_, settings) in made.items()}
+        for train, valid, prepared in parts:
+            left = {k: s for k, (s, _) in made.items() if not out[k]["pruned"]}
+            for k, score in linear_scores(left, train, valid, prepared).items():
+                out[k]["scores"].append(score)
+            for k in left:  # earlier groups have been through this fold, or ended before it
+                out[k]["pruned"] = falls_behind(out[k]["scores"], [out[j]["scores"] for j in range(1, k - (k - 1) % at_once)])
+        return list(out.values())
+
     done: list[dict] = []
-    with ThreadPool(at_once) as pool:
-        for first in range(1, trials + 1, at_once):
-            group = pool.map(run, range(first, min(first + at_once, trials + 1)), chunksize=1)
-            done += group
-            before += [r["scores"] for r in group]
+    if spec.make is logistic and not spec.params.get("l1"):
+        done = run_linear()
+    else:
+        with ThreadPool(at_once) as pool:
+            for first in range(1, trials + 1, at_once):
+                group = pool.map(run, range(first, min(first + at_once, trials + 1)), chunksize=1)
+                done += group
+                before += [r["scores"] for r in group]
     mean = lambda r: round(sum(r["scores"]) / len(r["scores"]), 6)
     best = max((r for r in done if not r["pruned"]), key=lambda r: (mean(r), -r["k"]))
     made = candidate(best["k"])[0]
@@ -420,6 +441,32 @@ def tune(spec: Spec, df: DataFrame, trials: int = DEFAULT.n_trials, folds: int =
     return Tuned(made, df.sparkSession.createDataFrame(rows, "model string, trial int, settings string, folds int, mean_pr_auc double, rounds int, pruned boolean, best boolean"))
 
 
+def linear_scores(specs: dict[int, Spec], train: DataFrame, valid: DataFrame, p: Prepared) -> dict[int, float]:
+    """Average precision on the valid rows of each logistic regression fitted on the training rows; the specs differ in c and smooth."""
+    cats = list(p.encoding.counts) if p.encoding else []
+    numeric = [c for c in p.columns if c not in {f"enc_{x}" for x in cats}]
+
+    def rows(df: DataFrame, training: bool) -> DataFrame:
+        own = df.where(F.col(TARGET).isNotNull())
+        weight = F.col("weight") if "weight" in df.columns else F.when(F.col(TARGET) == 1, p.high).otherwise(p.low)
+        keys = p.encoding.keys(training) if cats else {}
+        cells = [*(F.col(c).alias(f"x{i}") for i, c in enumerate(numeric)), *(keys[c].alias(f"k{i}") for i, c in enumerate(cats))]
+        out = impute_scale(own, p.known(1.0), numeric).select(*cells, F.col(TARGET).cast("double").alias("y"), weight.cast("double").alias("w"))
+        return _written(out.repartition(df.sparkSession.sparkContext.defaultParallelism), "linear-rows")
+
+    def trial(s: Spec, training: bool) -> logit.Trial:
+        known, tables = p.known(s.smooth), []
+        for c in cats:
+            k = known[f"enc_{c}"]
+            tables.append((np.array(p.encoding.values(c, s.smooth, training)) - k["mean"]) / (k["sd"] or 1.0))
+        return logit.Trial(1 / (s.params.get("c", 1.0) * p.n), tables)
+
+    fitted = logit.fit(rows(train, True), len(numeric), {k: trial(s, True) for k, s in specs.items()})
+    held = logit.scores(rows(valid, False), len(numeric), {k: (trial(s, False), fitted[k]) for k, s in specs.items()})
+    power = {r["model"]: r["pr_auc"] for r in ranking_metrics(curve(held)).collect()}  # one curve for all trials
+    return {k: power.get(k) or 0.0 for k in specs}
+
+
 def conservative_rounds(best: Sequence[int | None], fallback: int = 1000, quantile: float = 0.25) -> int:
     """The lower quartile of the folds' best round counts; the fallback only where none is known."""
     known = sorted(v for v in best if v)

@@ -147,6 +147,56 @@ def test_tuning_keeps_the_best_trial_and_stops_boosting_early(mixed, name):
         assert got.spec.params["trees"] == best[0]["rounds"] <= 12
 
 
+def test_tuning_fits_all_linear_trials_of_a_fold_on_one_reading(mixed, monkeypatch):
+    spec, features, folds, trials = models.SPECS["Logistic Regression"], ["x", "z", "c"], 2, 4
+    weighted = mixed.withColumn("weight", F.lit(0.5) + F.pmod("authorization_id", F.lit(3)))
+    written, write, pruned_any = [], models._written, False
+    monkeypatch.setattr(models, "_written", lambda df, name: written.append(name) or write(df, name))
+    for df in (mixed, weighted):
+        written.clear()
+        with monkeypatch.context() as m:
+            m.setattr(models.Spec, "fit", None)  # no fit of its own for a trial and fold
+            got = models.tune(spec, df, trials, folds, features, at_once=1).trials.orderBy("trial").collect()
+        assert len(written) == 2 * folds
+        alone = []  # the trials one by one in MLlib
+        for k in range(1, trials + 1):
+            settings, scores, pruned = models.trial_settings(models.SPACES[spec.name], k), [], False
+            made = models.replace(spec, params={"c": settings["c"]}, smooth=settings["smooth"])
+            for f in models.temporal_folds(df, folds).orderBy("fold").collect():
+                train = df.where(F.col("mis_date") < F.lit(f["train_until"]))
+                valid = df.where((F.col("mis_date") >= F.lit(f["valid_from"])) & (F.col("mis_date") <= F.lit(f["valid_until"])))
+                scores.append(metrics.evaluate(models.scored(made, train, valid, features)).first()["pr_auc"])
+                means = sorted(sum(s[: len(scores)]) / len(scores) for s in alone if len(s) >= len(scores))
+                if len(scores) < folds and means and sum(scores) / len(scores) < means[len(means) // 2]:
+                    pruned = True
+                    break
+            alone.append(scores)
+            assert (got[k - 1]["folds"], got[k - 1]["pruned"]) == (len(scores), pruned)
+            assert got[k - 1]["mean_pr_auc"] == pytest.approx(sum(scores) / len(scores), abs=2e-5)
+        pruned_any |= any(r["pruned"] for r in got)
+    assert pruned_any
+
+
+def test_newton_finds_the_minimum_of_mllib(mixed):
+    import numpy as np
+
+    spec = models.replace(models.SPECS["Logistic Regression"], params={"c": 0.02}, smooth=5.0)
+    fitted = spec.fit(mixed, ["x", "z", "c"])
+    p = models.prepare(mixed, ["x", "z", "c"])
+    known = p.known(5.0)["enc_c"]
+    table = (np.array(p.encoding.values("c", 5.0, True)) - known["mean"]) / known["sd"]
+    ready = spec.shaped(spec.shell(mixed, p), p, mixed, "target")
+    rows = ready.select(F.col("x").alias("x0"), F.col("z").alias("x1"), F.lit(0).alias("k0"), "enc_c", F.col("label").alias("y"), F.col("_weight").alias("w"))
+    values = [r[0] for r in rows.select("enc_c").distinct().collect()]
+    assert all(min(abs(table - v)) < 1e-9 for v in values)
+    place = F.element_at(F.create_map(*(F.lit(x) for i, v in enumerate(values) for x in (v, i))), F.col("enc_c"))
+    trials = {7: models.logit.Trial(1 / (0.02 * p.n), [np.array(values)]), 3: models.logit.Trial(1e-9, [np.array(values) * 0])}
+    got = models.logit.fit(rows.withColumn("k0", place).drop("enc_c"), 2, trials)
+    model = fitted.model.stages[-1]
+    assert got[7] == pytest.approx([model.coefficients[2], *model.coefficients[:2], model.intercept], abs=1e-4)
+    assert got[3][0] == 0  # a column of zeros
+
+
 def test_ablations_are_fitted_side_by_side(parts, monkeypatch):
     import threading
 
