@@ -103,6 +103,12 @@ def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Executors collect their garbage and give back what heap they no longer need, one task for each core."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """The columns renamed to c0, c1, ... but for the first `text`: names with dots or of any other kind pass through Arrow."""
     first = docs.columns.index("text")

@@ -123,3 +123,16 @@ def test_native_operators_run_no_python(spark, sf):
     for q in (linededup.op4_linededup, licenses.op10_licenses):
         plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_each_stage_begins_with_collected_executors(spark, sf):
+    def collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("decontamination", "packing"):  # these only plan; the others run jobs of their own before they return
+            before = collections()
+            assert set(stage(spark, docs, sf).columns) >= {"doc_id"}
+            assert collections() > before, name
+        assert stage.__wrapped__
