@@ -1,8 +1,10 @@
 r"""N-gram Jaccard join: a distributed prefix-tree join over sets of word shingles.
 
-1. Every text becomes the sorted set of its distinct shingles in one global order: frequent
-   shingles last, by levels of their counted frequency, then by hash. Any order gives the same
-   links; this one keeps passages that many documents share out of the prefixes.
+1. Every text becomes the sorted set of its distinct shingles in one global order: those of rare
+   words first, by levels of how often their words would meet by chance; then, whatever their words,
+   frequent shingles, by levels of their counted frequency; then by hash. Any order gives the same
+   links; this one keeps passages that many documents share out of the prefixes, and shingles of common words, which
+   unrelated documents share the more often the more documents there are.
 2. Documents with equal sets form a class; the smallest doc_id represents it.
 3. Linked sets share several tokens among the first n - ceil(percent n / 100) + 1 + n / SLACK of
    each (`sure` tells how many at least). For every such token the smallest document that has it
@@ -40,7 +42,9 @@ from .tables import discard, saved, table
 
 SHINGLE = 4
 PERCENT = 85
-SLACK = 40
+#: A prefix has n / SLACK tokens more than one shared token needs. More (a smaller number) lets fewer documents that
+#: share but a passage meet, for longer prefixes; the links are the same with any.
+SLACK = 12
 BLOCK_DOCS = 256
 BLOCK_TOKENS = 1_000_000
 BROADCAST_PLACES = 500_000
@@ -49,45 +53,77 @@ ROUNDS = 32
 #: Ids of dropped copies (some 24 bytes each) that are broadcast.
 BROADCAST_COPIES = 2_000_000
 _HASH_BITS = 58
+#: Levels of a shingle that is not frequent; frequent ones have those from here to 31.
+_CHANCE_LEVELS = 16
+#: Words are counted in this many cells by their hashes.
+_CELL_BITS = 16
 
 
 def block_shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, 58-bit shingle hash) of every shingle; a shorter document is one shingle."""
     _, _, doc, h = K.words(data, offs, K.NONSPACE, lower=True)
-    at, g = K.grams(h, doc, tuple(range(width)))
-    docs, values = [doc[at]], [g]
-    size = np.bincount(doc, minlength=len(offs) - 1)
-    for short in range(1, width):
-        if (size == short).any():
-            at, g = K.grams(h, doc, tuple(range(short)))
-            ours = size[doc[at]] == short
-            docs.append(doc[at][ours])
-            values.append(g[ours])
-    return np.concatenate(docs), np.concatenate(values) >> np.uint64(64 - _HASH_BITS)
+    return _shingles(doc, h, len(offs) - 1, width)[:2]
+
+
+def _shingles(doc: np.ndarray, h: np.ndarray, docs: int, width: int, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, 58-bit hash, sum of its words' rarity) of every shingle of words with hashes h."""
+    size = np.bincount(doc, minlength=docs)
+    found = [], [], []
+    for k in range(width, 0, -1):
+        if k < width and not (size == k).any():
+            continue
+        at, g = K.grams(h, doc, tuple(range(k)))
+        if k < width:
+            ours = size[doc[at]] == k
+            at, g = at[ours], g[ours]
+        rare = np.zeros(len(at), np.int32)
+        for i in range(k if rarity is not None else 0):
+            rare += rarity[_cells(h)[at + i]]
+        for out, x in zip(found, (doc[at], g >> np.uint64(64 - _HASH_BITS), rare), strict=True):
+            out.append(x)
+    return tuple(map(np.concatenate, found))
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
 
 
 class Order:
-    """The global order: a token is (level << 58) | hash, level 0 for all but the frequent shingles."""
+    """The global order: a token is (level << 58) | hash.
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+    Frequent shingles have levels from 16, by their counts. The level of any other follows from the number of
+    documents in which its words would follow each other by chance: 0 for a 256th or less, 15 for 64 or more.
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, cells: np.ndarray | None = None, words: int = 0) -> None:
+        """cells: words counted in each cell, 0 where they are few."""
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.levels = np.minimum(1 + np.log2(np.maximum(counts[order], 1)), 31).astype(np.int64)
-
-    def tokens(self, hashes: np.ndarray) -> np.ndarray:
+        self.levels = np.clip(_CHANCE_LEVELS - 5 + np.log2(np.maximum(counts[order], 1)), _CHANCE_LEVELS, 31).astype(np.int64)
+        cells = np.zeros(1 << _CELL_BITS, np.int64) if cells is None else cells
+        words = max(words, 1)
+        rest = max(words - int(cells.sum()), 1) / len(cells)
+        #: Sixteenths of bits by which a word is rare; whole numbers, so that sums do not depend on their order.
+        self.rarity = np.round(-16 * np.log2(np.minimum(np.maximum(cells, rest) / words, 1))).astype(np.int32)
+        self.bits = 16 * np.log2(words)
+
+    def tokens(self, hashes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """rare: the sums of their words' rarity."""
+        level = np.clip((self.bits - rare) / 16 + 9, 0, _CHANCE_LEVELS - 1).astype(np.int64)
         out = hashes.astype(np.int64)
         if len(self.hashes) and len(out):
             at = np.minimum(np.searchsorted(self.hashes, out), len(self.hashes) - 1)
             hit = self.hashes[at] == out
-            out[hit] |= self.levels[at[hit]] << _HASH_BITS
-        return out
+            level[hit] = self.levels[at[hit]]
+        return out | level << _HASH_BITS
 
 
 def _sets(batch: pa.RecordBatch, width: int, order: Order) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each block of a batch: all tokens, by document and in order, and where each document's begin."""
     for _, _, data, offs in K.blocks(*K.flatten(batch.column("text"))):
-        doc, h = block_shingles(data, offs, width)
-        doc, token = K.unique_pairs(doc, order.tokens(h))
+        _, _, doc, h = K.words(data, offs, K.NONSPACE, lower=True)
+        doc, h, rare = _shingles(doc, h, len(offs) - 1, width, order.rarity)
+        doc, token = K.unique_pairs(doc, order.tokens(h, rare))
         yield token, np.searchsorted(doc, np.arange(len(offs)))
 
 
@@ -104,12 +140,14 @@ def global_order(docs: DataFrame, width: int, held: int = 500_000, least: int =
     A task keeps at most about 2 * held counters and forgets those of 1 when there are more; it
     reports shingles it has seen in `least` documents. Frequent is a shingle with a millionth of
     all (document, shingle) pairs and 50 documents at least, so there are at most a million.
+    Words are counted in cells of their hashes; a task reports cells with 2^-15 of its words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.claim("ngramjoin")
         hashes, counts, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         fresh, waiting = [], 0
+        cells = np.zeros(1 << _CELL_BITS, np.int64)
 
         def fold() -> None:
             nonlocal hashes, counts, fresh, waiting
@@ -121,21 +159,29 @@ def global_order(docs: DataFrame, width: int, held: int = 500_000, least: int =
 
         for batch in batches:
             for _, _, data, offs in K.blocks(*K.flatten(batch.column("text"))):
-                _, h = K.unique_pairs(*block_shingles(data, offs, width))
+                _, _, doc, h = K.words(data, offs, K.NONSPACE, lower=True)
+                cells += np.bincount(_cells(h), minlength=len(cells))
+                _, h = K.unique_pairs(*_shingles(doc, h, len(offs) - 1, width)[:2])
                 fresh.append(h.astype(np.int64))
                 waiting += len(h)
                 total += len(h)
                 if waiting > held:
                     fold()
         fold()
-        kept = counts >= least
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes[kept], -1)), pa.array(np.append(counts[kept], total))], ["token", "n"])
+        kept, words = counts >= least, cells.sum()
+        common = np.flatnonzero((cells << 15 >= words) & (cells > 0))
+        tokens = np.concatenate([hashes[kept], [-1, -2], -3 - common])
+        yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.concatenate([counts[kept], [total, words], cells[common]]))], ["token", "n"])
         K.trim()
 
     counted = saved(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "shingle-counts")
-    total = counted.where("token = -1").agg(F.sum("n")).first()[0] or 0
+    known = counted.where("token < 0").toArrow()  # two sums and a cell's each
+    known = dict(zip(known["token"].to_pylist(), known["n"].to_pylist(), strict=True))
+    total, words = known.pop(-1, 0), known.pop(-2, 0)
+    cells = np.zeros(1 << _CELL_BITS, np.int64)
+    cells[[-3 - t for t in known]] = list(known.values())
     got = counted.where((F.col("token") >= 0) & (F.col("n") >= max(50, total // 1_000_000))).toArrow()
-    return Order(got["token"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(np.int64))
+    return Order(got["token"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(np.int64), cells, words)
 
 
 def outlines(docs: DataFrame, shared, width: int, percent: int) -> DataFrame:
@@ -184,7 +230,7 @@ def shards(reps: DataFrame, percent: int) -> DataFrame:
     known, are counted ahead of the shuffle and joined back, which may split a large one.
     """
     tokens = reps.select("doc", F.explode("prefix").alias("token"))
-    frequent = F.lit(1 << _HASH_BITS)
+    frequent = F.lit(_CHANCE_LEVELS << _HASH_BITS)
     same = Window.partitionBy("token")
     rare = tokens.where(F.col("token") < frequent).select("doc", F.min("doc").over(same).alias("pivot"), F.count("*").over(same).alias("held")).where("held > 1")
     often = tokens.where(F.col("token") >= frequent)

@@ -63,6 +63,37 @@ def shuffle_files(spark):
     return {str(f) for folder in root.localDirsString() for f in Path(folder).rglob("shuffle_*.data")}
 
 
+def test_documents_that_share_but_a_fifth_do_not_meet(spark, monkeypatch):
+    rng = random.Random(9)
+    words = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    passages = [words(100) for _ in range(10)]
+    rows = [(i, " ".join([*words(200), *passages[i // 2], *words(200)])) for i in range(20)]
+    rows += [(20 + i, rows[i][1].replace("a", "b", 5)) for i in range(4)]
+    met, shards = [], ngramjoin.shards
+
+    def noted(*args):
+        out = shards(*args)
+        met.append({r["doc"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(ngramjoin, "shards", noted)
+    got = ngramjoin.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == brute_components(rows)
+    assert met == [{0, 1, 2, 3, 20, 21, 22, 23}]
+
+
+def test_shingles_of_rare_words_come_first():
+    common, rare = np.uint64(1 << 60), np.uint64(2 << 60)
+    cells = np.zeros(1 << 16, np.int64)
+    cells[int(common) >> 48] = 500_000
+    order = ngramjoin.Order(np.array([7]), np.array([900]), cells, 1_000_000)
+    doc = np.zeros(8, np.int64)
+    _, h, rarity = ngramjoin._shingles(doc, np.array([common] * 4 + [rare] * 4), 1, 4, order.rarity)
+    token = order.tokens(h, rarity)
+    assert (np.diff(token >> 58) <= 0).all() and token[0] >> 58 == 15 and token[-1] >> 58 == 0
+    assert order.tokens(np.array([7], np.uint64), np.zeros(1, np.int32))[0] >> 58 >= 16  # frequent ones last
+
+
 def test_many_places_are_joined_in_rounds_that_leave_no_shuffle(spark, monkeypatch):
     rows = list(enumerate(near_copies(random.Random(4), 150)))
     plans, links = [], ngramjoin.block_links
