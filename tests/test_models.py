@@ -197,6 +197,22 @@ def test_newton_finds_the_minimum_of_mllib(mixed):
     assert got[3][0] == 0  # a column of zeros
 
 
+def test_elastic_nets_are_fitted_together_to_the_minimum_of_mllib(mixed, monkeypatch):
+    spec = models.SPECS["Logistic Regression"]
+    p = models.prepare(mixed, ["x", "z", "c"])
+    ready = spec.shaped(spec.shell(mixed, p), p, mixed, "target").cache()
+    rows = ready.select(*(F.col(c).alias(f"x{i}") for i, c in enumerate(p.columns)), F.col("label").alias("y"), F.col("_weight").alias("w"))
+    grid = [(0.002, 0.8), (0.03, 0.5), (1.0, 0.2)]
+    got = models.logit.fit(rows, 3, {i: models.logit.Trial((1 - l1) / (c * p.n), [], l1 / (c * p.n)) for i, (c, l1) in enumerate(grid)})
+    for i, (c, l1) in enumerate(grid):
+        vector, net = models.logistic(p.columns, c, l1, p.n)
+        model = net.setTol(1e-10).setMaxIter(500).fit(vector.transform(ready))
+        assert got[i] == pytest.approx([*model.coefficients, model.intercept], abs=1e-4)
+    assert got[0][1] == 0  # noise goes
+    monkeypatch.setattr(models.LogisticRegression, "fit", None, raising=False)
+    assert models.stability_selection(mixed, ["x", "z", "c"], 2, (0.03, 1.0), (0.5,)).count() == 3
+
+
 def test_ablations_are_fitted_side_by_side(parts, monkeypatch):
     import threading
 
